@@ -174,7 +174,8 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     degree = links.select(F.col("a").alias("rep"), F.col("nb").alias("k")).union(links.select("b", "na")).groupBy("rep").agg(F.sum("k").alias("k"))
     found = distinct.select("rep", "n", "v").join(degree, "rep", "left").join(components(links.select("a", "b")).withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("v", (F.coalesce("k", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    known = rows.join(found, "v").select("vec_id", "n_links", "component_id")
-    ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
-    rest = ids.join(distinct.select("v"), "v", "left_anti").union(ids.where("vec_id is null").join(distinct.select("v"), "v", "left_semi").select("v", "vec_id"))
-    return known.union(rest.select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
+    ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("_v"))
+    known = F.col("vec_id").isNotNull() & F.col("n_links").isNotNull()
+    return ids.join(found, F.col("_v") == F.col("v"), "left").select(
+        "vec_id", F.when(known, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(known, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id")
+    )
