@@ -26,68 +26,144 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import ranked
+from tidemark.llm.store import cut, ranked
+from tidemark.llm.textbytes import chunks, prefix_hash, span_hash, words
 
 MAX_TOKENS = 4096
 END_ID = 1
-#: Entries of each cache (pieces of text between blanks; runs of letters) in a Python worker; a full cache starts anew.
-CACHE_ENTRIES = 600_000
+#: A Python worker remembers the ids of so many parts of texts, in arrays of about 100 MB, and then starts anew.
+PARTS = 1 << 21
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class ChunkTokenizer:
-    """Ids of texts by ``tokenizers``, remembered for each piece of text between blanks or line ends.
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+#: Byte-level vocabularies write bytes that do not print as the letters from U+0100 on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
-    For tokenizers that drop white space and never join what it separates, such as the one used here; then the ids of
-    a text are those of its pieces, one after the other. A piece made of letters with ASCII marks behind them has the
-    ids of the letters and of the marks, so only new runs of letters reach the tokenizer.
+
+class PartTokenizer:
+    """Ids of texts by ``tokenizers``, remembered for each part of a text.
+
+    For tokenizers that drop white space, lower-case, and never join a run of letters with what surrounds it, such as the
+    one used here: the ids of a text are those of its words (between ASCII white space), one after the other, and a word
+    made of letters with ASCII marks behind them has the ids of the letters and of the marks. Parts are found by hash in
+    an open table, for all words of a slice at once; only parts that are new reach the tokenizer. A text with ``<|``,
+    which may begin a special token, goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, most: int = PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.entries = entries
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _learn(self, pieces: list[str]) -> None:
-        split = []
-        for piece in pieces:
-            body = piece.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-            if (body.isalpha() or not body) and "<|" not in piece:
-                tail = piece[len(body) :]
-                split.append((piece, body.lower() if body.isascii() else body, tail))
-            else:
-                split.append((piece, piece, ""))
-        new = list(dict.fromkeys(p for _, *both in split for p in both if p not in self.parts))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for p, made in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(made.ids, dtype="<u4").tobytes()
-        for piece, body, tail in split:
-            self.known[piece] = self.parts[body] + self.parts[tail]
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        pieces = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > self.entries:
-                self.known = {"": b""}
-            if len(self.parts) > self.entries:
-                self.parts = {"": b""}
-            self._learn([p for p in set(pieces) if p not in self.known])
-            return b"".join(map(self.known.__getitem__, pieces))
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(2 * self.most, dtype=np.uint64)  # 0: free
+        self.entry = np.zeros(2 * self.most, dtype=np.int32)
+        self.count = self.used = 0
+        self.start, self.size = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.letters = np.zeros(1024, dtype=bool)
+        self.flat = np.zeros(4096, dtype=np.uint32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries of the hashes, -1 for those not known."""
+        mask = np.uint64(len(self.keys) - 1)
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        slot, left = (hashes & mask).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            key = self.keys[slot]
+            hit = key == hashes[left]
+            out[left[hit]] = self.entry[slot[hit]]
+            on = ~hit & (key != 0)
+            left, slot = left[on], (slot[on] + 1) & int(mask)
+        return out
+
+    def _encode(self, part: str) -> list[int]:
+        """What the whole tokenizer gives; a run of letters is a single word of its model, which is asked directly."""
+        own = part.lower() if part.isascii() else self.normalizer.normalize_str(part)
+        if not own.isalpha():
+            return self.tokenizer.encode(part, add_special_tokens=False).ids
+        if not own.isascii():
+            own = own.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [t.id for t in self.model.tokenize(own)]
+
+    def _add(self, hashes: np.ndarray, parts: list[str]) -> None:
+        """Learn distinct new hashes."""
+        ids = [self._encode(p) for p in parts]
+        size = np.array([len(i) for i in ids], dtype=np.int64)
+        flat = np.array([x for i in ids for x in i], dtype=np.uint32)
+        n, end = self.count + len(parts), self.used + len(flat)
+        while n > len(self.start):
+            self.start, self.size, self.letters = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.letters))
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : end] = flat
+        self.size[self.count : n] = size
+        self.start[self.count : n] = self.used + np.cumsum(size) - size
+        self.letters[self.count : n] = [p.isalpha() for p in parts]
+        mask = len(self.keys) - 1
+        slot, left = (hashes & np.uint64(mask)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            free = self.keys[slot] == 0
+            at, first = np.unique(slot[free], return_index=True)
+            put = left[free][first]
+            self.keys[at], self.entry[at] = hashes[put], self.count + put
+            on = self.keys[slot] != hashes[left]
+            left, slot = left[on], (slot[on] + 1) & mask
+        self.count, self.used = n, end
+
+    def _entries(self, prefix: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        hashes = np.maximum(span_hash(prefix, start, end), np.uint64(1))
+        found = self._find(hashes)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            at = missing[first]
+            body = data.tobytes()
+            for k in range(0, len(new), 8192):
+                self._add(new[k : k + 8192], [body[a:b].decode() for a, b in zip(start[at[k : k + 8192]], end[at[k : k + 8192]], strict=True)])
+            found[missing] = self._find(hashes[missing])
+        return found
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and the offsets of each text's own."""
+        if self.count > self.most - (1 << 18) and self.count:
+            self._clear()
+        start, end, first = words(data, offsets)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        prefix = prefix_hash(data, fold=True)
+        # the last byte before each place that is no mark
+        solid = np.maximum.accumulate(np.where(_MARKS[data], -1, np.arange(len(data))))
+        cut = np.maximum(solid[end - 1] + 1, start)
+        n = len(start)
+        unit = np.full((n, 2), -1, dtype=np.int64)
+        some = cut > start
+        unit[some, 0] = self._entries(prefix, data, start[some], cut[some])
+        plain = ~some
+        plain[some] = self.letters[unit[some, 0]]
+        tail = end > cut
+        both = tail & plain
+        unit[both, 1] = self._entries(prefix, data, cut[both], end[both])
+        whole = tail & ~plain
+        unit[whole, 0] = self._entries(prefix, data, start[whole], end[whole])
+        flat_unit = unit.ravel()
+        size = np.where(flat_unit >= 0, self.size[np.maximum(flat_unit, 0)], 0)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(self.start[np.maximum(flat_unit, 0)] - upto[:-1], size) + np.arange(upto[-1])
+        return self.flat[place], upto[2 * first]
 
 
 @functools.lru_cache(maxsize=1)
-def worker_tokenizer(path: str) -> ChunkTokenizer:
+def worker_tokenizer(path: str) -> PartTokenizer:
     """The tokenizer of this Python worker, kept from task to task."""
-    return ChunkTokenizer(path)
+    return PartTokenizer(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,16 +171,21 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(tokenizer_path)
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        step = 4 * max_tokens
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokenizer.ids(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
+            docs_, texts = batch.column(0).to_pylist(), batch.column(1)
+            for first, last, data, offsets in chunks(texts):
+                ids, at_ = tokenizer.ids(data, offsets)
+                special = b"<|" in data.tobytes()
+                for row in range(last - first):
+                    own = ids[at_[row] : at_[row + 1]]
+                    if special and b"<|" in (text := data[offsets[row] : offsets[row + 1]].tobytes()):
+                        own = tokenizer.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+                    own = np.append(own, END_ID).astype("<u4")
+                    for k, at in enumerate(range(0, len(own), max_tokens)):
+                        part = own[at : at + max_tokens]
+                        for column, value in zip(out, (docs_[first + row], k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
@@ -152,7 +233,8 @@ def claims(counts: dict[int, int], max_tokens: int = MAX_TOKENS) -> np.ndarray:
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their sequence and the place in it: columns of :func:`token_pieces`, ``sequence_id``, ``offset``."""
-    pieces = ranked(token_pieces(docs, tokenizer_path, max_tokens, id_col, text_col), ["length"], ["doc_id", "piece"])
+    # written first: sorting by range reads its input twice, and texts are tokenised once
+    pieces = ranked(cut(token_pieces(docs, tokenizer_path, max_tokens, id_col, text_col)), ["length"], ["doc_id", "piece"])
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     if max(counts, default=0) > max_tokens:
         raise ValueError("a piece is longer than a sequence")
