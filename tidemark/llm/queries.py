@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hnsw, langid, linededup, mixing, neardup, packing, quality, vectordup
+from tidemark.llm import hnsw, langid, linededup, mixing, neardup, packing, quality, substrings, vectordup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_vectordup": op2_vectordup,
         "op3_mixing": op3_mixing,
+        "op4_substrings": op4_substrings,
         "op5_neardup": op5_neardup,
         "op7_hnsw": op7_hnsw,
         "op8_langid": op8_langid,
