@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hnsw, langid, linededup, mixing, neardup, packing, quality, substrings, vectordup
+from tidemark.llm import hnsw, langid, licenses, linededup, mixing, neardup, packing, quality, substrings, vectordup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,16 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree, source/lang/thousands/id, those under 1000 in source/lang; a notice in the first or last line speaks for the directory."""
+    docs = table(spark, sf_dir, "documents")
+    part = F.when(F.col("doc_id") >= 1000, F.floor(F.col("doc_id") / 1000).cast("string"))
+    files = docs.select("doc_id", "text", F.concat_ws("/", F.col("source"), F.col("lang"), part, F.col("doc_id").cast("string")).alias("path"))
+    heads = (F.col("line") == 0) | (F.col("line") == F.col("lines") - 1)
+    found = licenses.inherit_licenses(licenses.detect_licenses(files, id_col="doc_id"), heads)
+    return found.select(F.col("id").alias("doc_id"), "path", "own_license", "score", "line", "license", "license_path")
+
+
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -104,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_substrings": op4_substrings,
         "op5_neardup": op5_neardup,
+        "op6_licenses": op6_licenses,
         "op7_hnsw": op7_hnsw,
         "op8_langid": op8_langid,
         "op9_linededup": op9_linededup,
