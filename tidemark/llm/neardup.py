@@ -4,9 +4,10 @@
    its size); only the smallest doc_id of a class goes on.
 2. A class has ``BANDS * ROWS`` min-hashes. Classes that agree on all rows of a band share a bucket; a pair at the
    threshold shares none with probability (1 - 0.75**4)**32, 5 in a million.
-3. Links are sought in two passes. The first pairs each bucket's members with one pivot, another in each band. The second
-   takes the pairs in a bucket that the links found so far leave in different components, all of them, so no link
-   that joins components is lost, and a group whose members are linked already costs no further pairs.
+3. Links are sought in two passes. The first pairs each bucket's members with one pivot, another in each band. In the
+   second, the buckets whose members these links leave in different components make up families (classes that buckets
+   connect). A family is cut into tiles, and in a tile every pair that shares a bucket and is not connected yet is
+   compared, so no link that joins components is lost; only links leave the task, never the pairs.
 4. A pair's signatures are compared in batches. With a uniform prior on similarity, after n hashes of which m agree its
    posterior is Beta(m + 1, n - m + 1); the pair is dropped as soon as P(similarity >= threshold) is below ``MISS``.
 5. What is left is confirmed on the full sets: 100 * intersection >= 75 * union.
@@ -24,12 +25,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.store import cut, discard
+from tidemark.llm.store import cut
 from tidemark.llm.textbytes import chunks, mix, shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -145,6 +147,98 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(enough(F.size(F.array_intersect("xa", "xb")), F.size("xa"), F.size("xb"))).select("a", "b")
 
 
+#: Classes on either side of a tile.
+TILE_ROWS = 512
+
+
+class Forest:
+    """Union of small sets of labels within a task."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def tile_links(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links between two sides (or within one) that join components, each confirmed on the full sets.
+
+    Pairs that share a bucket are compared batch by batch, and what is left is confirmed in the order of agreement while
+    its components are apart.
+    """
+    sides = []
+    for side in (left, right):
+        bands = np.stack(side["bands"].to_numpy())
+        sig = np.frombuffer(b"".join(side["sig"]), dtype="<u2").reshape(-1, BANDS * ROWS)
+        sides.append((side["rep"].to_numpy(), side["root"].to_numpy(), bands, sig, side["set"].tolist()))
+    (rep_a, root_a, bands_a, sig_a, set_a), (rep_b, root_b, bands_b, sig_b, set_b) = sides
+    least, found = needed(), []
+    for k in range(0, len(rep_a), 64):
+        part = slice(k, k + 64)
+        shared = np.zeros((len(rep_a[part]), len(rep_b)), dtype=bool)
+        for band in range(BANDS):
+            shared |= bands_a[part, band, None] == bands_b[None, :, band]
+        shared &= (root_a[part, None] != root_b[None, :]) & (rep_a[part, None] != rep_b[None, :])
+        if left is right:
+            shared &= rep_a[part, None] < rep_b[None, :]
+        i, j = np.nonzero(shared)
+        i += k
+        agree = np.zeros(len(i), dtype=np.int64)
+        for step, fewest in enumerate(least):
+            some = slice(step * BATCH, (step + 1) * BATCH)
+            agree += (sig_a[i, some] == sig_b[j, some]).sum(axis=1)
+            alive = agree >= fewest
+            i, j, agree = i[alive], j[alive], agree[alive]
+        found.append((agree, i, j))
+    agree, i, j = (np.concatenate([f[c] for f in found]) for c in range(3))
+    links, forest = [], Forest()
+    for k in np.argsort(-agree, kind="stable"):
+        x, y = i[k], j[k]
+        if forest.find(root_a[x]) != forest.find(root_b[y]):
+            one, other = set_a[x], set_b[y]
+            both = len(np.intersect1d(one, other, assume_unique=True))
+            if both * THRESHOLD[1] >= (len(one) + len(other) - both) * THRESHOLD[0]:
+                forest.join(root_a[x], root_b[y])
+                links.append((int(rep_a[x]), int(rep_b[y])))
+    return links
+
+
+def family_links(placed: DataFrame, roots: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that share a bucket and that ``roots`` leaves apart, enough of them to join all that can be joined."""
+    at = placed.join(roots, placed["rep"] == roots["node"], "left").select("band", "bucket", "rep", "pivot", F.coalesce("root", "rep").alias("root"))
+    mixed = at.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "bucket")
+    open_ = cut(at.join(mixed, ["band", "bucket"]))
+    family = cut(components(open_.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))).select(F.col("node").alias("rep"), F.col("root").alias("family")))
+    sizes = cut(family.groupBy("family").agg(F.count("*").alias("n")))
+    small = sizes.where(F.col("n") <= TILE_ROWS).agg(F.sum("n")).first()[0] or 0
+    pools = 1 + small // TILE_ROWS
+    # small families share pools; a large one has chunks, and a tile for each two of them
+    chunks_ = F.when(F.col("n") > TILE_ROWS, F.ceil(F.col("n") / TILE_ROWS)).otherwise(F.lit(1)).cast("int")
+    pool = F.when(F.col("n") > TILE_ROWS, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(pools)))
+    dealt = family.join(sizes, "family").select("rep", pool.alias("pool"), chunks_.alias("chunks"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int"))
+    dealt = dealt.join(open_.select("rep", "root").distinct(), "rep").join(own, "rep")
+    dealt = dealt.join(shingle_sets(texts.join(family.select("rep"), "rep", "left_semi").select("rep", "text")), "rep")
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = tiles.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows[rows["chunk"] == key[1]]
+        right = left if key[1] == key[2] else rows[rows["chunk"] == key[2]]
+        links = tile_links(left, right) if len(left) and len(right) else []
+        return pd.DataFrame({"a": [min(x) for x in links], "b": [max(x) for x in links]}, dtype="int64")
+
+    return tiles.select("pool", "i", "j", "chunk", "rep", "root", "bands", "sig", "set").groupBy("pool", "i", "j").applyInPandas(solve, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): class_id is the smallest doc_id with an equal set."""
     signed = cut(shingle_signatures(docs, id_col, text_col))
@@ -163,20 +257,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = placed.where("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     links = cut(confirmed(cut(plausible(stars, sigs)), texts))
     roots = components(links)
-    # pairs of a bucket that are still in different components
-    at = placed.join(roots, placed["rep"] == roots["node"], "left").select("band", "bucket", "rep", "pivot", F.coalesce("root", "rep").alias("root"))
-    mixed = at.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "bucket")
-    open_ = cut(at.join(mixed, ["band", "bucket"]))
-    other = open_.select("band", "bucket", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    rest = open_.join(other, ["band", "bucket"]).where((F.col("rep") < F.col("b")) & (F.col("root") != F.col("root_b")) & (F.col("rep") != F.col("pivot")) & (F.col("b") != F.col("pivot")))
-    rest = rest.select(F.col("rep").alias("a"), "b").distinct()
-    more = cut(confirmed(cut(plausible(rest, sigs)), texts))
+    more = cut(family_links(placed, roots, own, texts))
     # rows that share a doc_id join their classes
     shared = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     found = components(links.union(more).union(shared))
     out = member.distinct().join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "rep", F.coalesce("root", "rep").alias("root"))
     out = out.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("root").alias("root"))
-    discard(open_)
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(out, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("root", "doc_id").alias("component_id")
     )
