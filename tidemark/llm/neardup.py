@@ -252,7 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = placed.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "band"), "rep"))["rep"].alias("pivot")).where("n > 1").drop("n")
     placed = cut(placed.join(several, ["band", "bucket"]).select("band", "bucket", "rep", "pivot"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    texts = texts.join(placed.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    # the texts of candidates, moved once; what follows needs no others
+    texts = cut(texts.join(placed.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
 
     stars = placed.where("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     links = cut(confirmed(cut(plausible(stars, sigs)), texts))
