@@ -102,3 +102,32 @@ def test_array_functions(spark):
     assert get(A.split_steps(F.lit(600), 256, 260)) == [516, 516, 348]
     assert get(A.split_steps(F.lit(0), 256, 260)) == [260] and get(A.split_steps(F.lit(256), 256, 260)) == [516]
     assert get(A.levelled(F.array(F.lit(0.0), F.lit(-10.0), F.lit(-100.0)))) == pytest.approx([70 / 3, 40 / 3, -110 / 3])
+
+
+def test_songs_from_mix_to_files(spark, tmp_path):
+    from tests.test_signal import groove
+    from tidemark.plans import songs
+
+    x = groove(10, 120).astype(np.float32)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "My Song.wav").write_bytes(wav.encode_wav(np.vstack([x, x]), 44_100))
+    mix = wav.read_wav(spark, f"file://{tmp_path}/in")
+    options = stems.Options(kit=frozenset({"drums"}), loops=frozenset({"drums"}), bars=2)
+    made = songs.split(mix, lambda: lambda a: a * 0, lambda: lambda a: a * 0, {"drums": lambda: lambda a: a}, options)
+    assert abs(made.grid.first()["bpm"] - 120) < 0.5
+    songs.write(made, f"file://{tmp_path}/out", device=True)
+    names = {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.wav")}
+    assert {"My Song/drums.wav", "My Song/vocals.wav", "My Song/horns.wav", "My Song/device/My_Song_drums.wav"} <= names
+    assert any("My_Song_drums_kit/01" in n for n in names) and any("My_Song_drums_loops_120bpm/bar001" in n for n in names)
+    rate, again = wav.decode_wav((tmp_path / "out" / "My Song" / "drums.wav").read_bytes())
+    assert rate == 44_100 and np.abs(again[0] - x).max() < 1e-5
+
+
+def test_model_inventory(spark):
+    from tidemark.sources import models
+
+    own, extra = [("r", "1", "a", "x", 10), ("r", "1", "a", "y", 30)], [("r", "1", "b", "z", 60)]
+    wanted = models.needed(spark, own, extra, True)
+    assert wanted.count() == 3 and models.needed(spark, own, extra).count() == 2
+    have = wanted.where("path = 'x'")
+    assert [(r["path"], round(r["done"], 3)) for r in models.pending(wanted, have).orderBy("path").collect()] == [("y", 0.333), ("z", 1.0)]

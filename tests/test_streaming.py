@@ -1,5 +1,6 @@
 from tests.conftest import SF
 from tidemark.operators import series
+from tidemark.streaming.progress import watch
 from tidemark.streaming.windows import hopping_totals, min_gap_stream
 
 
@@ -14,7 +15,10 @@ def test_stream_equals_batch(spark, tmp_path):
     batch.repartition(3).write.parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema(batch.schema).parquet(f"file://{tmp_path}/in")
     args = ("ts", ["event_type"], "value", "6 hours", "3 hours", "60 days")
+    log = watch(spark)
     got = run(hopping_totals(stream, *args), "totals", "complete", tmp_path / "c1")
+    spark.streams.removeListener(log)
+    assert any(stage == "started" for _, stage, *_ in log.rows)
     norm = lambda df: sorted((r["event_type"], r["start"], r["n"], round(r["total"], 6)) for r in df.collect())
     assert norm(got) == norm(hopping_totals(batch, *args))
 
