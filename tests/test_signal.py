@@ -129,3 +129,38 @@ def test_mel_power_and_levels():
     edges = S.mel_edges(RATE)
     assert len(edges) == 25 and all(b > a for a, b in zip(edges[:-1], edges[1:], strict=True))
     assert S.levelled(np.array([0.0, -10.0, -100.0])) == pytest.approx([70 / 3, 40 / 3, -110 / 3])
+
+
+def test_dense_sixteenths_are_all_found_and_their_hits_abut():
+    step = 60 / 170 / 4
+    at = [0.1 + k * step for k in range(int(9.5 / step))]
+    x = song(10, [burst(t, 0.8, 0.02, 0.08) for t in at])
+    found = S.onsets(x, RATE)
+    assert len(found) == len(at) and all(abs(f - t * RATE) <= 88 for f, t in zip(found, at, strict=True))
+    spans = S.hits(found, x, RATE)
+    assert all(a[1] == b[0] for a, b in zip(spans[:-1], spans[1:], strict=True))
+
+
+def test_long_tones_end_after_two_seconds():
+    x = 0.5 * np.sin(2 * np.pi * 440 * np.arange(5 * RATE) / RATE)
+    assert S.hits([44_100], x, RATE) == [(43_968, 132_300)]
+    spans = S.hits(S.onsets(y := song(2, [burst(0.2, 0.8, 0.02), burst(0.6, 0.8, 0.02)]), RATE), y, RATE)
+    assert all(0.3 < e / RATE - s / RATE + t < 0.9 for (s, e), t in zip(spans, (0.2, 0.6), strict=True))
+
+
+def test_given_tempo_and_drift():
+    found = S.beat_grid(groove(16, 128), RATE, 64)
+    assert found is not None and abs(found[0] - 64) < 0.5
+    gaps = np.diff(found[1])
+    assert np.abs(gaps / (8 * 60 / 128 * RATE) - 1).max() < 0.02
+    at, parts, bars = 0.0, [], []
+    for b in range(14 * 4):
+        if b % 4 == 0:
+            bars.append(at * RATE)
+        parts += [kick(at, 1.0 if b % 4 == 0 else 0.5)] if b % 2 == 0 else [snare(at)]
+        step = 60 / (120 + 8 * b / 56)
+        parts.append(hat(at + step / 2, 0.5))
+        at += step
+    found = S.beat_grid(song(at + 1, parts), RATE)
+    assert found is not None and len(found[1]) >= 12
+    assert all(min(abs(p - b) for b in bars) <= 441 for p in found[1])
