@@ -5,12 +5,15 @@ least ``GRAM``-byte hash, at one place, form a segment; the hash is its anchor.
 offsets, so all that can repeat lies in segments whose anchor occurs at least twice, and only those go on. Equal segments
 are one class with a count.
 
-Where the classes of an anchor differ, their texts are dealt by anchor to shards of about ``SHARD_BYTES``, and each shard's suffix
-array is built by induced sorting: suffixes are classified, leftmost-smaller substrings sorted and named, recursively,
-and the array induced from them in two linear scans; permuted common prefixes then show which windows of the shard are
-equal. An anchor with more than ``MOST_CLASSES`` classes (a passage that very many documents quote) has no bound on its size and
-is divided instead: its windows are split into chunks of neighbours, chunks whose common core occurs once are dropped,
-those that occur twice as a whole are repeated, and the rest is split further, to single windows. Both ways are exact.
+Where the classes of an anchor differ, their windows are split into chunks of ``WIDTH`` neighbours. The windows of a chunk
+share all but the outer bytes, its core; chunks with a core of their own repeat nowhere, and equal chunks are one with
+a count again. Chunks that share a core and differ around it are decided by suffix arrays: a chunk is the string of its left
+bytes, one symbol for the core and its right bytes, so that each window is ``WIDTH`` symbols long. The strings are dealt
+by core to shards of about ``SHARD_SYMBOLS``, and each shard's array is built by induced sorting: suffixes are
+classified, leftmost-smaller substrings sorted and named, recursively, and the array induced from them in two linear scans;
+permuted common prefixes then show which windows of the shard are equal. A core with more than ``MOST_CHUNKS`` different
+surroundings (the edge of a passage that very many documents quote) would not fit one task; its windows are counted one
+by one instead, partly before they are shuffled. Both ways are exact.
 
 Strings are judged on the input. Defined cases: a null text is empty; documents shorter than ``LENGTH`` lose nothing; every row is
 a document, so repeated rows are copies of each other; texts of any length are read in slices; an empty table gives no rows.
@@ -33,10 +36,10 @@ from tidemark.llm.textbytes import CHUNK, chunks, prefix_hash, span_hash
 
 LENGTH = 400
 GRAM = 100
-SHARD_BYTES = 1 << 20
-MOST_CLASSES = 1000
-#: Widths of the chunks into which the windows of a very frequent anchor are split, one after the other.
-WIDTHS = (64, 16, 4, 1)
+#: Windows of a chunk.
+WIDTH = 48
+SHARD_SYMBOLS = 1 << 19
+MOST_CHUNKS = 20_000
 
 _PLACE = np.uint64((1 << 22) - 1)
 SEGMENTS = "doc long, h long, p int, lo int, hi int, g long, c long"
@@ -68,8 +71,9 @@ def segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         for batch in batches:
             doc, h = batch.column(0), batch.column(1)
             for a, _, data, offsets in chunks(batch.column(2)):
-                for base in range(0, max(len(data) - length + 1, 0), CHUNK):
-                    # slices of a long text overlap by a window less one
+                base = 0
+                while base + length <= len(data):
+                    # a slice of a long text takes whole runs only: the last one is left to the next slice, so no anchor comes twice
                     some = data[base : base + CHUNK + length - 1]
                     at, grams, prefix = window_anchors(some, length, gram)
                     start = np.arange(len(at)) + base
@@ -77,13 +81,21 @@ def segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                     inside = start + length <= offsets[row + 1]
                     head = np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]]) & inside
                     first = np.flatnonzero(head)
+                    done = base + len(some) == len(data)
+                    if not done and len(first) and first[-1]:
+                        cut_at = int(first[-1])
+                        first, inside = first[:-1], inside & (np.arange(len(at)) < cut_at)
+                        head = head & inside
+                        base += cut_at
+                    else:
+                        base += len(at)
                     if not len(first):
                         continue
                     runs = np.cumsum(head)[inside] - 1
                     last = np.zeros(len(first), dtype=np.int64)
                     last[runs] = np.flatnonzero(inside)
                     own = row[first]
-                    shift = base - offsets[own]
+                    shift = start[0] - offsets[own]
                     yield pa.RecordBatch.from_arrays(
                         [doc.take(pa.array(own + a)), h.take(pa.array(own + a))]
                         + [pa.array((x + shift).astype(np.int32)) for x in (at[first], first, last)]
@@ -94,23 +106,30 @@ def segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     return docs.mapInArrow(run, SEGMENTS)
 
 
-def repeated_starts(texts: list[bytes], starts: list[int], counts: list[int], length: int) -> list[np.ndarray]:
-    """For each text, which of its first ``starts`` windows also occur elsewhere among the texts, or in a text that counts twice."""
-    size = np.array([len(t) for t in texts])
-    body = np.full(int(size.sum()) + len(texts) + 1, 1, dtype=np.int64)
-    body[-1] = 0
-    begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
+def repeated_windows(lefts: list[bytes], cores: np.ndarray, rights: list[bytes], counts: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each string left + core + right, how many left bytes its windows take that also occur elsewhere, or in a string that counts twice.
+
+    A window is ``width`` symbols long and holds the core.
+    """
+    _, symbol = np.unique(cores, return_inverse=True)
+    size = np.array([len(a) + len(b) + 2 for a, b in zip(lefts, rights, strict=True)])
+    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+    body = np.frombuffer(b"".join(a + b"\0" + b + b"\0" for a, b in zip(lefts, rights, strict=True)), dtype=np.uint8).astype(np.int64) + 2
+    middle = begin + [len(a) for a in lefts]
+    body[middle] = 258 + symbol
+    body[begin + size - 1] = 1
+    body = np.append(body, 0)
     weight = np.zeros(len(body), dtype=np.int64)
-    for t, at, n, k in zip(texts, begin, starts, counts, strict=True):
-        body[at : at + len(t)] = np.frombuffer(t, dtype=np.uint8).astype(np.int64) + 2
-        weight[at : at + n] = k
+    low = np.array([max(0, width - 1 - len(b)) for b in rights])  # fewer left bytes need more on the right than there are
+    for at, n, least, k in zip(begin, middle - begin, low, counts, strict=True):
+        weight[at : at + max(0, n - least + 1)] = k
     sa = suffix_array(body)
-    shared = permuted_prefixes(body, sa, length)[sa] >= length
-    group = np.cumsum(~shared)
+    group = np.cumsum(permuted_prefixes(body, sa, width)[sa] < width)
     total = np.bincount(group, weights=weight[sa])
     repeated = np.zeros(len(body), dtype=bool)
     repeated[sa] = total[group] >= 2
-    return [repeated[at : at + n] for at, n in zip(begin, starts, strict=True)]
+    repeated &= weight > 0
+    return [np.flatnonzero(repeated[at : m + 1][::-1]) for at, m in zip(begin, middle, strict=True)]
 
 
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,114 +138,75 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def with_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(id, g, n, k, off, starts, lead, own, body): bytes of the class representatives in ``wanted``, (id, g, n, k, first).
+CHUNKS = "id long, n long, g long, k int, core long, x binary, y binary"
+
+
+def chunks_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(id, n, g, k, core, x, y): chunks of the class representatives in ``wanted``, (id, g, n, first): hash of the core, bytes left and right of it.
 
-    body has ``starts`` windows and the anchor at ``off``; the segment's ``own`` windows begin at ``lead``. For anchors that
-    are divided, body goes on to the next limits of the widest chunks, as far as the document does.
+    Chunk k has the windows that begin ``k * WIDTH`` to ``k * WIDTH + WIDTH - 1`` bytes before the anchor.
     """
-    part = F.struct("id", "g", "n", "k", (F.col("first.p") - F.col("first.lo")).alias("off"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))
+    part = F.struct("id", "g", "n", F.col("first.p").alias("p"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))
     per_doc = wanted.groupBy(F.col("first.doc").alias("d2"), F.col("first.h").alias("h2")).agg(F.collect_list(part).alias("parts"))
     # rows that repeat are equal, so one of them serves
     both = docs.join(per_doc, docs["doc"].eqNullSafe(per_doc["d2"]) & (docs["h"] == per_doc["h2"])).select("text", "parts")
-    names = ["id", "g", "n", "k", "off", "starts", "lead", "own", "body"]
-    types = (*[pa.int64()] * 4, *[pa.int32()] * 4, pa.binary())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    width, names = WIDTH, [c.split()[0] for c in CHUNKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = WIDTHS[0]
+        edge = width - 1
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
         for batch in batches:
+            out: list[list] = [[] for _ in names]
             for row in range(batch.num_rows):
-                text, out = batch.column(0)[row].as_py().encode(), []
-                for x in batch.column(1)[row].as_py():
-                    p, lo, hi = x["off"] + x["lo"], x["lo"], x["hi"]
-                    first, last = lo, hi
-                    if x["k"] > MOST_CLASSES:
-                        first = max(0, p - (-(-(p - lo + 1) // w) * w - 1))
-                        last = min(len(text) - length, p - (p - hi) // w * w)
-                    out.append((x["id"], x["g"], x["n"], x["k"], p - first, last - first + 1, lo - first, hi - lo + 1, text[first : last + length]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    return both.mapInArrow(run, "id long, g long, n long, k long, off int, starts int, lead int, own int, body binary").dropDuplicates(["id"])
-
-
-def by_suffix_arrays(texts: DataFrame, shards: int, length: int) -> DataFrame:
-    """(id, a, b): runs of repeated window starts of each class, from the segment's first start."""
+                text = batch.column(0)[row].as_py().encode()
+                parts = batch.column(1)[row].as_py()
+                # hashes of the bytes around the anchors, a slice of the document at a time
+                parts.sort(key=lambda x: x["lo"])
+                base = end = 0
+                for x in parts:
+                    p, lo, hi = x["p"], x["lo"], x["hi"]
+                    if hi + length + edge > end:
+                        base = max(0, lo - edge)
+                        end = max(hi + length + edge, min(len(text), base + CHUNK // 8))
+                        prefix = prefix_hash(np.frombuffer(text[base:end], dtype=np.uint8))
+                    k = np.arange((p - hi) // width, (p - lo) // width + 1)
+                    a = p - k * width
+                    b = a + length - edge
+                    core = span_hash(prefix, a - base, b - base).view(np.int64).tolist()
+                    n = len(k)
+                    for c, v in zip(out, ([x["id"]] * n, [x["n"]] * n, [x["g"]] * n, k.tolist(), core, [text[max(0, i - edge) : i] for i in a.tolist()], [text[j : j + edge] for j in b.tolist()]), strict=True):
+                        c.extend(v)
+                if len(out[0]) > 8192:
+                    yield made(out)
+                    out = [[] for _ in names]
+            yield made(out)
+
+    return both.mapInArrow(run, CHUNKS).dropDuplicates(["id", "k"])
+
+
+def by_suffix_arrays(strings: DataFrame, shards: int) -> DataFrame:
+    """(g, k, core, x, y, js): numbers of left bytes of the repeated windows of each string (g, k, core, x, y, n)."""
+    width = WIDTH
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_starts(rows["body"].tolist(), rows["starts"].tolist(), rows["n"].tolist(), length)
-        runs = [runs_of(m) for m in found]
-        return pd.DataFrame({"id": np.repeat(rows["id"].to_numpy(), [len(r[0]) for r in runs]), "a": np.concatenate([r[0] for r in runs]), "b": np.concatenate([r[1] for r in runs])})
-
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(solve, "id long, a int, b int")
+        own = rows[["g", "k", "core"]].apply(tuple, axis=1)
+        found = repeated_windows(rows["x"].tolist(), pd.factorize(own)[0], rows["y"].tolist(), rows["n"].to_numpy(), width)
+        return rows[["g", "k", "core", "x", "y"]].assign(js=[f.astype(np.int32) for f in found])
 
+    dealt = strings.withColumn("shard", F.pmod(F.xxhash64("g", "k", "core"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInPandas(solve, "g long, k int, core long, x binary, y binary, js array<int>")
 
-def chunk_hashes(rows: DataFrame, w: int, length: int) -> DataFrame:
-    """(id, g, k, n, core, whole): hashes of what all windows of a chunk share, and of all their bytes. rows: with body, off, ks.
 
-    Chunk k of width w holds the windows that begin ``k * w`` to ``k * w + w - 1`` bytes before the anchor.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for i, g, off, body, ks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                prefix = prefix_hash(np.frombuffer(body, dtype=np.uint8))
-                k = np.array([x["k"] for x in ks], dtype=np.int64)
-                first, last = off - (k * w + w - 1), off - k * w
-                core = span_hash(prefix, last, first + length).view(np.int64)
-                whole = span_hash(prefix, first, last + length).view(np.int64)
-                for c, v in zip(out, ([i] * len(k), [g] * len(k), k.tolist(), [x["n"] for x in ks], core.tolist(), whole.tolist()), strict=True):
-                    c.extend(v)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["id", "g", "k", "n", "core", "whole"])
-
-    return rows.select("id", "g", "off", "body", "ks").mapInArrow(run, "id long, g long, k int, n long, core long, whole long")
-
-
-def pieces_of(low: int, high: int) -> Iterator[tuple[int, int]]:
-    """(width, number) of the widest chunks on their grids that make up ``low`` to ``high``."""
-    while low <= high:
-        w = next(w for w in WIDTHS if low % w == 0 and low + w - 1 <= high)
-        yield w, low // w
-        low += w
-
-
-def by_division(texts: DataFrame, length: int) -> DataFrame:
-    """Like :func:`by_suffix_arrays`, for anchors of any number of classes.
-
-    In each step the chunks of one width whose bytes are all equal become one, with the sum of their counts; if that is
-    two or more, all its windows repeat. Chunks that share a core but differ as a whole are split, and so are those
-    beside which some document has narrower chunks only, because it begins or ends there.
-    """
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, g, n, w, k) for i, g, n, off, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w, k in pieces_of(off - starts + 1, off)]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "g", "n", "w", "k"])
-
-    pieces = cut(texts.select("id", "g", "n", "off", "starts").mapInArrow(begin, "id long, g long, n long, w int, k int"))
-    found, split = [], None
-    for w, narrower in zip(WIDTHS, (*WIDTHS[1:], 0), strict=True):
-        now = pieces.where(F.col("w") == w).select("id", "k", "n")
-        now = now if split is None else now.union(split)
-        listed = now.groupBy("id").agg(F.collect_list(F.struct("k", "n")).alias("ks"))
-        hashed = cut(chunk_hashes(texts.select("id", "g", "off", "body").join(listed, "id"), w, length))
-        key = ["g", "k", "core", "whole"]
-        one = cut(hashed.groupBy(*key).agg(F.min("id").alias("id"), F.sum("n").alias("n")))
-        twice = hashed.join(one.where("n > 1").select(*key), key).select("id", "k")
-        found.append(twice.select("id", (F.col("k") * w).alias("least"), (F.col("k") * w + (w - 1)).alias("most")))
-        if narrower:
-            differ = one.groupBy("g", "k", "core").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).where("x < y").select("g", "k", "core")
-            parts = pieces.where(F.col("w") < w).select("g", F.floor(F.col("k") * F.col("w") / w).cast("int").alias("k")).distinct()
-            on = one.join(differ, ["g", "k", "core"], "left_semi").union(one.join(parts, ["g", "k"], "left_semi").select(*one.columns)).distinct()
-            ratio = w // narrower
-            split = on.select("id", F.explode(F.sequence(F.col("k") * ratio, F.col("k") * ratio + (ratio - 1))).alias("k"), "n")
-    out = functools.reduce(DataFrame.union, found).join(texts.select("id", "off", "lead", "own"), "id")
-    a, b = F.col("off") - F.col("most") - F.col("lead"), F.col("off") - F.col("least") - F.col("lead")
-    return out.select("id", F.greatest(a, F.lit(0)).alias("a"), F.least(b, F.col("own") - 1).alias("b")).where("a <= b")
+def by_windows(strings: DataFrame) -> DataFrame:
+    """Like :func:`by_suffix_arrays`, for cores of any number of surroundings: every window's own bytes are counted."""
+    edge = WIDTH - 1
+    low = F.greatest(F.lit(0), edge - F.length("y"))
+    each = strings.withColumn("j", F.explode(F.when(low <= F.length("x"), F.sequence(low, F.length("x")))))
+    each = each.withColumn("a", F.substring(F.col("x"), F.length("x") - F.col("j") + 1, F.col("j"))).withColumn("b", F.substring(F.col("y"), F.lit(1), edge - F.col("j")))
+    key = ["g", "k", "core", "j", "a", "b"]
+    twice = each.groupBy(*key).agg(F.sum("n").alias("times")).where("times > 1").select(*key)
+    return each.join(twice, key).groupBy("g", "k", "core", "x", "y").agg(F.collect_list("j").alias("js"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -238,13 +218,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     same = ["g", "off", "span", "c"]
     classes = repeated.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc", "h", "p", "lo", "hi")).alias("first"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
-    differ = classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
-    texts = cut(with_texts(docs, classes.join(differ, "g").select("id", "g", "n", "k", "first"), length))
-    size, most = texts.agg(F.sum(F.when(F.col("k") <= MOST_CLASSES, F.length("body"))), F.max("k")).first()
-    runs = by_suffix_arrays(texts.where(F.col("k") <= MOST_CLASSES), 1 + (size or 0) // SHARD_BYTES, length)
-    if (most or 0) > MOST_CLASSES:
-        runs = runs.union(by_division(texts.where(F.col("k") > MOST_CLASSES), length))
-    own = runs.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    differ = classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    pieces = cut(chunks_of(docs, classes.join(differ, "g").select("id", "g", "n", "first"), length))
+    core = ["g", "k", "core"]
+    strings = pieces.groupBy(*core, "x", "y").agg(F.sum("n").alias("n"))
+    cores = strings.groupBy(*core).agg(F.count("*").alias("kinds"), F.sum("n").alias("times")).where("times > 1")
+    strings = cut(strings.join(cores, core))
+    mixed = strings.where("kinds > 1")
+    size, most = mixed.agg(F.sum(F.when(F.col("kinds") <= MOST_CHUNKS, F.length("x") + F.length("y") + 2)), F.max("kinds")).first()
+    found = by_suffix_arrays(mixed.where(F.col("kinds") <= MOST_CHUNKS).drop("kinds", "times"), 1 + (size or 0) // SHARD_SYMBOLS)
+    if (most or 0) > MOST_CHUNKS:
+        found = found.union(by_windows(mixed.where(F.col("kinds") > MOST_CHUNKS).drop("kinds", "times")))
+    edge = WIDTH - 1
+    low = F.greatest(F.lit(0), edge - F.length("y"))
+    alone = strings.where("kinds = 1").select(*core, "x", "y", F.when(low <= F.length("x"), F.sequence(low, F.length("x"))).alias("js"))
+    windows = pieces.join(found.union(alone), [*core, "x", "y"]).join(classes.select("id", "off", "span"), "id")
+    start = lambda j: F.col("off") - F.col("k") * WIDTH - j
+    starts = F.filter(F.transform("js", start), lambda a: (a >= 0) & (a <= F.col("span")))
+    own = windows.select("id", starts.alias("at")).where(F.size("at") > 0).groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at"))
+    own = own.select("id", F.transform("at", lambda a: F.struct(a.alias("a"), a.alias("b"))).alias("runs"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("span").alias("b")))
     covered = classes.join(own, "id", "left").select(*same, F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
     at = F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] + length).alias("b")))
