@@ -83,6 +83,10 @@ def test_mixing_keeps_every_row(spark):
         mixing.mix_sources(df, {"hot": 1.0})
 
 
+def test_mixing_equals_sql(spark, duck):
+    assert same_rows(queries.op3_mixing(spark, SF), duck, queries.OP3_SQL) == 200
+
+
 # packing
 
 
@@ -289,7 +293,8 @@ def brute_substrings(texts, length):
 
 @pytest.mark.parametrize("most", [1000, 1])
 def test_substrings_equal_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(substrings, "MOST_CLASSES", most)
+    monkeypatch.setattr(substrings, "MOST_CHUNKS", most)
+    monkeypatch.setattr(substrings, "WIDTH", 16 if most == 1 else 48)
     passage = prose(60, 1)
     texts = [None, "", "short", passage, "é " + passage + " tail", passage + " x", "y" * 900, prose(100, 2), prose(100, 2)]
     texts += [prose(20, s) + " " + passage[: 150 + 10 * s] + " " + prose(20, 100 + s) for s in range(12)] + [edited(prose(150, 3), 0.03, s) for s in range(8)]

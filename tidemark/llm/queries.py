@@ -37,6 +37,37 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+#: The shares by largest remainder, one period of the schedule slot by slot, and every row's block, slot and place.
+OP3_SQL = """
+WITH RECURSIVE size AS (
+  SELECT source, count(*) ** 0.5 AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM documents GROUP BY source
+), exact AS (
+  SELECT source, i, greatest(0.0, w / sum(w) OVER () * greatest(1000, count(*) OVER ()) - 1) AS e, greatest(1000, count(*) OVER ()) - count(*) OVER () AS spare FROM size
+), scaled AS (
+  SELECT source, i, spare, e * spare / sum(e) OVER () AS e FROM exact
+), got AS (
+  SELECT source, i, floor(e) AS g, row_number() OVER (ORDER BY floor(e) - e, i) AS r, spare - sum(floor(e)) OVER () AS more FROM scaled
+), share AS (
+  SELECT source, i, CAST(g + 1 + CASE WHEN r <= more THEN 1 ELSE 0 END AS BIGINT) AS n FROM got
+), plan AS (
+  SELECT list(n ORDER BY i) AS n, CAST(sum(n) AS BIGINT) AS d FROM share
+), step AS (
+  SELECT CAST(0 AS BIGINT) AS t, list_transform(n, lambda x: CAST(0 AS BIGINT)) AS c, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS j FROM plan
+  UNION ALL
+  SELECT t + 1, list_transform(c, lambda x, k: x + CASE WHEN k = p THEN 1 ELSE 0 END), p, c[p]
+  FROM (SELECT t, c, d, list_min(list_transform(range(1, len(n) + 1), lambda k:
+          CASE WHEN c[k] < n[k] AND c[k] * d // n[k] <= t THEN ((c[k] + 1) * d + n[k] - 1) // n[k] * 100000 + k ELSE 1000000000000 END)) % 100000 AS p
+        FROM step, plan WHERE t < d)
+), slots AS (
+  SELECT pick AS i, j, t - 1 AS at FROM step WHERE t > 0
+), ranked AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents
+)
+SELECT k.doc_id, k.source, k.r // 16 AS block, k.r // 16 // s.n * p.d + t.at AS slot, CAST(k.r % 16 AS INTEGER) AS place
+FROM ranked k JOIN share s ON k.source IS NOT DISTINCT FROM s.source CROSS JOIN plan p JOIN slots t ON t.i = s.i AND t.j = k.r // 16 % s.n
+"""
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -124,4 +155,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_linededup": OP9_SQL}
+    return {"op3_mixing": OP3_SQL, "op9_linededup": OP9_SQL}
