@@ -214,7 +214,7 @@ def tile_links(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[int, int]]
 def family_links(placed: DataFrame, roots: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between classes that share a bucket and that ``roots`` leaves apart, enough of them to join all that can be joined."""
     at = placed.join(roots, placed["rep"] == roots["node"], "left").select("band", "bucket", "rep", "pivot", F.coalesce("root", "rep").alias("root"))
-    mixed = at.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "bucket")
+    mixed = cut(at.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "bucket"))
     open_ = cut(at.join(mixed, ["band", "bucket"]))
     family = cut(components(open_.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))).select(F.col("node").alias("rep"), F.col("root").alias("family")))
     sizes = cut(family.groupBy("family").agg(F.count("*").alias("n")))
@@ -242,14 +242,15 @@ def family_links(placed: DataFrame, roots: DataFrame, own: DataFrame, texts: Dat
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): class_id is the smallest doc_id with an equal set."""
     signed = cut(shingle_signatures(docs, id_col, text_col))
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # a table of its own, so that the join deals both sides anew and can split a very frequent text
+    classes = cut(signed.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     one = signed.join(classes, ["n", "k1", "k2"])
     member = cut(one.select(F.col("doc_id"), "rep"))
     own = cut(one.where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "bands", "sig"))
     sigs = own.select("rep", "sig")
     # only buckets of two or more go on
     placed = own.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    several = placed.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "band"), "rep"))["rep"].alias("pivot")).where("n > 1").drop("n")
+    several = cut(placed.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "band"), "rep"))["rep"].alias("pivot")).where("n > 1").drop("n"))
     placed = cut(placed.join(several, ["band", "bucket"]).select("band", "bucket", "rep", "pivot"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     # the texts of candidates, moved once; what follows needs no others
