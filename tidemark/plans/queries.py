@@ -454,9 +454,9 @@ def reflect_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Names, text and tokens
 
 
-@query("""SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 20), ''), 'song') AS prefix FROM documents""")
+@query("""SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 20), ''), 'song') AS prefix FROM documents""")
 def title_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.title_prefix(F.substring("text", 1, 80)).alias("prefix"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.title_prefix(F.col("text")).alias("prefix"))
 
 
 @query(r"""WITH c AS (SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(url, '^https?:(//[^?#]*)', 1), '[/:\\\n\r]', '-', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'untitled') AS clean FROM pages),
