@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ LENGTH = 400
 GRAM = 100
 #: Windows of a chunk.
 WIDTH = 48
-SHARD_SYMBOLS = 1 << 19
+SHARD_SYMBOLS = 1 << 18
 MOST_CHUNKS = 20_000
 
 _PLACE = np.uint64((1 << 22) - 1)
@@ -190,8 +191,8 @@ def by_suffix_arrays(strings: DataFrame, shards: int) -> DataFrame:
     width = WIDTH
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[["g", "k", "core"]].apply(tuple, axis=1)
-        found = repeated_windows(rows["x"].tolist(), pd.factorize(own)[0], rows["y"].tolist(), rows["n"].to_numpy(), width)
+        own = rows.groupby(["g", "k", "core"]).ngroup().to_numpy()
+        found = repeated_windows(rows["x"].tolist(), own, rows["y"].tolist(), rows["n"].to_numpy(), width)
         return rows[["g", "k", "core", "x", "y"]].assign(js=[f.astype(np.int32) for f in found])
 
     dealt = strings.withColumn("shard", F.pmod(F.xxhash64("g", "k", "core"), F.lit(shards)))
@@ -212,18 +213,21 @@ def by_windows(strings: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(d2, h2, spans): byte spans that go, which may overlap, for each document that loses any. docs: (doc, h, text)."""
     every = cut(segments(docs, length, gram))
-    often = every.groupBy("g").count().where("count > 1").select("g")
+    # a table of its own, so that the join deals both sides anew and can split a very frequent anchor
+    often = cut(every.groupBy("g").count().where("count > 1").select("g"))
     repeated = cut(every.join(often, "g", "left_semi").withColumn("off", F.col("p") - F.col("lo")).withColumn("span", F.col("hi") - F.col("lo")))
     discard(every)
     same = ["g", "off", "span", "c"]
     classes = repeated.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc", "h", "p", "lo", "hi")).alias("first"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
-    differ = classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    differ = cut(classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"))
     pieces = cut(chunks_of(docs, classes.join(differ, "g").select("id", "g", "n", "first"), length))
     core = ["g", "k", "core"]
     strings = pieces.groupBy(*core, "x", "y").agg(F.sum("n").alias("n"))
-    cores = strings.groupBy(*core).agg(F.count("*").alias("kinds"), F.sum("n").alias("times")).where("times > 1")
-    strings = cut(strings.join(cores, core))
+    every = cut(strings)
+    cores = cut(every.groupBy(*core).agg(F.count("*").alias("kinds"), F.sum("n").alias("times")).where("times > 1"))
+    strings = cut(every.join(cores, core))
+    discard(every, cores)
     mixed = strings.where("kinds > 1")
     size, most = mixed.agg(F.sum(F.when(F.col("kinds") <= MOST_CHUNKS, F.length("x") + F.length("y") + 2)), F.max("kinds")).first()
     found = by_suffix_arrays(mixed.where(F.col("kinds") <= MOST_CHUNKS).drop("kinds", "times"), 1 + (size or 0) // SHARD_SYMBOLS)
@@ -235,8 +239,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     windows = pieces.join(found.union(alone), [*core, "x", "y"]).join(classes.select("id", "off", "span"), "id")
     start = lambda j: F.col("off") - F.col("k") * WIDTH - j
     starts = F.filter(F.transform("js", start), lambda a: (a >= 0) & (a <= F.col("span")))
-    own = windows.select("id", starts.alias("at")).where(F.size("at") > 0).groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at"))
-    own = own.select("id", F.transform("at", lambda a: F.struct(a.alias("a"), a.alias("b"))).alias("runs"))
+    own = windows.select("id", starts.alias("at")).where(F.size("at") > 0).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+    # starts in a row are one run
+    begins = F.filter("at", lambda a, i: (i == 0) | (F.get("at", i - 1) < a - 1))
+    ends = F.filter("at", lambda a, i: (i == F.size("at") - 1) | (F.get("at", i + 1) > a + 1))
+    own = own.select("id", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("runs"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("span").alias("b")))
     covered = classes.join(own, "id", "left").select(*same, F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
     at = F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] + length).alias("b")))
@@ -258,12 +265,15 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
             for k in range(0, batch.num_rows, 256):
                 out: tuple[list, ...] = ([], [], [], [], [])
                 some = batch.slice(k, 256)
-                for doc, text, gone in zip(some.column(0).to_pylist(), some.column(1), some.column(2).to_pylist(), strict=True):
+                gone = some.column(2)
+                flat = gone.flatten()
+                upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False))])
+                start, end = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+                for row, (doc, text) in enumerate(zip(some.column(0).to_pylist(), some.column(1), strict=True)):
                     body = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
-                    edge = np.zeros(len(body) + 1, dtype=np.int64)
-                    if gone:
-                        np.add.at(edge, [g["a"] for g in gone], 1)
-                        np.add.at(edge, [g["b"] for g in gone], -1)
+                    edge = np.zeros(len(body) + 1, dtype=np.int32)
+                    np.add.at(edge, start[upto[row] : upto[row + 1]], 1)
+                    np.add.at(edge, end[upto[row] : upto[row + 1]], -1)
                     removed = np.cumsum(edge)[:-1] > 0
                     for c, v in zip(out, (doc, len(body), int(removed.sum()), len(runs_of(removed)[0]), body[~removed].tobytes()), strict=True):
                         c.append(v)
