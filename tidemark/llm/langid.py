@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.quality import held_out
+from tidemark.llm.store import HASHES, hash_order
 
 BUCKETS = 1 << 14
 #: The most training documents of a language: those least by hash of their id.
@@ -163,9 +164,12 @@ def train_language(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, id_c
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     n, df = document_frequencies(known.select(text_col))
     idf = np.log((1 + n) / (1 + df)) + 1
-    turn = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_turn", F.row_number().over(turn))
-    ids = ids.where(F.col("_turn") <= sample_per_lang).select("_id", "_lang").distinct()
+    ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_order", hash_order("_id"))
+    # what lies far beyond a language's first rows is left out before they are ranked
+    counts = ids.groupBy("_lang").agg(F.count("*").alias("_n"))
+    near = ids.join(F.broadcast(counts), "_lang").where(F.col("_order") < F.least(F.lit(1.0), (2 * sample_per_lang + 1000) / F.col("_n")) * HASHES)
+    turn = Window.partitionBy("_lang").orderBy("_order", "_id")
+    ids = near.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= sample_per_lang).select("_id", "_lang").distinct()
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).join(F.broadcast(ids), ["_id", "_lang"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.store import least_by_hash
 from tidemark.llm.textbytes import chunks, prefix_hash, span_hash, words
 
 #: The most labelled documents that the field is fitted on: those least by hash of their id.
@@ -193,7 +194,7 @@ def held_out(id_col: str = "doc_id"):
 def train_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit on at most ``sample_docs`` labelled documents outside the held-out ones. labels: (id, quality)."""
     known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("_label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
+    known = least_by_hash(known, ["_id"], sample_docs)
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
 
 
 def score_quality(docs: DataFrame, model: Chain, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each text, from 0 to 1."""
+    """``docs`` with the score of each text, from 0 to 1; a column of that name is replaced."""
+    docs = docs.drop(out_col)
     place = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.store import cut
+from tidemark.llm.store import cut, least_by_hash
 from tidemark.llm.vectors import by_dim, classes, matrix, unit, usable, with_cosine
 
 THRESHOLD = 0.95
@@ -112,7 +112,7 @@ def candidate_pairs(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFr
     distance = 2 - 2 * threshold
     sizes = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     sample: dict[int, np.ndarray] = {}
-    for r in distinct.orderBy(F.xxhash64("rep")).limit(SAMPLE_ROWS).groupBy("dim").agg(F.collect_list("v").alias("v")).collect():
+    for r in least_by_hash(distinct, ["rep"], SAMPLE_ROWS).groupBy("dim").agg(F.collect_list("v").alias("v")).collect():
         sample[r["dim"]] = unit(np.array(r["v"], dtype=np.float64)) @ rotation(r["dim"])
     trees = {}
     for dim, n in sizes.items():
