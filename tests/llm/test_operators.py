@@ -50,7 +50,9 @@ def test_line_dedup(spark):
     df = docs_table(spark, texts)
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
     assert got == brute_lines(list(enumerate(texts)))
-    assert set(df.columns) < set(linededup.dedup_lines(df).columns)
+    clash = df.withColumn("gone", F.lit(1)).withColumn("doc", F.lit(2)).withColumn("n_lines", F.lit("x")).withColumn("a", F.lit(3))
+    again = linededup.dedup_lines(clash)
+    assert again.columns == [*df.columns, "gone", "doc", "a", "n_lines", "n_removed"] and {r["doc_id"]: r["text"] for r in again.collect()} == got
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
@@ -78,6 +80,8 @@ def test_mixing_keeps_every_row(spark):
     for t in range(10, 90, 10):  # until the first source runs out
         taken = blocks[blocks.slot < t].source.fillna("none").value_counts()
         assert abs(taken["hot"] - t * 0.5) < 1 and abs(taken["b"] - t * 0.3) < 1
+    clash = df.withColumn("block", F.lit("x")).withColumn("slot", F.lit(1))
+    assert mixing.mix_sources(clash, {"hot": 0.5, "b": 0.3, None: 0.2}).columns == ["doc_id", "source", "rank", "block", "slot", "place"]
     assert mixing.mix_sources(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(df, {"hot": 1.0})
@@ -345,6 +349,7 @@ def test_quality(spark):
     assert np.mean([(got.q[i] >= 0.7) == (i < 150) for i in held]) >= 0.95
     assert got.q.between(0, 1).all() and got.q[300] == got.q[301] and got.q[302] == got.q[0]
     assert quality.keep_good(df, model).columns == df.columns
+    assert quality.score_quality(df, model).columns.count("score") == 1
     blank = quality.train_quality(df, labels.limit(0))
     assert set(quality.score_quality(df, blank, out_col="q").toPandas().q) == {0.5}
     assert quality.score_quality(empty(spark), model, out_col="q").count() == 0

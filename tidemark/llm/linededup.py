@@ -7,7 +7,8 @@ do not count.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line; texts under three lines have
 no window and stay as they are; rows with a null doc_id stay as they are; rows that share a doc_id count as one place, so
-they lose the same lines if their texts are equal; an empty table gives no rows; other columns pass through.
+they lose the same lines if their texts are equal; an empty table gives no rows; other columns pass through, but for columns
+named n_lines or n_removed, which the result's own replace.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ def line_windows(docs: DataFrame, size: int = WINDOW_LINES, id_col: str = "doc_i
 def repeated_lines(docs: DataFrame, size: int = WINDOW_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, gone): positions of the lines that later occurrences cover, once each, for documents that lose any."""
     windows = cut(line_windows(docs, size, id_col, text_col))
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own, so that the join deals both sides anew and can split a very frequent window
+    first = cut(windows.groupBy("a", "b").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = windows.join(first, ["a", "b"]).where(F.struct("doc", "pos") > F.col("first"))
     starts = later.groupBy("doc").agg(F.collect_set("pos").alias("starts"))
     covered = F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (size - 1))))
@@ -60,13 +62,15 @@ def repeated_lines(docs: DataFrame, size: int = WINDOW_LINES, id_col: str = "doc
 def dedup_lines(docs: DataFrame, size: int = WINDOW_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with what is left of each text, and ``n_lines`` and ``n_removed``."""
     gone = repeated_lines(docs, size, id_col, text_col)
-    lines = F.split(F.col(text_col), "\n", -1)
+    lost = gone["gone"]
+    lines = F.split(docs[text_col], "\n", -1)
     left = F.transform(
         F.array(lines),  # binds the lines once for each text
-        lambda ls: F.concat_ws("\n", F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone")), lambda i: F.get(ls, i))),
+        lambda ls: F.concat_ws("\n", F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), lost), lambda i: F.get(ls, i))),
     )[0]
     out = docs.join(gone, docs[id_col] == gone["doc"], "left")
-    kept = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(left)
-    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
-    total = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines))
-    return out.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns], total.alias("n_lines"), removed.alias("n_removed"))
+    kept = F.when(lost.isNull(), docs[text_col]).otherwise(left)
+    removed = F.when(lost.isNull(), F.lit(0)).otherwise(F.size(lost))
+    total = F.when(docs[text_col].isNull(), F.lit(0)).otherwise(F.size(lines))
+    passed = [kept.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*passed, total.alias("n_lines"), removed.alias("n_removed"))

@@ -82,6 +82,7 @@ def mix_sources(
     ``SMOOTHING``; a source that ``weights`` lacks raises ValueError.
     """
     spark = docs.sparkSession
+    docs = docs.drop("block", "slot", "place")
     rows = {r[0]: r[1] for r in docs.groupBy(source_col).count().limit(MOST_SOURCES + 1).collect()}
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
