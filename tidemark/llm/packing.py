@@ -31,8 +31,8 @@ from tidemark.llm.textbytes import chunks, prefix_hash, span_hash, words
 
 MAX_TOKENS = 4096
 END_ID = 1
-#: A Python worker remembers the ids of so many parts of texts, in arrays of about 100 MB, and then starts anew.
-PARTS = 1 << 21
+#: A Python worker remembers the ids of so many parts of texts, in arrays of about 50 MB, and then starts anew.
+PARTS = 1 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -107,16 +107,25 @@ class PartTokenizer:
         self.size[self.count : n] = size
         self.start[self.count : n] = self.used + np.cumsum(size) - size
         self.letters[self.count : n] = [p.isalpha() for p in parts]
+        if 4 * n > 3 * len(self.keys):  # one very long text can bring more than a worker keeps
+            held = self.keys != 0
+            known, entries = self.keys[held], self.entry[held]
+            self.keys, self.entry = np.zeros(2 * len(self.keys), dtype=np.uint64), np.zeros(2 * len(self.keys), dtype=np.int32)
+            self._insert(known, entries)
+        self._insert(hashes, np.arange(self.count, n))
+        self.count, self.used = n, end
+
+    def _insert(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        """Put distinct hashes that are not there yet into free places."""
         mask = len(self.keys) - 1
         slot, left = (hashes & np.uint64(mask)).astype(np.int64), np.arange(len(hashes))
         while len(left):
             free = self.keys[slot] == 0
             at, first = np.unique(slot[free], return_index=True)
             put = left[free][first]
-            self.keys[at], self.entry[at] = hashes[put], self.count + put
+            self.keys[at], self.entry[at] = hashes[put], entries[put]
             on = self.keys[slot] != hashes[left]
             left, slot = left[on], (slot[on] + 1) & mask
-        self.count, self.used = n, end
 
     def _entries(self, prefix: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         hashes = np.maximum(span_hash(prefix, start, end), np.uint64(1))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once inside a task.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
