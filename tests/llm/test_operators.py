@@ -439,3 +439,10 @@ def test_hashes_tell_words_apart():
     hashes, at = textbytes.shingle_hashes(data, offsets, 5)
     assert np.diff(at).tolist() == [2, 2, 1, 0, 0] and (hashes[:2] == hashes[2:4]).all()
     assert hashlib.sha256(data.tobytes()).hexdigest()
+
+
+def test_a_notice_on_most_lines_is_found(spark):
+    notice = "This work is licensed under a Creative Commons Attribution 4.0 International License"
+    df = spark.createDataFrame([(i, f"a/{i}", notice) for i in range(2000)] + [(2000 + i, f"b/{i}", prose(12, i)) for i in range(20)], "id long, path string, text string")
+    got = licenses.detect_licenses(df).toPandas().set_index("id")
+    assert (got.own_license[:2000] == "CC-BY-4.0").all() and got.score[:2000].min() > 0.999 and got.own_license[2000:].isna().all()

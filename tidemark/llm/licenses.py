@@ -13,6 +13,7 @@ best score and then the smaller path wins; an empty table gives no rows; repeate
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -55,8 +56,12 @@ class Matcher:
         self.rare = math.log(1 + lines) + 1
         self.idf = {t: math.log((1 + lines) / (1 + df.get(t, 0))) + 1 for t in vocabulary(templates)}
         self.vectors = [(name, self._unit(Counter(terms(t)))) for name in sorted(templates) for t in templates[name]]
-        # a line must share a term this rare with a template, or its cosine stays below the least
-        self.keys = {t for t, w in self.idf.items() if w > self.rare / 3} or set(self.idf)
+        self.names = [name for name, _ in self.vectors]
+        # the templates of each term: what shares none of them has a cosine of zero to all
+        self.where: dict[str, list[tuple[int, float]]] = {}
+        for k, (_, vector) in enumerate(self.vectors):
+            for t, x in vector.items():
+                self.where.setdefault(t, []).append((k, x))
 
     def _unit(self, count: Mapping[str, int]) -> dict[str, float]:
         v = {t: n * self.idf.get(t, self.rare) for t, n in count.items()}
@@ -65,12 +70,17 @@ class Matcher:
 
     def best(self, words: list[str]) -> tuple[float, str | None]:
         """Highest cosine to a template, and its name; the earlier name if several tie."""
-        v = self._unit(Counter(words))
+        dots, square = [0.0] * len(self.names), 0.0
+        for t, n in Counter(words).items():
+            x = n * self.idf.get(t, self.rare)
+            square += x * x
+            for k, y in self.where.get(t, ()):
+                dots[k] += x * y
+        length = math.sqrt(square) or 1.0
         score, name = 0.0, None
-        for other, template in self.vectors:
-            dot = sum(x * template.get(t, 0.0) for t, x in v.items())
-            if dot > score + 1e-12:
-                score, name = dot, other
+        for other, dot in zip(self.names, dots, strict=True):
+            if dot / length > score + 1e-12:
+                score, name = dot / length, other
         return min(score, 1.0), name
 
 
@@ -103,18 +113,19 @@ def detect_licenses(files: DataFrame, templates: Mapping[str, tuple[str, ...]] =
     matcher = Matcher(templates, *line_frequencies(texts.select("text"), templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = matcher.keys
+        # short lines that repeat, such as a notice in every file, are compared once
+        known = matcher.where.keys()
+        compare = lambda line: (0.0, None) if known.isdisjoint(words := _TERM.findall(line)) else matcher.best(words)
+        remembered = functools.lru_cache(1 << 12)(compare)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for text in batch.column(2):
                 score, name, at = 0.0, None, None
                 lines = text.as_py().split("\n") if text.is_valid else []
                 for k, line in enumerate(lines):
-                    words = _TERM.findall(line.lower())
-                    if not keys.isdisjoint(words):
-                        s, other = matcher.best(words)
-                        if s > score + 1e-12:
-                            score, name, at = s, other, k
+                    s, other = (remembered if len(line) < 400 else compare)(line.lower())
+                    if s > score + 1e-12:
+                        score, name, at = s, other, k
                 good = score >= least
                 for c, v in zip(out, (name if good else None, score, at if good else None, len(lines)), strict=True):
                     c.append(v)
