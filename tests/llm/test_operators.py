@@ -91,6 +91,30 @@ def test_mixing_equals_sql(spark, duck):
     assert same_rows(queries.op3_mixing(spark, SF), duck, queries.OP3_SQL) == 200
 
 
+@pytest.mark.parametrize(
+    "weights, slots",
+    [({"a": 0.61234, "b": 0.38721, "c": 0.00045}, 100), ({f"s{i:04}": 1 + i % 7 + 200 * (i == 5) for i in range(1500)}, 1000), ({"a": 2**0.5, None: 3**0.5, "c": 1e-4}, 10)],
+)
+def test_shares_follow_the_real_weights_over_many_periods(weights, slots):
+    names, total = sorted(weights, key=lambda s: (s is not None, s)), sum(weights.values())
+    real = np.array([weights[s] / total for s in names])
+    period, done = mixing.period_shares(weights, {s: int(np.ceil(200 * slots * weights[s] / total)) for s in names}, slots)
+    at = np.arange(len(done))[:, None] * period
+    assert len(done) > 200 and (done.sum(axis=1) == at[:, 0]).all() and (np.diff(done, axis=0) >= 0).all()
+    assert np.abs(done - at * real).max() < 1 + 1e-6
+
+
+def test_slots_follow_the_real_weights(spark):
+    weights = {"a": 0.61234, "b": 0.38721, "c": 0.00045}
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("case when id < 3600 then 'a' when id < 5900 then 'b' else 'c' end").alias("source"))
+    got = mixing.mix_sources(df, weights, block_rows=1, slots=100).toPandas()
+    assert len(got) == 6000 and not got.duplicated(["slot"]).any()
+    for s, w in weights.items():
+        at = np.sort(got.slot[got.source == s].to_numpy())
+        k = np.arange(len(at))
+        assert np.abs(k - at * w).max() < 2 and np.abs(k + 1 - (at + 1) * w).max() < 2
+
+
 # packing
 
 

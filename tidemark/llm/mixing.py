@@ -1,11 +1,15 @@
 """Interleave sources by target weights: Pfair release times and deadlines, earliest deadline first.
 
-Each source's rows are numbered in order and cut into blocks. A period has ``slots`` slots, of which a source gets its
-target weight as a whole number of blocks, n. Its block j is released at floor(j * slots / n) and due by
-ceil((j + 1) * slots / n); in each slot the released block with the earliest deadline goes. The sum of the shares is
-the period, so every deadline is met, and after any number of slots a source deviates from its weight by less than
-one block. Every period is the same: the schedule of one is made on the driver (``slots`` entries) and the slot of any
-block follows by arithmetic on the executors. A source that runs out leaves its slots empty; no row is dropped.
+Each source's rows are numbered in order and cut into blocks, of which one goes in each slot. Slots are dealt in two
+levels. Each period of ``slots`` slots is shared out in whole blocks: block j of a source with weight w is released in
+the period of slot j / w and due by the end of that of (j + 1) / w, and the released blocks with the earliest deadlines
+fill the period, so at the end of every period, however many there are, a source deviates from its weight by less
+than one block. Inside a period with n blocks of a source the same rule runs slot by slot with the weight n / slots, so
+anywhere else the deviation is less than two blocks. Weights are whole numbers of 2^-40, so they count as given up to 10^12 slots.
+
+The driver shares out the periods (sources x periods numbers, at most ``MOST_SHARES``: for larger tables periods have
+more slots); executors make the schedules of the periods that their rows fall in. A source that runs out leaves its slots
+empty; no row is dropped. A weight so small that its source's rows need more than ``MOST_PERIOD`` slots in each period raises.
 
 Defined cases: null is a source of its own; rows with one doc_id keep their own places, in any order among them; an
 empty table gives no rows; other columns pass through, and must not be named ``block``, ``slot`` or ``place``.
@@ -14,8 +18,11 @@ empty table gives no rows; other columns pass through, and must not be named ``b
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +34,11 @@ SLOTS = 1000
 SMOOTHING = 0.5
 #: More sources than this do not fit a schedule held on the driver.
 MOST_SOURCES = 10_000
+#: Sources times periods that the driver shares out, and slots of a period.
+MOST_SHARES = 1 << 21
+MOST_PERIOD = 1 << 20
+#: Weights are whole numbers of this part of their sum.
+UNIT = 1 << 40
 
 
 def shares(weights: Mapping[str | None, float], slots: int) -> dict[str | None, int]:
@@ -68,6 +80,50 @@ def schedule(share: Mapping[str | None, int]) -> dict[str | None, list[int]]:
     return out
 
 
+def whole_weights(weights: Mapping[str | None, float]) -> np.ndarray:
+    """Weights as whole numbers with the sum ``UNIT``, at least one each, in the order of names."""
+    names = sorted(weights, key=lambda s: (s is not None, s))
+    if any(not 0 < weights[s] < math.inf for s in names):
+        raise ValueError("target weights must be positive")
+    total = math.fsum(weights.values())
+    out = np.array([max(1, round(weights[s] / total * UNIT)) for s in names], dtype=np.int64)
+    if len(out):
+        out[out.argmax()] += UNIT - out.sum()
+    return out
+
+
+def period_shares(weights: Mapping[str | None, float], blocks: Mapping[str | None, int], slots: int) -> tuple[int, np.ndarray]:
+    """Slots of a period, and how many blocks of each source (a column, in the order of names) go before each period.
+
+    The last row has all ``blocks``. The first period has the shares of :func:`shares` if no source has less than a slot of it.
+    """
+    names = sorted(weights, key=lambda s: (s is not None, s))
+    unit = whole_weights(weights)
+    need = np.array([blocks.get(s, 0) for s in names], dtype=np.int64)
+    if not need.any():
+        return slots, np.zeros((1, len(names)), dtype=np.int64)
+    last = max(-(-int(n) * UNIT // int(w)) for n, w in zip(need, unit, strict=True))
+    most = max(MOST_SHARES // len(names), 2)
+    slots *= max(1, -(-last // (slots * most)))
+    if slots > MOST_PERIOD:
+        raise ValueError("a target weight is too small for the rows of its source")
+    done = [np.zeros(len(names), dtype=np.int64)]
+    behind = np.zeros(len(names), dtype=np.int64)  # weight times slots so far less blocks so far, in units
+    while (done[-1] < need).any():
+        behind = behind + unit * slots
+        got = np.maximum(behind // UNIT, 0)  # due in this period
+        if len(done) == 1 and (unit * slots >= UNIT).all():
+            got = np.array(list(shares(weights, slots).values()), dtype=np.int64)
+        left = behind - got * UNIT
+        spare = slots - int(got.sum())
+        if spare:
+            due = np.where(left > 0, -(-(UNIT - left) // (unit * slots)), np.iinfo(np.int64).max)
+            got[np.lexsort((-left, due))[:spare]] += 1
+        behind = behind - got * UNIT
+        done.append(done[-1] + got)
+    return slots, np.array(done)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Mapping[str | None, float] | None = None,
@@ -90,12 +146,36 @@ def mix_sources(
         weights = {s: n**SMOOTHING for s, n in rows.items()}
     if missing := [s for s in rows if s not in weights]:
         raise ValueError(f"no target weight for source {missing[0]!r}")
-    plan = schedule(shares({s: weights[s] for s in weights}, slots))
-    period = sum(map(len, plan.values()))
-    table = spark.createDataFrame([(s, at) for s, at in plan.items()], "_source string, _slots array<int>")
+    names = sorted(weights, key=lambda s: (s is not None, s))
+    period, done = period_shares(weights, {s: -(-n // block_rows) for s, n in rows.items()}, slots)
+    table = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "_source string, _index int")
     place = ranked(docs, [source_col], [order_col], "_rank").withColumn("block", F.floor(F.col("_rank") / block_rows))
-    n = F.size("_slots")
-    slot = F.floor(F.col("block") / n) * period + F.element_at("_slots", (F.col("block") % n + 1).cast("int"))
+    known: dict[bytes, dict[int, np.ndarray]] = {}
+
+    def run(index: pd.Series, block: pd.Series) -> pd.Series:
+        out = np.zeros(len(index), dtype=np.int64)
+        source, number, at = index.to_numpy(), block.to_numpy(), np.zeros(len(index), dtype=np.int64)
+        for i in np.unique(source):
+            own = source == i
+            at[own] = np.searchsorted(done[:, i], number[own], side="right") - 1
+        order = np.argsort(at, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            if len(some):
+                k = at[some[0]]
+                share = done[k + 1] - done[k]
+                if (key := share.tobytes()) not in known:
+                    if len(known) * period >= MOST_PERIOD:
+                        known.clear()
+                    # sources without a block in this period are no part of its schedule
+                    plan = schedule({f"{i:08}": int(share[i]) for i in np.flatnonzero(share)})
+                    known[key] = {int(i): np.array(s, dtype=np.int64) for i, s in plan.items()}
+                within = number[some] - done[k][source[some]]
+                for i in np.unique(source[some]):
+                    own = source[some] == i
+                    out[some[own]] = k * period + known[key][i][within[own]]
+        return pd.Series(out)
+
+    slot = F.pandas_udf(run, "long")(F.col("_index"), F.col("block"))
     return place.join(F.broadcast(table), F.col(source_col).cast("string").eqNullSafe(F.col("_source"))).select(
         *docs.columns, "block", slot.alias("slot"), (F.col("_rank") % block_rows).cast("int").alias("place")
     )
