@@ -6,11 +6,13 @@ stage's docs. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.linededup import dedup_lines
-from tidemark.llm.mixing import mix_sources
+from tidemark.llm.mixing import BLOCK_ROWS, mix_sources
 from tidemark.llm.neardup import drop_near_duplicates
 from tidemark.llm.packing import best_fit_pack
 from tidemark.llm.quality import keep_good, train_quality
@@ -35,16 +37,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs)
 
 
+#: Target weights of sources; None: the square root of a source's rows.
+WEIGHTS: Mapping[str | None, float] | None = None
+
+
+def with_places(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_at``, the number of each row's place in the mixture's schedule. It follows from the rows alone, in any order."""
+    mixed = mix_sources(docs.select("doc_id", "source"), WEIGHTS).select("doc_id", "source", (F.col("slot") * BLOCK_ROWS + F.col("place")).alias("_at"))
+    # rows that repeat an id of a source share its earliest place
+    first = mixed.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s")).agg(F.min("_at").alias("_at"))
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_d", "_s")
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows in the order of the mixture: files, and rows in them, follow the schedule's slots. None goes."""
-    mixed = mix_sources(docs.select("doc_id", "source")).select("doc_id", "slot", "place")
-    whole = docs.join(mixed.dropDuplicates(["doc_id"]), "doc_id", "left")
-    return whole.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    """The rows in the order of the mixture: files, and rows in them, follow the schedule's places. None goes.
+
+    Rows read again may come in another order, so :func:`packing` makes the places anew from the same rows.
+    """
+    return with_places(docs).repartitionByRange("_at").sortWithinPartitions("_at").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
-    return best_fit_pack(docs, tokenizer_path())
+    """Sequences of at most 4096 tokens, numbered by the mixture's schedule, which also decides between documents of equal length."""
+    return best_fit_pack(with_places(docs), tokenizer_path(), place_col="_at")
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packing", packing)]

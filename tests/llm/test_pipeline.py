@@ -21,3 +21,26 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
 
 def test_run_gives_what_the_stages_give(spark):
     assert P.run(spark, SF).count() > 0
+
+
+def test_the_mixture_decides_the_packed_rows(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sources = [r[0] for r in docs.select("source").distinct().collect()]
+
+    def run(weights):
+        monkeypatch.setattr(P, "WEIGHTS", weights)
+        return P.packing(spark, P.mixture(spark, docs, SF), SF).toPandas()
+
+    first, other = sorted(sources, key=str)[:2]
+    got = {s: run({x: 1.0 if x != s else 1000.0 for x in sources}) for s in (first, other)}
+    source = dict(docs.select("doc_id", "source").collect())
+    for s, rows in got.items():
+        ids = sorted(set(rows.sequence_id))
+        assert ids == list(range(len(ids))) and rows.groupby("sequence_id").length.sum().max() <= 4096
+        heavy = rows[rows.doc_id.map(source) == s].sequence_id.mean()
+        assert heavy < rows[rows.doc_id.map(source) != s].sequence_id.mean()
+    one, two = ({(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in rows.itertuples()} for rows in got.values())
+    assert one.keys() == two.keys() and one != two
+    assert len(set(got[first].sequence_id)) == len(set(got[other].sequence_id))
+    again = P.packing(spark, docs.orderBy("n_chars"), SF).toPandas()
+    assert {(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in again.itertuples()} == two

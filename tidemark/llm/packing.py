@@ -11,6 +11,9 @@ their ranks, updates the gaps and repeats until the class is placed. The executo
 
 Defined cases: a null text is an empty one, which has the closing id alone; texts longer than a sequence are cut into
 whole sequences and a rest; rows that repeat a doc_id are packed each on its own; an empty table gives no rows.
+
+With a column of places (a mixture's, say), pieces of equal length claim sequences in the order of places instead of ids,
+and sequences are numbered by their earliest place. The lengths that share a sequence stay the same, so no sequence is added.
 """
 
 from __future__ import annotations
@@ -175,13 +178,14 @@ def worker_tokenizer(path: str) -> PartTokenizer:
     return PartTokenizer(path)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document, or for each part of at most ``max_tokens`` of a longer one."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None) -> DataFrame:
+    """One row for each document, or for each part of at most ``max_tokens`` of a longer one; with ``place_col``, its place too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(tokenizer_path)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
+            rows: list[int] = []
             docs_, texts = batch.column(0).to_pylist(), batch.column(1)
             for first, last, data, offsets in chunks(texts):
                 ids, at_ = tokenizer.ids(data, offsets)
@@ -195,9 +199,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
                         part = own[at : at + max_tokens]
                         for column, value in zip(out, (docs_[first + row], k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append(first + row)
+            made = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            extra = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*made, *extra], ["doc_id", "piece", "start", "length", "ids_crc32", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(place_col).cast("long").alias("_place")] if place_col else []))
+    return own.mapInArrow(run, f"{PIECES}, _place long" if place_col else PIECES)
 
 
 def claims(counts: dict[int, int], max_tokens: int = MAX_TOKENS) -> np.ndarray:
@@ -240,10 +248,14 @@ def claims(counts: dict[int, int], max_tokens: int = MAX_TOKENS) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(-1, 5)
 
 
-def best_fit_pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces with their sequence and the place in it: columns of :func:`token_pieces`, ``sequence_id``, ``offset``."""
+def best_fit_pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None) -> DataFrame:
+    """Pieces with their sequence and the place in it: columns of :func:`token_pieces`, ``sequence_id``, ``offset``.
+
+    place_col: decides between pieces of equal length, and the order of the sequences; nulls come first.
+    """
     # written first: sorting by range reads its input twice, and texts are tokenised once
-    pieces = ranked(cut(token_pieces(docs, tokenizer_path, max_tokens, id_col, text_col)), ["length"], ["doc_id", "piece"])
+    order = ["_place"] if place_col else []
+    pieces = ranked(cut(token_pieces(docs, tokenizer_path, max_tokens, id_col, text_col, place_col)), ["length"], [*order, "doc_id", "piece"])
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     if max(counts, default=0) > max_tokens:
         raise ValueError("a piece is longer than a sequence")
@@ -258,6 +270,11 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TO
             own = plan[np.searchsorted(key, length * most + rank, side="right") - 1]
             beyond = rank - own[:, 1]
             sequence, offset = own[:, 3] + beyond // own[:, 2], own[:, 4] + beyond % own[:, 2] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
-
-    return pieces.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+            own_columns = batch.columns[: 5 + len(order)]
+            yield pa.RecordBatch.from_arrays([*own_columns, pa.array(sequence), pa.array(offset)], [*batch.schema.names[: len(own_columns)], "sequence_id", "offset"])
+
+    if not place_col:
+        return pieces.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    packed = cut(pieces.mapInArrow(place, f"{PIECES}, _place long, sequence_id long, offset long"))
+    turns = ranked(packed.groupBy("sequence_id").agg(F.min("_place").alias("_earliest")), [], ["_earliest", "sequence_id"], "_turn")
+    return packed.join(turns, "sequence_id").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("_turn").alias("sequence_id"), "offset")
