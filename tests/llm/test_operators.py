@@ -470,3 +470,20 @@ def test_a_notice_on_most_lines_is_found(spark):
     df = spark.createDataFrame([(i, f"a/{i}", notice) for i in range(2000)] + [(2000 + i, f"b/{i}", prose(12, i)) for i in range(20)], "id long, path string, text string")
     got = licenses.detect_licenses(df).toPandas().set_index("id")
     assert (got.own_license[:2000] == "CC-BY-4.0").all() and got.score[:2000].min() > 0.999 and got.own_license[2000:].isna().all()
+
+
+def test_whole_licences_and_wrapped_headers_keep_their_version(spark):
+    import textwrap
+
+    full = {name: texts[-1] for name, texts in licenses.license_blocks().items()}
+    cases = [(name, text) for name, text in full.items() if name in licenses.LONG]
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "MIT"):
+        cases += [(name, "Copyright (c) 2020 Ann\n\n" + textwrap.fill(full[name], 60)), (name, full[name].replace("COPYRIGHT HOLDER", "REGENTS").replace("copyright holder", "University"))]
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "Apache-2.0", "MPL-2.0"):
+        header = licenses.BLOCKS[name][-1]
+        cases.append((name, textwrap.fill("Tool, made by Ann. This program " + header, 50, initial_indent=" * ", subsequent_indent=" * ") + "\n" + prose(80, 3)))
+    cases += [("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n"), ("CC-BY-4.0", f"{prose(60, 4)}. Licensed under CC BY 4.0. {prose(60, 5)}"), ("MIT", f"{prose(200, 6)} released under the\nMIT License {prose(200, 7)}"), (None, prose(300, 8))]
+    df = spark.createDataFrame([(i, f"d/{i}", text) for i, (_, text) in enumerate(cases)], "id long, path string, text string")
+    got = {r["id"]: (r["own_license"], r["line"]) for r in licenses.detect_licenses(df).collect()}
+    assert [got[i][0] for i in range(len(cases))] == [name for name, _ in cases]
+    assert got[5][1] == 2 and got[len(cases) - 2][1] == 0

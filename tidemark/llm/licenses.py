@@ -3,7 +3,9 @@
 Every line of every text is a possible notice. Terms are weighted by term
 frequency and by inverse document frequency over all lines of the corpus; only the templates' terms have their frequency
 counted, so what is counted is bounded by the templates, and any other word weighs as one that occurs nowhere else. A file's
-own licence is its best line's, at ``LEAST`` or more. A licence file speaks for its directory; a file without a licence of its own
+own licence is that of the licence text, title or header that runs of its words equal best, over as many lines as they take, at
+``BLOCK_LEAST`` or more; or else its best line's or best notice's inside a longer line, at ``LEAST`` or more. A run begins where
+four words in a row are those of the template's beginning (its first ``HEAD`` words), so wrapping and comment signs play no part. A licence file speaks for its directory; a file without a licence of its own
 takes that of the nearest ancestor directory that has one, found by a join of directories with their ancestors' paths.
 
 Defined cases: texts that are null or empty have no licence of their own; rows with a null path neither inherit nor pass on; between
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import math
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -26,6 +29,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.store import cut
 
 LEAST = 0.6
+BLOCK_LEAST = 0.9
+#: Words at the beginning of a template in which runs of four words are looked up.
+HEAD = 40
 
 #: Notices as their licences' publishers recommend them, several for one licence where usage differs.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -41,6 +47,32 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
 }
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_GNU = "is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+
+#: Titles and headers of more than a line, and short licence texts; the long ones are in ``license_texts``.
+BLOCKS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache License Version 2.0, January 2004", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    "BSD-2-Clause": (_BSD + _BSD_END,),
+    "BSD-3-Clause": (_BSD + _BSD_NAMES + _BSD_END,),
+    "GPL-2.0": ("GNU General Public License Version 2, June 1991", _GNU.format("", 2)),
+    "GPL-3.0": ("GNU General Public License Version 3, 29 June 2007", _GNU.format("", 3)),
+    "LGPL-3.0": ("GNU Lesser General Public License Version 3, 29 June 2007", _GNU.format("Lesser ", 3)),
+    "MIT": (_MIT,),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
+}
+LONG = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0")
+
+
+def license_blocks() -> dict[str, tuple[str, ...]]:
+    """``BLOCKS`` and the whole texts of long licences."""
+    long = {name: (pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode(),) for name in LONG}
+    return {name: BLOCKS.get(name, ()) + long.get(name, ()) for name in sorted({*BLOCKS, *long})}
+
+
 _TERM = re.compile(r"[a-z0-9]+(?:[-.][a-z0-9]+)*")
 
 
@@ -84,6 +116,40 @@ class Matcher:
         return min(score, 1.0), name
 
 
+class Runs:
+    """Templates looked up in the words of a whole text."""
+
+    def __init__(self, matcher: Matcher, templates: Mapping[str, tuple[str, ...]]):
+        self.matcher = matcher
+        self.templates: list[tuple[str, int, dict[str, float]]] = []
+        #: four words as they stand in a text, and where they stand in which template
+        self.starts: dict[str, list[tuple[int, int]]] = {}
+        for name in sorted(templates):
+            for text in templates[name]:
+                own = terms(text)
+                for at in range(max(min(len(own), HEAD) - 3, 1)):
+                    self.starts.setdefault(f" {' '.join(own[at : at + 4])} ", []).append((len(self.templates), at))
+                self.templates.append((name, len(own), matcher._unit(Counter(own))))
+        self.firsts = {key.split()[0] for key in self.starts}
+
+    def best(self, words: list[str]) -> tuple[float, str | None, int]:
+        """Highest cosine of a run of words to a template of its length, the template's name and the run's first word; of equals the longer, then the earlier."""
+        tried: set[tuple[int, int]] = set()
+        found: tuple[float, int, int, str | None] = (0.0, 0, 0, None)
+        for p, word in enumerate(words):
+            if word in self.firsts:
+                for k, at in self.starts.get(f" {' '.join(words[p : p + 4])} ", ()):
+                    begin = max(p - at, 0)
+                    if (k, begin) not in tried:
+                        tried.add((k, begin))
+                        name, size, vector = self.templates[k]
+                        own = self.matcher._unit(Counter(words[begin : begin + size]))
+                        score = round(min(sum(x * vector.get(t, 0.0) for t, x in own.items()), 1.0), 12)
+                        if (score, size, -begin) > found[:3]:
+                            found = (score, size, -begin, name)
+        return found[0], found[3], -found[2]
+
+
 def vocabulary(templates: Mapping[str, tuple[str, ...]]) -> set[str]:
     return {t for some in templates.values() for text in some for t in terms(text)}
 
@@ -107,10 +173,23 @@ def line_frequencies(texts: DataFrame, templates: Mapping[str, tuple[str, ...]])
     return df.pop("", 0), df
 
 
-def detect_licenses(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, id_col: str = "id", text_col: str = "text", path_col: str = "path") -> DataFrame:
-    """(id, path, own_license, score, line, lines): the licence of a file's best line (from 0), null below ``least``."""
+def line_of(lines: list[str], word: int) -> int:
+    """The line in which the word of this number stands."""
+    for k, line in enumerate(lines):
+        if word < (n := len(_TERM.findall(line.lower()))):
+            return k
+        word -= n
+    return len(lines) - 1
+
+
+def detect_licenses(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, id_col: str = "id", text_col: str = "text", path_col: str = "path", blocks: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(id, path, own_license, score, line, lines): the licence of a file's best block or line and the line where it begins (from 0), null below ``least``.
+
+    blocks: licence texts and headers of several lines; :func:`license_blocks` if not given.
+    """
     texts = files.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     matcher = Matcher(templates, *line_frequencies(texts.select("text"), templates))
+    notices, long = Runs(matcher, templates), Runs(matcher, license_blocks() if blocks is None else blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # short lines that repeat, such as a notice in every file, are compared once
@@ -126,6 +205,11 @@ def detect_licenses(files: DataFrame, templates: Mapping[str, tuple[str, ...]] =
                     s, other = (remembered if len(line) < 400 else compare)(line.lower())
                     if s > score + 1e-12:
                         score, name, at = s, other, k
+                words = _TERM.findall(text.as_py().lower()) if text.is_valid else []
+                for runs, enough in ((notices, score + 1e-9), (long, BLOCK_LEAST)):
+                    s, other, begin = runs.best(words)
+                    if other is not None and s >= enough:
+                        score, name, at = s, other, line_of(lines, begin)
                 good = score >= least
                 for c, v in zip(out, (name if good else None, score, at if good else None, len(lines)), strict=True):
                     c.append(v)
