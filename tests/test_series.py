@@ -72,3 +72,44 @@ def test_interpolation_and_its_ends(spark):
     points = spark.createDataFrame([("a", 4.0), ("a", 6.0), ("a", 16.0), ("b", 16.0)], "k string, s double")
     got = {(r["k"], r["s"]): round(r["value_at"], 3) for r in joins.interpolate(points, anchors, ["k"], "s", "s", "v", 0.125).collect()}
     assert got == {("a", 4.0): 0.35, ("a", 6.0): 0.53, ("a", 16.0): 1.415, ("b", 16.0): 2.0}
+
+
+def brute_groups(vectors, threshold):
+    """Every distance anew at each merge."""
+    members, means = [], []
+    for i, v in enumerate(vectors):
+        apart = [np.sqrt(((m - v) ** 2).mean()) for m in means]
+        if apart and min(apart) < threshold:
+            k = int(np.argmin(apart))
+            members[k].append(i)
+            means[k] = means[k] + (v - means[k]) / len(members[k])
+        else:
+            members.append([i])
+            means.append(v)
+    while True:
+        pairs = [(np.sqrt(((means[a] - means[b]) ** 2).mean()), a, b) for a in range(len(means)) for b in range(a + 1, len(means))]
+        if not pairs or not min(pairs)[0] < threshold:
+            return members
+        _, a, b = min(pairs)
+        n, m = len(members[a]), len(members[b])
+        means[a] = (n * means[a] + m * means[b]) / (n + m)
+        members[a] += members.pop(b)
+        means.pop(b)
+
+
+def test_grouping_equals_brute_force_and_its_memory_is_linear():
+    import tracemalloc
+
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        vectors = rng.integers(0, 9, (70, 2)).astype(float) if seed % 2 else rng.normal(size=(70, 3))
+        for threshold in (0.4, 1.2):
+            assert similarity.group_in_order(vectors, threshold) == brute_groups(vectors, threshold)
+    assert similarity.group_in_order(np.zeros((0, 4)), 1.0) == []
+    far = np.random.default_rng(1).normal(size=(1500, 64))
+    tracemalloc.start()
+    try:
+        assert len(similarity.group_in_order(far, 0.01)) == 1500
+        assert tracemalloc.get_traced_memory()[1] < 32e6
+    finally:
+        tracemalloc.stop()
