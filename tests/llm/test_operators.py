@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empty and repeated rows, ties and clashing columns."""
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -118,34 +119,77 @@ def test_slots_follow_the_real_weights(spark):
 # packing
 
 
-def test_claims_fill_sequences_without_overlap():
-    rng = np.random.default_rng(3)
-    for _ in range(20):
-        counts = {int(k): int(rng.integers(1, 50)) for k in rng.integers(1, 65, 30)}
-        fill = defaultdict(list)
-        placed = defaultdict(int)
-        plan = packing.claims(counts, 64)
-        for length in counts:
-            own = plan[plan[:, 0] == length]
-            for rank in range(counts[length]):
-                _, first, each, seq, offset = own[np.searchsorted(own[:, 1], rank, side="right") - 1]
-                fill[seq + (rank - first) // each].append((offset + (rank - first) % each * length, length))
-                placed[length] += 1
-        for parts in fill.values():
-            end = 0
-            for at, n in sorted(parts):
-                assert at == end
-                end += n
-            assert end <= 64
-        gaps = []  # best fit, longest first, one document at a time
-        for length in sorted(counts, reverse=True):
-            for _ in range(counts[length]):
-                fits = [g for g in gaps if g >= length]
-                gap = min(fits) if fits else 64
-                if fits:
-                    gaps.remove(gap)
-                gaps.append(gap - length)
-        assert len(fill) == len(gaps)
+def best_fit_decreasing(counts, most):
+    """Sequences that best fit needs, longest first, one document at a time."""
+    gaps = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            k = bisect.bisect_left(gaps, length)
+            gap = gaps.pop(k) if k < len(gaps) else most
+            bisect.insort(gaps, gap - length)
+    return len(gaps)
+
+
+def filled(plan, counts, most):
+    """Sequences that a plan fills; asserts that every document has its place, gapless and alone."""
+    fill = defaultdict(list)
+    for length in counts:
+        own = plan[plan[:, 0] == length]
+        own = own[np.argsort(own[:, 1])]
+        for rank in range(counts[length]):
+            _, first, each, seq, offset = own[np.searchsorted(own[:, 1], rank, side="right") - 1]
+            fill[seq + (rank - first) // each].append((offset + (rank - first) % each * length, length))
+    for parts in fill.values():
+        end = 0
+        for at, n in sorted(parts):
+            assert at == end
+            end += n
+        assert end <= most
+    return len(fill)
+
+
+@pytest.mark.parametrize("case", range(7))
+def test_supersteps_pack_like_best_fit(spark, case, monkeypatch):
+    rng = np.random.default_rng(case)
+    lengths = [
+        rng.integers(1, 4097, 3000),
+        np.full(5000, 10),
+        np.full(999, 1500),
+        rng.integers(1900, 2200, 2000),
+        np.concatenate([rng.integers(2049, 4097, 500), np.full(6000, 7), np.full(3000, 300)]),
+        np.clip(rng.lognormal(6, 1.2, 9000).astype(int), 1, 4096),
+        np.array([4096]),
+    ][case]
+    counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+    table = spark.createDataFrame(list(counts.items()), "length long, count long")
+    wanted = best_fit_decreasing(counts, 4096)
+    assert filled(packing.claims(table), counts, 4096) <= wanted + 1
+    monkeypatch.setattr(packing, "SHARE_SEQUENCES", 100)  # the first superstep in shares
+    assert filled(packing.claims(table), counts, 4096) <= wanted * 1.01 + 2
+
+
+def test_packing_of_nothing_and_of_pieces_too_long(spark):
+    assert len(packing.claims(spark.createDataFrame([], "length long, count long"))) == 0
+    with pytest.raises(ValueError, match="longer"):
+        packing.claims(spark.createDataFrame([(65, 1)], "length long, count long"), 64)
+
+
+def test_no_packing_opens_less():
+    assert packing.must_open([(2049, 10)], 0, 0, 4096) == 10
+    assert packing.must_open([(1500, 10)], 0, 0, 4096) == 5
+    assert packing.must_open([(100, 10)], 5000, 200, 4096) == 0
+    assert packing.must_open([(300, 3)], 5000, 200, 4096) == 1
+
+
+def test_a_tokenizer_that_joins_words_is_refused(tmp_path):
+    import json
+
+    body = json.load(open(queries.tokenizer_path()))
+    body["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(body))
+    with pytest.raises(ValueError, match="parts"):
+        packing.PartTokenizer(str(path))
 
 
 def test_packing_round_trip(spark):

@@ -1,16 +1,29 @@
-"""Best-fit packing of tokenised documents into sequences of a fixed length.
+"""Best-fit packing of tokenised documents into sequences of a fixed length, in bulk-synchronous sweeps.
 
-Documents and gaps are handled as run-length classes: a length is an integer of at most ``max_tokens``, so all
-documents of one length form one class and all open sequences with equal room form another, and the sorted lists of
-documents and gaps have at most ``max_tokens`` entries however many rows there are. Documents are sorted by range
-and numbered inside their length by :func:`tidemark.llm.store.ranked`, on the executors; only the count of each
-length (at most ``max_tokens`` numbers) reaches the driver, which sweeps lengths downwards. Each sweep finds the
-successor of a length among the gaps, lets the class's documents claim the sequences of that gap in the order of
-their ranks, updates the gaps and repeats until the class is placed. The executors then turn (length, rank) into
-(sequence, offset) by binary search in the list of claims.
+Pieces are sorted by range and numbered inside their length by :func:`tidemark.llm.store.ranked`. From then on documents and
+gaps are tables of runs: (length, first rank, documents) and (room, first sequence, sequences). A length is an integer of
+at most ``max_tokens``, so there are at most that many runs of documents to begin with.
 
-Defined cases: a null text is an empty one, which has the closing id alone; texts longer than a sequence are cut into
-whole sequences and a rest; rows that repeat a doc_id are packed each on its own; an empty table gives no rows.
+A superstep is one Spark job over both tables:
+
+1. Gaps lie in ranges of ``RANGE`` sizes. Each run of documents goes to the range that holds its successor, the smallest gap
+   with room for it: its own range if the largest gap there has room, else the next range that has gaps.
+2. The task of a range sweeps over its documents and gaps in order of size. Where several runs want one gap, the rank decides:
+   the longest document first, then the smaller number in the order of pieces. A run takes the gaps of a size in turn, each
+   with as many of its documents as have room.
+3. Gaps are updated: what room is left is a gap of another size, in the range of that size. Documents that found their range
+   full go to the next superstep, with all others that wait.
+
+Sequences are opened only where every packing must open them: for the tokens that exceed all gaps, and for the documents
+that no gap has room for (:func:`must_open`). While there are no gaps yet, all documents want the same fresh sequences; that
+one range is dealt over shares, each with its part of every run and of the sequences, and what a share leaves meets in the
+next superstep. A few supersteps place all. Their claims, at most some thousands for each share and superstep (a claim
+ends a run of documents or a run of gaps, and a gap's room at least halves when a run ends it), go to the executors, where
+(length, rank) becomes (sequence, offset) by binary search.
+
+Defined cases: a null text is an empty one, which has the closing id alone; texts of any length are tokenised whole, and those longer than
+a sequence are cut into whole sequences and a rest; rows that repeat a doc_id are packed each on its own; a null doc_id is kept; other
+columns are not read, whatever their names; an empty table gives no rows.
 
 With a column of places (a mixture's, say), pieces of equal length claim sequences in the order of places instead of ids,
 and sequences are numbered by their earliest place. The lengths that share a sequence stay the same, so no sequence is added.
@@ -22,14 +35,17 @@ import bisect
 import functools
 import os
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import cut, ranked
+from tidemark.llm.store import cut, discard, ranked
 from tidemark.llm.textbytes import chunks, prefix_hash, span_hash, words
 
 MAX_TOKENS = 4096
@@ -37,11 +53,19 @@ END_ID = 1
 #: A Python worker remembers the ids of so many parts of texts, in arrays of about 50 MB, and then starts anew.
 PARTS = 1 << 20
 
+#: Sizes of a range of gaps; fresh sequences of a share, and the most shares, when all documents want fresh sequences.
+RANGE, SHARE_SEQUENCES, SHARES = 256, 4096, 32
+DOC, GAP, CLAIM = 0, 1, 2
+#: Runs: documents (a: length, b: first rank), gaps (a: room, b: first sequence, each: the share they are dealt to) or claims.
+STATE = "kind long, a long, b long, n long, each long, seq long, offset long"
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_MARK_LETTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _MARKS = np.zeros(256, dtype=bool)
-_MARKS[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_MARKS[list(_MARK_LETTERS.encode())] = True
+_PROBES = ("One,two  THREE!! four.\n(five) six... Seven", "ÉTÉ naïve, Straße? 日本語 x1y2-z Ünïcode", "don't 3.14 a_b c-d end.")
 #: Byte-level vocabularies write bytes that do not print as the letters from U+0100 on, in order.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -54,7 +78,8 @@ class PartTokenizer:
     one used here: the ids of a text are those of its words (between ASCII white space), one after the other, and a word
     made of letters with ASCII marks behind them has the ids of the letters and of the marks. Parts are found by hash in
     an open table, for all words of a slice at once; only parts that are new reach the tokenizer. A text with ``<|``,
-    which may begin a special token, goes to the tokenizer whole.
+    which may begin a special token, goes to the tokenizer whole. A vocabulary file for which this does not hold on
+    ``_PROBES`` is refused with an error.
     """
 
     def __init__(self, path: str, most: int = PARTS):
@@ -64,6 +89,11 @@ class PartTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.most = most
+        for probe in _PROBES:
+            bare = [(word, word.rstrip(_MARK_LETTERS)) for word in probe.split()]
+            parts = [part for word, own in bare for part in ((own, word[len(own) :]) if own.isalpha() else (word,)) if part]
+            if self.tokenizer.encode(probe, add_special_tokens=False).ids != [i for part in parts for i in self._encode(part)]:
+                raise ValueError(f"{path}: ids of a text are not those of its parts")
         self._clear()
 
     def _clear(self) -> None:
@@ -208,44 +238,98 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
     return own.mapInArrow(run, f"{PIECES}, _place long" if place_col else PIECES)
 
 
-def claims(counts: dict[int, int], max_tokens: int = MAX_TOKENS) -> np.ndarray:
-    """Best fit, longest first, over run-length classes.
+def must_open(lengths: Sequence[tuple[int, int]], free: int, top: int, max_tokens: int) -> int:
+    """Sequences that any packing of documents (length, count) must open beside gaps of ``free`` tokens in all and ``top`` at most."""
+    total = sum(length * n for length, n in lengths) - free
+    need = -(-total // max_tokens) if total > 0 else 0
+    alone = [(length, n) for length, n in lengths if length > top]
+    if alone:
+        need = max(need, -(-sum(length * n for length, n in alone) // max_tokens))
+        # of documents longer than a (k + 1)-th of a sequence, none holds more than k
+        for k in range(1, 33):
+            need = max(need, -(-sum(n for length, n in alone if length * (k + 1) > max_tokens) // k))
+    return need
+
+
+def sweep(docs: pd.DataFrame, gaps: pd.DataFrame, max_tokens: int) -> pd.DataFrame:
+    """One range's superstep: rows of kind ``CLAIM``, of documents left (``DOC``) and of gaps left (``GAP``).
 
-    Rows of (length, first rank, documents per sequence, first sequence, offset of the first of them): from that rank
-    on, each run of ``documents per sequence`` ranks lies in the next sequence.
+    A claim is (length, first rank, documents per sequence, first sequence, offset of the first of them): from that rank on,
+    each run of ``documents per sequence`` ranks lies in the next sequence.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []
-    rows: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect.bisect_left(sizes, length)
-            if k < len(sizes):
-                gap = sizes[k]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[k]
-            else:
-                gap, first = max_tokens, opened
-                n = -(-left // (max_tokens // length))
-                opened += n
-            each = min(gap // length, left)
+    held: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for room, first, n in gaps.sort_values(["a", "b"], ascending=[True, False])[["a", "b", "n"]].itertuples(index=False):
+        held[room].append((first, n))
+    sizes = sorted(held)
+    rows: list[tuple[int, ...]] = []
+
+    def put(room: int, first: int, n: int) -> None:
+        if room and n:
+            if not held[room]:
+                bisect.insort(sizes, room)
+            held[room].append((first, n))
+
+    for length, rank, left in docs.sort_values(["a", "b"], ascending=[False, True])[["a", "b", "n"]].itertuples(index=False):
+        while left and (k := bisect.bisect_left(sizes, length)) < len(sizes):
+            room = sizes[k]
+            first, n = held[room].pop()
+            if not held[room]:
+                del sizes[k]
+            each = min(room // length, left)
             full = min(n, left // each)
-            rows.append((length, rank, each, first, max_tokens - gap))
+            rows.append((CLAIM, length, rank, full, each, first, max_tokens - room))
             rank, left = rank + full * each, left - full * each
-            put(gap - each * length, first, full)
-            put(gap, first + full, n - full)
-    return np.array(rows, dtype=np.int64).reshape(-1, 5)
+            put(room - each * length, first, full)
+            put(room, first + full, n - full)
+        if left:
+            rows.append((DOC, length, rank, left, 0, 0, 0))
+    rows += [(GAP, room, first, n, 0, 0, 0) for room in sizes for first, n in held[room]]
+    return pd.DataFrame(rows, columns=["kind", "a", "b", "n", "each", "seq", "offset"]).astype("int64")
+
+
+def superstep(docs: DataFrame, gaps: DataFrame, tops: Sequence[tuple[int, int]], shares: int, max_tokens: int) -> DataFrame:
+    """Runs of ``STATE`` after every range has been swept. tops: (range, largest gap) for each range that has gaps."""
+    ranges = F.array(*[F.struct(F.lit(r).alias("range"), F.lit(top).alias("top")) for r, top in tops])
+    own = F.floor((F.col("a") - 1) / RANGE)
+    successor = F.get(F.filter(ranges, lambda r: (r["range"] >= own) & (r["top"] >= F.col("a"))), 0)["range"].cast("long")
+    sent = docs.withColumn("range", successor)
+    dealt = sent.where("range is not null").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    # the remainder of a run goes to other shares for each length
+    turn, least, more = F.pmod(F.col("share") + F.col("a"), F.lit(shares)), F.floor(F.col("n") / shares), F.col("n") % shares
+    dealt = dealt.withColumn("b", F.col("b") + turn * least + F.least(turn, more)).withColumn("n", least + (turn < more).cast("long")).where("n > 0")
+    held = gaps.withColumn("range", own).withColumn("share", F.pmod(F.col("each"), F.lit(shares)).cast("int"))
+    keys = ["range", "share"]
+    swept = dealt.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(lambda d, g: sweep(d, g, max_tokens), STATE)
+    return swept.union(sent.where("range is null").drop("range"))
+
+
+def claims(counts: DataFrame, max_tokens: int = MAX_TOKENS) -> np.ndarray:
+    """Claims that place all documents of (length, count): supersteps until none is left. See :func:`sweep` for the columns."""
+    spark = counts.sparkSession
+    blank = [F.lit(0).cast("long").alias(c) for c in ("each", "seq", "offset")]
+    state = cut(counts.select(F.lit(DOC).cast("long").alias("kind"), F.col("length").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("count").cast("long").alias("n"), *blank))
+    found, opened = [], 0
+    while True:
+        docs, gaps = state.where(F.col("kind") == DOC), state.where(F.col("kind") == GAP)
+        waiting = [(r["a"], r["n"]) for r in docs.groupBy("a").agg(F.sum("n").alias("n")).collect()]
+        if not waiting:
+            break
+        if max(waiting)[0] > max_tokens:
+            raise ValueError("a piece is longer than a sequence")
+        held = gaps.groupBy(F.floor((F.col("a") - 1) / RANGE).alias("range")).agg(F.max("a").alias("top"), F.sum(F.col("a") * F.col("n")).alias("free")).collect()
+        tops = {r["range"]: r["top"] for r in held}
+        new = must_open(waiting, sum(r["free"] for r in held), max(tops.values(), default=0), max_tokens)
+        shares = 1 if tops else min(SHARES, max(1, new // SHARE_SEQUENCES))
+        if new:
+            edges = [opened + new * k // shares for k in range(shares + 1)]
+            fresh = spark.createDataFrame([(GAP, max_tokens, a, b - a, k, 0, 0) for k, (a, b) in enumerate(pairwise(edges))], STATE)
+            gaps, opened = gaps.union(fresh), opened + new
+            tops[(max_tokens - 1) // RANGE] = max_tokens
+        old, state = state, cut(superstep(docs, gaps, sorted(tops.items()), shares, max_tokens))
+        discard(old)
+        found += [tuple(r) for r in state.where(F.col("kind") == CLAIM).select("a", "b", "each", "seq", "offset").collect()]
+    discard(state)
+    return np.array(found, dtype=np.int64).reshape(-1, 5)
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None) -> DataFrame:
@@ -256,12 +340,9 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TO
     # written first: sorting by range reads its input twice, and texts are tokenised once
     order = ["_place"] if place_col else []
     pieces = ranked(cut(token_pieces(docs, tokenizer_path, max_tokens, id_col, text_col, place_col)), ["length"], [*order, "doc_id", "piece"])
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    if max(counts, default=0) > max_tokens:
-        raise ValueError("a piece is longer than a sequence")
-    plan = claims(counts, max_tokens)
+    plan = claims(pieces.groupBy("length").count(), max_tokens)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    most = max(counts.values(), default=0) + 1
+    most = int(plan[:, 1].max(initial=0)) + (1 << 40)
     key = plan[:, 0] * most + plan[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
