@@ -164,8 +164,8 @@ def test_supersteps_pack_like_best_fit(spark, case, monkeypatch):
     table = spark.createDataFrame(list(counts.items()), "length long, count long")
     wanted = best_fit_decreasing(counts, 4096)
     assert filled(packing.claims(table), counts, 4096) <= wanted + 1
-    monkeypatch.setattr(packing, "SHARE_SEQUENCES", 100)  # the first superstep in shares
-    assert filled(packing.claims(table), counts, 4096) <= wanted * 1.01 + 2
+    monkeypatch.setattr(packing, "SHARE_SEQUENCES", 100)  # the first superstep in shares, of a hundred documents here
+    assert filled(packing.claims(table), counts, 4096) <= wanted * 1.02 + 2
 
 
 def test_packing_of_nothing_and_of_pieces_too_long(spark):
