@@ -2,26 +2,26 @@
 
 Equal windows are brought together first. The windows of a document (its strings of ``LENGTH`` bytes) that share their
 least ``GRAM``-byte hash, at one place, form a segment; the hash is its anchor. Equal windows have equal anchors at equal
-offsets, so all that can repeat lies in segments whose anchor occurs at least twice, and only those go on. Equal segments
-are one class with a count.
-
-Where the classes of an anchor differ, their windows are split into chunks of ``WIDTH`` neighbours. The windows of a chunk
-share all but the outer bytes, its core; chunks with a core of their own repeat nowhere, and equal chunks are one with
-a count again. Chunks that share a core and differ around it are decided by suffix arrays: a chunk is the string of its left
-bytes, one symbol for the core and its right bytes, so that each window is ``WIDTH`` symbols long. The strings are dealt
-by core to shards of about ``SHARD_SYMBOLS``, and each shard's array is built by induced sorting: suffixes are
-classified, leftmost-smaller substrings sorted and named, recursively, and the array induced from them in two linear scans;
-permuted common prefixes then show which windows of the shard are equal. A core with more than ``MOST_CHUNKS`` different
-surroundings (the edge of a passage that very many documents quote) would not fit one task; its windows are counted one
-by one instead, partly before they are shuffled. Both ways are exact.
-
-Strings are judged on the input. Defined cases: a null text is empty; documents shorter than ``LENGTH`` lose nothing; every row is
-a document, so repeated rows are copies of each other; texts of any length are read in slices; an empty table gives no rows.
+offsets, so all that can repeat lies in segments whose anchor occurs at least twice, and only those go on. Segments that are
+equal as a whole are one string with a count.
+
+Suffix arrays then decide every window. The windows of a segment are split into chunks of ``WIDTH`` neighbours, which share all
+but the outer bytes, their core; a chunk is the string of its left bytes, one symbol for the core and its right bytes, so
+that each window is ``WIDTH`` symbols long. Equal strings are one with a count again; a core that occurs once repeats
+nowhere. The strings are dealt by core to shards of about ``SHARD_SYMBOLS``, and each shard's array is built by induced
+sorting: suffixes are classified, leftmost-smaller substrings sorted and named, recursively, and the array induced from
+them in two linear scans; permuted common prefixes then show which windows of the shard are equal. Only a core with more
+than ``MOST_CHUNKS`` different surroundings (the edge of a passage that very many documents quote) would not fit one task;
+its windows are counted one by one instead, partly before they are shuffled, with the same result.
+
+Where a hash stands for bytes (a segment as a whole, a core) it has 128 bits. Strings are judged on the input. Defined cases: a null
+text is empty; documents shorter than ``LENGTH`` lose nothing; every row is a document, so repeated rows are copies of each
+other, and rows with a null id are documents too; texts of any length are read in slices; columns other than id and text are not read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.store import cut, discard
 from tidemark.llm.suffix import permuted_prefixes, suffix_array
-from tidemark.llm.textbytes import CHUNK, chunks, prefix_hash, span_hash
+from tidemark.llm.textbytes import CHUNK, SECOND, chunks, prefix_hash, span_hash
 
 LENGTH = 400
 GRAM = 100
@@ -43,7 +43,7 @@ SHARD_SYMBOLS = 1 << 18
 MOST_CHUNKS = 20_000
 
 _PLACE = np.uint64((1 << 22) - 1)
-SEGMENTS = "doc long, h long, p int, lo int, hi int, g long, c long"
+SEGMENTS = "doc long, h long, p int, lo int, hi int, g long, c long, c2 long"
 
 
 def window_anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,10 +65,10 @@ def window_anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray
 
 
 def segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """A row for each run of windows with one anchor: place p of the anchor, first and last start, anchor g, hash c of its bytes. docs: (doc, h, text)."""
+    """A row for each run of windows with one anchor: place p of the anchor, first and last start, anchor g, hashes c and c2 of its bytes. docs: (doc, h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "h", "p", "lo", "hi", "g", "c"]
+        names = ["doc", "h", "p", "lo", "hi", "g", "c", "c2"]
         for batch in batches:
             doc, h = batch.column(0), batch.column(1)
             for a, _, data, offsets in chunks(batch.column(2)):
@@ -77,6 +77,7 @@ def segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                     # a slice of a long text takes whole runs only: the last one is left to the next slice, so no anchor comes twice
                     some = data[base : base + CHUNK + length - 1]
                     at, grams, prefix = window_anchors(some, length, gram)
+                    other = prefix_hash(some, powers=SECOND)
                     start = np.arange(len(at)) + base
                     row = np.searchsorted(offsets, start, side="right") - 1
                     inside = start + length <= offsets[row + 1]
@@ -100,7 +101,7 @@ def segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                     yield pa.RecordBatch.from_arrays(
                         [doc.take(pa.array(own + a)), h.take(pa.array(own + a))]
                         + [pa.array((x + shift).astype(np.int32)) for x in (at[first], first, last)]
-                        + [pa.array(grams[at[first]].view(np.int64)), pa.array(span_hash(prefix, first, last + length).view(np.int64))],
+                        + [pa.array(x.view(np.int64)) for x in (grams[at[first]], span_hash(prefix, first, last + length), span_hash(other, first, last + length, SECOND))],
                         names,
                     )
 
@@ -139,11 +140,12 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-CHUNKS = "id long, n long, g long, k int, core long, x binary, y binary"
+CORE = ["g", "k", "core", "core2"]
+CHUNKS = "id long, n long, g long, k int, core long, core2 long, x binary, y binary"
 
 
 def chunks_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(id, n, g, k, core, x, y): chunks of the class representatives in ``wanted``, (id, g, n, first): hash of the core, bytes left and right of it.
+    """(id, n, g, k, core, core2, x, y): chunks of the class representatives in ``wanted``, (id, g, n, first): hashes of the core, bytes left and right of it.
 
     Chunk k has the windows that begin ``k * WIDTH`` to ``k * WIDTH + WIDTH - 1`` bytes before the anchor.
     """
@@ -151,7 +153,7 @@ def chunks_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     per_doc = wanted.groupBy(F.col("first.doc").alias("d2"), F.col("first.h").alias("h2")).agg(F.collect_list(part).alias("parts"))
     # rows that repeat are equal, so one of them serves
     both = docs.join(per_doc, docs["doc"].eqNullSafe(per_doc["d2"]) & (docs["h"] == per_doc["h2"])).select("text", "parts")
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     width, names = WIDTH, [c.split()[0] for c in CHUNKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +172,15 @@ def chunks_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     if hi + length + edge > end:
                         base = max(0, lo - edge)
                         end = max(hi + length + edge, min(len(text), base + CHUNK // 8))
-                        prefix = prefix_hash(np.frombuffer(text[base:end], dtype=np.uint8))
+                        some = np.frombuffer(text[base:end], dtype=np.uint8)
+                        prefix, other = prefix_hash(some), prefix_hash(some, powers=SECOND)
                     k = np.arange((p - hi) // width, (p - lo) // width + 1)
                     a = p - k * width
                     b = a + length - edge
                     core = span_hash(prefix, a - base, b - base).view(np.int64).tolist()
+                    core2 = span_hash(other, a - base, b - base, SECOND).view(np.int64).tolist()
                     n = len(k)
-                    for c, v in zip(out, ([x["id"]] * n, [x["n"]] * n, [x["g"]] * n, k.tolist(), core, [text[max(0, i - edge) : i] for i in a.tolist()], [text[j : j + edge] for j in b.tolist()]), strict=True):
+                    for c, v in zip(out, ([x["id"]] * n, [x["n"]] * n, [x["g"]] * n, k.tolist(), core, core2, [text[max(0, i - edge) : i] for i in a.tolist()], [text[j : j + edge] for j in b.tolist()]), strict=True):
                         c.extend(v)
                 if len(out[0]) > 8192:
                     yield made(out)
@@ -187,16 +191,16 @@ def chunks_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def by_suffix_arrays(strings: DataFrame, shards: int) -> DataFrame:
-    """(g, k, core, x, y, js): numbers of left bytes of the repeated windows of each string (g, k, core, x, y, n)."""
+    """(CORE, x, y, js): numbers of left bytes of the repeated windows of each string (CORE, x, y, n)."""
     width = WIDTH
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.groupby(["g", "k", "core"]).ngroup().to_numpy()
+        own = rows.groupby(CORE).ngroup().to_numpy()
         found = repeated_windows(rows["x"].tolist(), own, rows["y"].tolist(), rows["n"].to_numpy(), width)
-        return rows[["g", "k", "core", "x", "y"]].assign(js=[f.astype(np.int32) for f in found])
+        return rows[[*CORE, "x", "y"]].assign(js=[f.astype(np.int32) for f in found])
 
-    dealt = strings.withColumn("shard", F.pmod(F.xxhash64("g", "k", "core"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(solve, "g long, k int, core long, x binary, y binary, js array<int>")
+    dealt = strings.select(*CORE, "x", "y", "n").withColumn("shard", F.pmod(F.xxhash64(*CORE), F.lit(shards)))
+    return dealt.groupBy("shard").applyInPandas(solve, "g long, k int, core long, core2 long, x binary, y binary, js array<int>")
 
 
 def by_windows(strings: DataFrame) -> DataFrame:
@@ -205,9 +209,9 @@ def by_windows(strings: DataFrame) -> DataFrame:
     low = F.greatest(F.lit(0), edge - F.length("y"))
     each = strings.withColumn("j", F.explode(F.when(low <= F.length("x"), F.sequence(low, F.length("x")))))
     each = each.withColumn("a", F.substring(F.col("x"), F.length("x") - F.col("j") + 1, F.col("j"))).withColumn("b", F.substring(F.col("y"), F.lit(1), edge - F.col("j")))
-    key = ["g", "k", "core", "j", "a", "b"]
+    key = [*CORE, "j", "a", "b"]
     twice = each.groupBy(*key).agg(F.sum("n").alias("times")).where("times > 1").select(*key)
-    return each.join(twice, key).groupBy("g", "k", "core", "x", "y").agg(F.collect_list("j").alias("js"))
+    return each.join(twice, key).groupBy(*CORE, "x", "y").agg(F.collect_list("j").alias("js"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -216,27 +220,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     # a table of its own, so that the join deals both sides anew and can split a very frequent anchor
     often = cut(every.groupBy("g").count().where("count > 1").select("g"))
     repeated = cut(every.join(often, "g", "left_semi").withColumn("off", F.col("p") - F.col("lo")).withColumn("span", F.col("hi") - F.col("lo")))
-    discard(every)
-    same = ["g", "off", "span", "c"]
+    discard(every, often)
+    same = ["g", "off", "span", "c", "c2"]
     classes = repeated.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc", "h", "p", "lo", "hi")).alias("first"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
-    differ = cut(classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"))
-    pieces = cut(chunks_of(docs, classes.join(differ, "g").select("id", "g", "n", "first"), length))
-    core = ["g", "k", "core"]
-    strings = pieces.groupBy(*core, "x", "y").agg(F.sum("n").alias("n"))
-    every = cut(strings)
-    cores = cut(every.groupBy(*core).agg(F.count("*").alias("kinds"), F.sum("n").alias("times")).where("times > 1"))
-    strings = cut(every.join(cores, core))
+    pieces = cut(chunks_of(docs, classes.select("id", "g", "n", "first"), length))
+    every = cut(pieces.groupBy(*CORE, "x", "y").agg(F.sum("n").alias("n")))
+    cores = cut(every.groupBy(*CORE).agg(F.count("*").alias("kinds"), F.sum("n").alias("times")).where("times > 1").drop("times"))
+    strings = cut(every.join(cores, CORE))
     discard(every, cores)
-    mixed = strings.where("kinds > 1")
-    size, most = mixed.agg(F.sum(F.when(F.col("kinds") <= MOST_CHUNKS, F.length("x") + F.length("y") + 2)), F.max("kinds")).first()
-    found = by_suffix_arrays(mixed.where(F.col("kinds") <= MOST_CHUNKS).drop("kinds", "times"), 1 + (size or 0) // SHARD_SYMBOLS)
+    few = F.col("kinds") <= MOST_CHUNKS
+    size, most = strings.agg(F.sum(F.when(few, F.length("x") + F.length("y") + 2)), F.max("kinds")).first()
+    found = by_suffix_arrays(strings.where(few), 1 + (size or 0) // SHARD_SYMBOLS)
     if (most or 0) > MOST_CHUNKS:
-        found = found.union(by_windows(mixed.where(F.col("kinds") > MOST_CHUNKS).drop("kinds", "times")))
-    edge = WIDTH - 1
-    low = F.greatest(F.lit(0), edge - F.length("y"))
-    alone = strings.where("kinds = 1").select(*core, "x", "y", F.when(low <= F.length("x"), F.sequence(low, F.length("x"))).alias("js"))
-    windows = pieces.join(found.union(alone), [*core, "x", "y"]).join(classes.select("id", "off", "span"), "id")
+        found = found.union(by_windows(strings.where(~few).drop("kinds")))
+    windows = pieces.join(found.where(F.size("js") > 0), [*CORE, "x", "y"]).join(classes.select("id", "off", "span"), "id")
     start = lambda j: F.col("off") - F.col("k") * WIDTH - j
     starts = F.filter(F.transform("js", start), lambda a: (a >= 0) & (a <= F.col("span")))
     own = windows.select("id", starts.alias("at")).where(F.size("at") > 0).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
@@ -244,11 +242,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     begins = F.filter("at", lambda a, i: (i == 0) | (F.get("at", i - 1) < a - 1))
     ends = F.filter("at", lambda a, i: (i == F.size("at") - 1) | (F.get("at", i + 1) > a + 1))
     own = own.select("id", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("runs"))
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("span").alias("b")))
-    covered = classes.join(own, "id", "left").select(*same, F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
+    covered = classes.join(own, "id").select(*same, "runs")
     at = F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] + length).alias("b")))
     found = repeated.join(covered, same).select(F.col("doc").alias("d2"), F.col("h").alias("h2"), at.alias("spans"))
-    return found.groupBy("d2", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # rows that repeat an id and a text have equal spans, each kept once
+    return found.groupBy("d2", "h2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"

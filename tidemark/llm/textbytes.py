@@ -14,11 +14,6 @@ import pyarrow as pa
 CHUNK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_TABLE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-_FOLDED = _TABLE.copy()
-_FOLDED[65:91] = _TABLE[97:123]
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 _SEQ = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,30 +32,36 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the hash base and of its inverse, grown as needed."""
+    """Powers of a hash base and of its inverse, grown as needed, with the values of bytes."""
 
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
+    def __init__(self, base: int):
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.table = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.folded = self.table.copy()
+        self.folded[65:91] = self.table[97:123]
 
-    @classmethod
-    def need(cls, n: int) -> None:
-        if len(cls.up) < n:
+    def need(self, n: int) -> None:
+        if len(self.up) < n:
             n = max(n, CHUNK + 1)
-            cls.up = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, _P, dtype=np.uint64))])
-            cls.down = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, _P_INV, dtype=np.uint64))])
+            self.up, self.down = (np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, x, dtype=np.uint64))]) for x in (self.base, self.inverse))
 
 
-def prefix_hash(data: np.ndarray, fold: bool = False) -> np.ndarray:
+#: Two independent hashes of 64 bits, for uses where equal hashes stand for equal bytes of many strings.
+FIRST, SECOND = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
+
+
+def prefix_hash(data: np.ndarray, fold: bool = False, powers: Powers = FIRST) -> np.ndarray:
     """Prefix sums of a polynomial over randomised byte values, modulo 2**64; length ``len(data) + 1``."""
-    Powers.need(len(data) + 1)
+    powers.need(len(data) + 1)
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_FOLDED if fold else _TABLE)[data] * Powers.up[: len(data)], out=out[1:])
+    np.cumsum((powers.folded if fold else powers.table)[data] * powers.up[: len(data)], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers = FIRST) -> np.ndarray:
     """Hash of each ``data[start:end]``: equal bytes give equal hashes wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * Powers.down[start] + (end - start).astype(np.uint64))
+    return mix((prefix[end] - prefix[start]) * powers.down[start] + (end - start).astype(np.uint64))
 
 
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
