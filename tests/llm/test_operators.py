@@ -258,6 +258,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_tiles_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TILE_ROWS", 16)
+    monkeypatch.setattr(neardup, "STARS", 1)
     texts = [edited(prose(200, 5), 0.04, s) for s in range(90)]
     got = neardup.near_duplicates(docs_table(spark, texts)).toPandas().sort_values("doc_id")
     assert got.component_id.tolist() == brute_near(texts)[0]

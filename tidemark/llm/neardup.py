@@ -4,18 +4,21 @@
    its size); only the smallest doc_id of a class goes on.
 2. A class has ``BANDS * ROWS`` min-hashes. Classes that agree on all rows of a band share a bucket; a pair at the
    threshold shares none with probability (1 - 0.75**4)**32, 5 in a million.
-3. Links are sought in two passes. The first pairs each bucket's members with one pivot, another in each band. In the
-   second, the buckets whose members these links leave in different components make up families (classes that buckets
-   connect). A family is cut into tiles, and in a tile every pair that shares a bucket and is not connected yet is
-   compared, so no link that joins components is lost; only links leave the task, never the pairs.
+3. Links are sought in passes, and each one leaves out what earlier ones have connected. The first ``STARS`` passes pair the
+   members of each bucket with one of them, another one in each band and pass; the rows they make are those of the buckets. The buckets
+   whose members are then still in different components make up families (classes that buckets connect). A family is
+   cut into tiles, which carry signatures only, and in a tile every pair that shares a bucket and is not connected is
+   compared. One pass keeps, of the pairs left in a tile, a forest over the components (fewer pairs than the tile has
+   classes); the last one keeps them all, so no link that joins components is lost.
 4. A pair's signatures are compared in batches. With a uniform prior on similarity, after n hashes of which m agree its
    posterior is Beta(m + 1, n - m + 1); the pair is dropped as soon as P(similarity >= threshold) is below ``MISS``.
-5. What is left is confirmed on the full sets: 100 * intersection >= 75 * union.
+5. What is left of a pass is confirmed on the full sets: 100 * intersection >= 75 * union.
 
 Defined cases: texts that are null or have no words have an empty set and link with nothing; texts under five words are one
-shingle; a doc_id names one text, so rows that share it get one component, and if their texts differ, each text's
-class counts as linked with the others but links beyond them are sought for one text of the id; a null doc_id links with
-nothing.
+shingle; texts of any length are read whole; a doc_id names one text, so rows that share it get one component, and if their texts differ,
+each text's class counts as linked with the others but links beyond them are sought for one text of the id, that of the
+least hash; a null doc_id links with nothing; columns other than id and text are not read, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +48,10 @@ _rng = np.random.Generator(np.random.PCG64(7))
 _MUL = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
-SIGNATURES = "doc_id long, n long, k1 long, k2 long, bands array<long>, sig binary"
+#: Passes over the buckets before families are compared in tiles.
+STARS = 2
+
+SIGNATURES = "doc_id long, h long, n long, k1 long, k2 long, bands array<long>, sig binary"
 
 
 def min_hashes(own: np.ndarray) -> np.ndarray:
@@ -58,12 +64,12 @@ def min_hashes(own: np.ndarray) -> np.ndarray:
 
 
 def shingle_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: size of its set, two sums that tell sets apart, bucket of each band, low halves of the min-hashes."""
+    """For each row: hash of its text, size of its set, two sums that tell sets apart, bucket of each band, low halves of the min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(8))
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
+            for a, b, data, offsets in chunks(batch.column(2)):
                 hashes, at = shingle_hashes(data, offsets, SHINGLE_WORDS)
                 n, k1, k2, bands, sigs = [], [], [], [], []
                 for row in range(b - a):
@@ -80,10 +86,11 @@ def shingle_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         key = mix(key ^ mins[r::ROWS].astype(np.uint64))
                     bands.append(key.view(np.int64))
                     sigs.append((mins & np.uint32(0xFFFF)).astype("<u2").tobytes())
-                arrays = [batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "k1", "k2", "bands", "sig"])
+                arrays = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "n", "k1", "k2", "bands", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SIGNATURES)
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, SIGNATURES)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -148,7 +155,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 #: Classes on either side of a tile.
-TILE_ROWS = 512
+TILE_ROWS = 2048
 
 
 class Forest:
@@ -163,34 +170,37 @@ class Forest:
             x = y
         return x
 
-    def join(self, x: int, y: int) -> None:
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
         x, y = self.find(x), self.find(y)
         self.up[max(x, y)] = min(x, y)
+        return x != y
 
 
-def tile_links(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[int, int]]:
-    """Links between two sides (or within one) that join components, each confirmed on the full sets.
+def tile_pairs(left: pd.DataFrame, right: pd.DataFrame, every: bool) -> list[tuple[int, int]]:
+    """Pairs between two sides (or within one) that share a bucket, have different roots and stay plausible batch by batch.
 
-    Pairs that share a bucket are compared batch by batch, and what is left is confirmed in the order of agreement while
-    its components are apart.
+    every: all of them; else, in the order of agreement, those that join components of the tile that are still apart.
     """
     sides = []
     for side in (left, right):
-        bands = np.stack(side["bands"].to_numpy())
+        side = side.sort_values("root", kind="stable")
         sig = np.frombuffer(b"".join(side["sig"]), dtype="<u2").reshape(-1, BANDS * ROWS)
-        sides.append((side["rep"].to_numpy(), side["root"].to_numpy(), bands, sig, side["set"].tolist()))
-    (rep_a, root_a, bands_a, sig_a, set_a), (rep_b, root_b, bands_b, sig_b, set_b) = sides
+        sides.append((side["rep"].to_numpy(), side["root"].to_numpy(), np.stack(side["bands"].to_numpy()), sig))
+    (rep_a, root_a, bands_a, sig_a), (rep_b, root_b, bands_b, sig_b) = sides
     least, found = needed(), []
     for k in range(0, len(rep_a), 64):
         part = slice(k, k + 64)
-        shared = np.zeros((len(rep_a[part]), len(rep_b)), dtype=bool)
+        # of a large component only what lies outside it is looked at
+        other = np.flatnonzero(root_b != root_a[k]) if root_a[k] == root_a[part][-1] else np.arange(len(rep_b))
+        shared = np.zeros((len(rep_a[part]), len(other)), dtype=bool)
         for band in range(BANDS):
-            shared |= bands_a[part, band, None] == bands_b[None, :, band]
-        shared &= (root_a[part, None] != root_b[None, :]) & (rep_a[part, None] != rep_b[None, :])
+            shared |= bands_a[part, band, None] == bands_b[None, other, band]
+        shared &= root_a[part, None] != root_b[None, other]
         if left is right:
-            shared &= rep_a[part, None] < rep_b[None, :]
+            shared &= rep_a[part, None] < rep_b[None, other]
         i, j = np.nonzero(shared)
-        i += k
+        i, j = i + k, other[j]
         agree = np.zeros(len(i), dtype=np.int64)
         for step, fewest in enumerate(least):
             some = slice(step * BATCH, (step + 1) * BATCH)
@@ -199,44 +209,60 @@ def tile_links(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[int, int]]
             i, j, agree = i[alive], j[alive], agree[alive]
         found.append((agree, i, j))
     agree, i, j = (np.concatenate([f[c] for f in found]) for c in range(3))
-    links, forest = [], Forest()
-    for k in np.argsort(-agree, kind="stable"):
-        x, y = i[k], j[k]
-        if forest.find(root_a[x]) != forest.find(root_b[y]):
-            one, other = set_a[x], set_b[y]
-            both = len(np.intersect1d(one, other, assume_unique=True))
-            if both * THRESHOLD[1] >= (len(one) + len(other) - both) * THRESHOLD[0]:
-                forest.join(root_a[x], root_b[y])
-                links.append((int(rep_a[x]), int(rep_b[y])))
-    return links
-
-
-def family_links(placed: DataFrame, roots: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that share a bucket and that ``roots`` leaves apart, enough of them to join all that can be joined."""
-    at = placed.join(roots, placed["rep"] == roots["node"], "left").select("band", "bucket", "rep", "pivot", F.coalesce("root", "rep").alias("root"))
+    forest = Forest()
+    keep = range(len(i)) if every else (k for k in np.argsort(-agree, kind="stable") if forest.join(int(root_a[i[k]]), int(root_b[j[k]])))
+    return [(int(rep_a[i[k]]), int(rep_b[j[k]])) for k in keep]
+
+
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, bucket, rep, root) of the buckets whose members have several roots."""
+    placed = members.select("band", "bucket", "rep")
+    at = placed.join(roots, placed["rep"] == roots["node"], "left").select("band", "bucket", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = cut(at.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "bucket"))
-    open_ = cut(at.join(mixed, ["band", "bucket"]))
-    family = cut(components(open_.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))).select(F.col("node").alias("rep"), F.col("root").alias("family")))
+    return cut(at.join(mixed, ["band", "bucket"]))
+
+
+def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's pivot, if their roots differ."""
+    first = F.min(F.struct(F.xxhash64("rep", "band", F.lit(turn)).alias("h"), "rep", "root"))
+    pivots = cut(members.groupBy("band", "bucket").agg(first.alias("first")).select("band", "bucket", F.col("first.rep").alias("pivot"), F.col("first.root").alias("other")))
+    pairs = members.join(pivots, ["band", "bucket"]).where("root != other")
+    return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+
+
+def families(members: DataFrame) -> DataFrame:
+    """(rep, family): classes that buckets connect."""
+    pivots = cut(members.groupBy("band", "bucket").agg(F.min("rep").alias("pivot")))
+    edges = members.join(pivots, ["band", "bucket"]).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    return cut(components(edges).select(F.col("node").alias("rep"), F.col("root").alias("family")))
+
+
+def family_pairs(members: DataFrame, family: DataFrame, own: DataFrame, every: bool) -> DataFrame:
+    """Plausible pairs (a, b) of different roots that share one of the buckets of ``members``; see :func:`tile_pairs`."""
+    family = cut(members.select("rep", "root").distinct().join(family, "rep"))
     sizes = cut(family.groupBy("family").agg(F.count("*").alias("n")))
     small = sizes.where(F.col("n") <= TILE_ROWS).agg(F.sum("n")).first()[0] or 0
     pools = 1 + small // TILE_ROWS
     # small families share pools; a large one has chunks, and a tile for each two of them
     chunks_ = F.when(F.col("n") > TILE_ROWS, F.ceil(F.col("n") / TILE_ROWS)).otherwise(F.lit(1)).cast("int")
     pool = F.when(F.col("n") > TILE_ROWS, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(pools)))
-    dealt = family.join(sizes, "family").select("rep", pool.alias("pool"), chunks_.alias("chunks"))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int"))
-    dealt = dealt.join(open_.select("rep", "root").distinct(), "rep").join(own, "rep")
-    dealt = dealt.join(shingle_sets(texts.join(family.select("rep"), "rep", "left_semi").select("rep", "text")), "rep")
+    dealt = family.join(sizes, "family").select("rep", "root", pool.alias("pool"), chunks_.alias("chunks"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int")).join(own, "rep")
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = tiles.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left = rows[rows["chunk"] == key[1]]
         right = left if key[1] == key[2] else rows[rows["chunk"] == key[2]]
-        links = tile_links(left, right) if len(left) and len(right) else []
-        return pd.DataFrame({"a": [min(x) for x in links], "b": [max(x) for x in links]}, dtype="int64")
+        pairs = tile_pairs(left, right, every) if len(left) and len(right) else []
+        return pd.DataFrame({"a": [min(x) for x in pairs], "b": [max(x) for x in pairs]}, dtype="int64")
+
+    return tiles.select("pool", "i", "j", "chunk", "rep", "root", "bands", "sig").groupBy("pool", "i", "j").applyInPandas(solve, "a long, b long")
+
 
-    return tiles.select("pool", "i", "j", "chunk", "rep", "root", "bands", "sig", "set").groupBy("pool", "i", "j").applyInPandas(solve, "a long, b long")
+def joined_to(roots: DataFrame) -> DataFrame:
+    """Edges (a, b) from each node to its root."""
+    return roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,23 +272,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(signed.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     one = signed.join(classes, ["n", "k1", "k2"])
     member = cut(one.select(F.col("doc_id"), "rep"))
-    own = cut(one.where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "bands", "sig"))
+    own = cut(one.where("doc_id = rep").groupBy("rep").agg(F.min(F.struct("h", "bands", "sig")).alias("_")).select("rep", "_.h", "_.bands", "_.sig"))
     sigs = own.select("rep", "sig")
     # only buckets of two or more go on
     placed = own.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    several = cut(placed.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "band"), "rep"))["rep"].alias("pivot")).where("n > 1").drop("n"))
-    placed = cut(placed.join(several, ["band", "bucket"]).select("band", "bucket", "rep", "pivot"))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    several = cut(placed.groupBy("band", "bucket").count().where("count > 1").drop("count"))
+    placed = cut(placed.join(several, ["band", "bucket"]).select("band", "bucket", "rep"))
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     # the texts of candidates, moved once; what follows needs no others
-    texts = cut(texts.join(placed.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
+    wanted = own.select("rep", "h").join(placed.select("rep").distinct(), "rep", "left_semi")
+    texts = cut(texts.join(wanted, ["rep", "h"], "left_semi").dropDuplicates(["rep"]).select("rep", "text"))
 
-    stars = placed.where("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    links = cut(confirmed(cut(plausible(stars, sigs)), texts))
+    links = cut(confirmed(cut(plausible(star_pairs(placed.withColumn("root", F.col("rep")), 0), sigs)), texts))
     roots = components(links)
-    more = cut(family_links(placed, roots, own, texts))
+    members = open_members(placed, roots)
+    family = families(members)
+    for turn in range(1, STARS + 2):
+        pairs = plausible(star_pairs(members, turn), sigs) if turn < STARS else family_pairs(members, family, own, every=turn > STARS)
+        more = cut(confirmed(cut(pairs), texts))
+        if not more.isEmpty():
+            # what is connected goes on as one edge for each node
+            roots = components(joined_to(roots).union(more))
+            members = open_members(members, roots)
     # rows that share a doc_id join their classes
     shared = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    found = components(links.union(more).union(shared))
+    found = components(joined_to(roots).union(shared))
     out = member.distinct().join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "rep", F.coalesce("root", "rep").alias("root"))
     out = out.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("root").alias("root"))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(out, "doc_id", "left").select(
@@ -271,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, that of the smallest id; rows without words or id stay."""
+    """``docs`` with one document of each group, that of the smallest id; rows without words or id stay, and so do rows that repeat the kept id."""
     found = near_duplicates(docs, id_col, text_col).where("component_id != doc_id").select(F.col("doc_id").alias("_other")).distinct()
     spare = docs.join(found, docs[id_col] == found["_other"], "left_anti")
     return spare
