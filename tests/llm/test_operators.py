@@ -336,6 +336,32 @@ def test_nearest_neighbours(spark):
     assert hnsw.nearest(df.limit(0)).count() == 0
 
 
+def test_shards_are_merged(spark, monkeypatch):
+    for name, value in {"SHARDS": 4, "SHARD_ROWS": 256, "QUERY_ROWS": 8}.items():
+        monkeypatch.setattr(hnsw, name, value)
+    x = np.random.default_rng(4).normal(size=(2000, 16)).astype(np.float32).astype(np.float64)
+    assert hnsw.shards_of(2000, 16) == 4 and hnsw.shards_of(10**9, 64) == 10**9 // (1 << 18) + 1 and hnsw.shards_of(1, 64) == 1
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<float>, query_id string")
+    got = hnsw.nearest(df).toPandas()
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 2000, 50):
+        sims = y @ y[q]
+        sims[q] = -2
+        own = got[got.query_id == q].sort_values("rank")
+        assert np.abs(own.score.to_numpy() - sims[own.vec_id]).max() < 1e-12 and own["rank"].tolist() == [1, 2, 3, 4, 5]
+        hits += len(set(own.vec_id) & set(np.argsort(-sims)[:5].tolist()))
+    assert hits >= 0.9 * 200
+
+
+def test_rows_that_share_a_vector_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (7, [1.0, 0.1]), (8, [0.2, 1.0]), (0, [1.0, 1.0])]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 3).toPandas()
+    own = got[got.query_id == 50]
+    assert own.vec_id.tolist() == [8, 0, 7]  # the first by vector asks, and no row of its id is found
+    assert (got[got.query_id == 0].vec_id == 50).sum() >= 1
+
+
 def test_graph_recall():
     x = np.random.default_rng(0).normal(size=(3000, 32))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)

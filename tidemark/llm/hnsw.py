@@ -1,15 +1,19 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
-Equal vectors are one class. Classes are dealt by hash to shards of about ``SHARD_ROWS``; each shard's graph is built in
-one task and stored as one row of flat neighbour arrays. Queries go, in blocks of ``QUERY_ROWS``, to every shard; the shards'
-results are merged by cosine in double precision on the original vectors, and classes become their members again.
+Equal vectors are one class. Classes are dealt by hash to shards; each shard's graph is built in one task and stored as one
+row of flat neighbour arrays. Shards grow with the table, from ``SHARD_ROWS`` up to what a task holds (``SHARD_BYTES`` of
+vectors), so that their number stays near ``SHARDS`` as long as it can. Every query visits every shard: a task opens a shard once and the
+queries stream by, in Arrow batches. The shards' results are merged by cosine in double precision on the original vectors,
+and classes become their members again.
 
 Inside a task all work is in NumPy over many vectors at a time: insertions run in batches whose beam searches advance
 together, and so do the searches of a block.
 
 Defined cases: vectors that are null, empty, zero or hold nulls or non-finite numbers take no part, neither do rows with a null id;
 vectors of different length are never neighbours; with fewer candidates than asked all are returned; ties go to the smaller
-id; an empty table gives no rows.
+id; an id names one row: of rows that share it the first by vector is the query, and all of them are the query's own, so none is
+its neighbour (for other queries each is a candidate); other columns are not read, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,14 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.store import cut
-from tidemark.llm.vectors import classes, unit, usable, with_cosine
+from tidemark.llm.vectors import classes, matrix, unit, usable, with_cosine
 
-SHARD_ROWS = 8192
+SHARDS, SHARD_ROWS, SHARD_BYTES = 64, 8192, 1 << 26
+#: A table of few shards deals the queries of each over several tasks, of so many queries at least.
 QUERY_ROWS = 2048
 #: Links of a node above the lowest layer (twice as many there), beam widths of insertion and of search.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 96, 128
@@ -178,10 +184,16 @@ def _link_back(x: np.ndarray, links: np.ndarray, own: np.ndarray, to: np.ndarray
 INDEX = "dim int, shard int, ids binary, x binary, links array<binary>, entry int"
 
 
-def build_index(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def shards_of(rows: int, dim: int) -> int:
+    """Shards for so many vectors of length ``dim``."""
+    most = max(SHARD_ROWS, SHARD_BYTES // (4 * dim))
+    return -(-rows // min(most, max(SHARD_ROWS, -(-rows // SHARDS))))
+
+
+def build_index(distinct: DataFrame) -> DataFrame:
     """One row per shard: ids, vectors of length one, and the neighbour arrays of each layer. distinct: (rep, v, dim)."""
     spark = distinct.sparkSession
-    sizes = [(r["dim"], -(-r["n"] // shard_rows)) for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()]
+    sizes = [(r["dim"], shards_of(r["n"], r["dim"])) for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()]
     shards = spark.createDataFrame(sizes, "dim int, shards long")
     dealt = distinct.join(F.broadcast(shards), "dim").select("dim", F.pmod(F.xxhash64("rep"), "shards").cast("int").alias("shard"), "rep", "v")
 
@@ -195,10 +207,10 @@ def build_index(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return dealt.groupBy("dim", "shard").applyInPandas(make, INDEX)
 
 
-def open_index(row: pd.Series) -> tuple[np.ndarray, Graph]:
-    ids = np.frombuffer(row["ids"], dtype="<i8")
-    layers = [np.frombuffer(b, dtype="<i4").reshape(len(ids) + 1, -1).astype(np.int64) for b in row["links"]]
-    return ids, Graph(np.frombuffer(row["x"], dtype=np.float32).reshape(len(ids), -1), layers, int(row["entry"]))
+def open_index(ids: bytes, x: bytes, links: list[bytes], entry: int) -> tuple[np.ndarray, Graph]:
+    own = np.frombuffer(ids, dtype="<i8")
+    layers = [np.frombuffer(b, dtype="<i4").reshape(len(own) + 1, -1).astype(np.int64) for b in links]
+    return own, Graph(np.frombuffer(x, dtype=np.float32).reshape(len(own), -1), layers, entry)
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -206,29 +218,41 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
     spark = index.sparkSession
     counts = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     shards = {r["dim"]: r["n"] for r in index.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    sizes = spark.createDataFrame([(d, -(-n // QUERY_ROWS), shards.get(d, 0)) for d, n in counts.items()], "dim int, blocks long, shards long")
-    sizes = F.broadcast(sizes.where("shards > 0"))
-    asked = queries.join(sizes, "dim").select("dim", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int"))).alias("shard"), "query_id", "v")
-    held = index.join(sizes, "dim").select("dim", "shard", "ids", "x", "links", "entry", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"))
-
-    def look(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(rows):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64)})
-        ids, graph = open_index(own.iloc[0])
-        q = unit(np.stack(rows["v"].to_numpy()).astype(np.float64)).astype(np.float32)
-        found = np.concatenate([graph.search(q[a : a + BATCH], max(beam, k))[0][:, :k] for a in range(0, len(q), BATCH)])
-        at, to = np.nonzero(found >= 0)
-        return pd.DataFrame({"query_id": rows["query_id"].to_numpy()[at], "rep": ids[found[at, to]]})
-
-    keys = ["dim", "shard", "block"]
-    return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(look, "query_id long, rep long")
+    blocks = {d: min(-(-n // QUERY_ROWS), -(-SHARDS // shards[d])) for d, n in counts.items() if d in shards}
+    sizes = F.broadcast(spark.createDataFrame([(d, n, shards[d]) for d, n in blocks.items()], "dim int, blocks int, shards int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys, parts = ["dim", "shard", "block"], {"ids": "binary", "x": "binary", "links": "array<binary>", "entry": "int", "query_id": "long", "v": queries.schema["v"].dataType.simpleString()}
+    own = lambda *names: [F.col(c) if c in names else F.lit(None).cast(t).alias(c) for c, t in parts.items()]
+    held = index.join(sizes, "dim").select("dim", "shard", every("blocks").alias("block"), F.lit(0).alias("turn"), *own("ids", "x", "links", "entry"))
+    asked = queries.join(sizes, "dim").select("dim", every("shards").alias("shard"), F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), F.lit(1).alias("turn"), *own("query_id", "v"))
+    # a shard, then its queries
+    dealt = held.union(asked).repartition(*keys).sortWithinPartitions(*keys, "turn")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, graph = None, None
+        for batch in batches:
+            turn = batch.column("turn").to_numpy()
+            opens = np.flatnonzero(turn == 0).tolist()
+            for a, b in zip([0, *opens], [*opens, batch.num_rows], strict=True):
+                if a < b and turn[a] == 0:
+                    ids, graph = open_index(*(batch.column(c)[a].as_py() for c in ("ids", "x", "links", "entry")))
+                    a += 1
+                if a == b:
+                    continue
+                asked = batch.slice(a, b - a)
+                q = unit(matrix(asked.column("v"), graph.x.shape[1])).astype(np.float32)
+                found = np.concatenate([graph.search(q[i : i + BATCH], max(beam, k))[0][:, :k] for i in range(0, len(q), BATCH)])
+                at, to = np.nonzero(found >= 0)
+                yield pa.RecordBatch.from_arrays([asked.column("query_id").take(pa.array(at)), pa.array(ids[found[at, to]].astype(np.int64))], ["query_id", "rep"])
+
+    return dealt.mapInArrow(look, "query_id long, rep long")
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of each row whose id is divisible by ``every``, its own row apart."""
     rows = usable(vectors, id_col, vec_col)
     distinct = classes(rows)
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")).dropDuplicates(["query_id"])
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     index = cut(build_index(distinct))
     # one class may be the query's own, and k + 1 of its smallest ids are enough wherever it stands
     first = cut(search_index(index, queries, k + 1))
