@@ -37,11 +37,11 @@ def duck():
 
 
 def same_rows(frame, con, sql):
-    """Columns and rows of a query and of its SQL, floats to six places."""
+    """Columns and rows of a query and of its SQL, floats to six places and with the sign of their zeros."""
 
     def norm(v):
         if isinstance(v, float):
-            return repr(round(v, 6) + 0.0)
+            return repr(round(v, 6))
         return [norm(x) for x in v] if isinstance(v, (list, tuple)) else None if v is None else str(v)
 
     found = con.execute(sql)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +81,20 @@ def split_steps(total: Column, most: int, base: int) -> Column:
 def mean_in_db(x: Column) -> Column:
     """10 * log10 of the energy of an array."""
     return 10 * F.log10(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v) + 1e-12)
+
+
+def mirrored_tail(x: Column, size: int) -> Column:
+    """``x`` made ``size`` long by its own end read backwards, edge not repeated, and zeros where that runs out."""
+    n = F.size(x)
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i < n, F.get(x, i)).when(2 * (n - 1) - i >= 0, F.get(x, 2 * (n - 1) - i)).otherwise(F.lit(0.0)))
+
+
+def masked_argmax(x: Column, allowed: Sequence[range]) -> Column:
+    """Place of the largest value within the allowed ranges, the first of several."""
+    places = F.filter(F.transform(x, lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))), lambda p: functools.reduce(Column.__or__, [(-p["i"] >= r.start) & (-p["i"] < r.stop) for r in allowed]))
+    return -F.array_max(places)["i"]
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Two maps as one; where both have a key, the right one's value."""
+    return F.map_from_entries(F.concat(F.filter(F.map_entries(left), lambda e: ~F.map_contains_key(right, e["key"])), F.map_entries(right)))

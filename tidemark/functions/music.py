@@ -80,6 +80,13 @@ def pitch_class(name: str) -> int | None:
     return None if place is None else place * 7 % 12
 
 
+def pitch_class_of(name: Column) -> Column:
+    """:func:`pitch_class` of a column of note names."""
+    natural = F.element_at(F.create_map(*[F.lit(v) for k, letter in enumerate(_LETTERS) for v in (letter, (k - 1) * 7 % 12)]), F.substring(name, 1, 1))
+    raised = F.length(F.regexp_replace(name, "[^#]", "")) - F.length(F.regexp_replace(name, "[^b]", ""))
+    return F.when(F.regexp_like(name, F.lit("^[A-G][#b]*$")), F.pmod(natural + raised, F.lit(12)))
+
+
 def key_names() -> list[str]:
     return [f"{k}:major" for k in MAJOR_KEYS] + [f"{k}:minor" for k in MINOR_KEYS]
 

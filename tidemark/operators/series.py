@@ -9,11 +9,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tidemark.functions.levels import bin_weight, compressed
+from tidemark.operators.summaries import upper_median
+
 
 def series(key: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
     return Window.partitionBy(*key).orderBy(*order)
@@ -65,6 +69,22 @@ def turning_points(df: DataFrame, key: Sequence[str], order: Sequence[str], valu
     return both.where((F.col(value) > F.col("_a")) & (F.col(value) >= F.col("_b"))).drop("_a", "_b")
 
 
+def last_strong_turn(df: DataFrame, key: Sequence[str], at: str, value: str, share: float = 0.5) -> DataFrame:
+    """(key, at): the last turning point that reaches ``share`` of their upper median."""
+    tops = turning_points(df, key, [at], value).select(*key, at, value)
+    level = upper_median(tops, key, value, "_level")
+    return tops.join(level, list(key)).where(F.col(value) >= F.col("_level") * share).groupBy(*key).agg(F.max(at).alias(at))
+
+
+def magnitude_flux(df: DataFrame, key: Sequence[str], order: Sequence[str], magnitudes: str, frame: int, out: str = "flux") -> DataFrame:
+    """Weighted growth of compressed magnitudes from row to row; the first row grows from silence."""
+    level = df.withColumn("_level", compressed(F.col(magnitudes), frame))
+    before = F.coalesce(F.lag("_level").over(series(key, order)), F.transform("_level", lambda _: F.lit(0.0)))
+    grown = F.zip_with("_level", "_before", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    total = F.aggregate(F.transform(grown, lambda g, k: g * bin_weight(k)), F.lit(0.0), lambda s, v: s + v)
+    return level.withColumn("_before", before).withColumn(out, total).drop("_level", "_before")
+
+
 def gaussian_weights(deviation: float) -> list[tuple[int, float]]:
     """(offset, weight) of a kernel of three deviations on either side, summing to one."""
     radius = max(1, math.ceil(3 * deviation))
@@ -88,12 +108,11 @@ def min_gap(df: DataFrame, key: Sequence[str], at: str, gap: float) -> DataFrame
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(at, kind="stable")
-        chosen, last = [], None
-        for t in rows[at].to_numpy():
-            ok = last is None or t - last >= gap
-            chosen.append(ok)
-            last = t if ok else last
-        return rows[chosen]
+        times, chosen, k = rows[at].to_numpy(), [], 0
+        while k < len(times):  # from kept row to kept row
+            chosen.append(k)
+            k = max(k + 1, int(np.searchsorted(times, times[k] + gap, side="left")))
+        return rows.iloc[chosen]
 
     return df.groupBy(*key).applyInPandas(keep, df.schema)
 

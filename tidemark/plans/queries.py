@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,51 +10,8 @@ from tidemark.functions import arrays as A
 from tidemark.functions import music as M
 from tidemark.functions import text as X
 from tidemark.operators import hopping, joins, series, similarity, summaries
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-#: Time in microseconds and in seconds, and hourly totals of each event type without gaps, for the queries below.
-EVENTS_SQL = "ev AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us, epoch_us(ts) / 1e6 AS s FROM events)"
-HOURLY_SQL = """hours AS (SELECT event_type, (epoch_us(ts) // 3600000000) AS h, sum(value) AS v FROM events GROUP BY ALL),
-lim AS (SELECT event_type, min(h) AS lo, max(h) AS hi FROM hours GROUP BY event_type),
-grid AS (SELECT event_type, lo, unnest(range(lo, hi + 1)) AS h FROM lim),
-hourly AS (SELECT g.event_type, g.h - g.lo AS t, coalesce(o.v, 0.0) AS v FROM grid g LEFT JOIN hours o USING (event_type, h))"""
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", us.alias("us"), (us / 1e6).alias("s"))
-
-
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_type, t, v): totals of each hour from the first one of a type to its last."""
-    rows = events(spark, sf_dir).groupBy("event_type", F.floor(F.col("us") / 3_600_000_000).alias("h")).agg(F.sum("value").alias("v"))
-    ends = rows.groupBy("event_type").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    grid = ends.select("event_type", "lo", F.explode(F.sequence("lo", "hi")).alias("h"))
-    return grid.join(rows, ["event_type", "h"], "left").select("event_type", (F.col("h") - F.col("lo")).alias("t"), F.coalesce("v", F.lit(0.0)).alias("v"))
-
-
-def r6(c: str) -> F.Column:
-    return F.round(c, 6).alias(c)
-
+from tidemark.plans import song_queries  # noqa: F401  (registers its queries)
+from tidemark.plans.registry import EVENTS_SQL, HOURLY_SQL, QUERIES, SQL, events, hourly, query, r6, table  # noqa: F401
 
 # Windows over series
 
@@ -420,10 +375,10 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 100) AS x FROM embeddings), c AS (SELECT vec_id, list_transform(x, lambda v: greatest(v, list_max(x) - 30)) AS x FROM e)
-SELECT vec_id, list_transform(x, lambda v: round(v - list_avg(x), 4)) AS levels FROM c""")
+SELECT vec_id, list_transform(x, lambda v: round(v - list_avg(x), 4) + 0.0) AS levels FROM c""")
 def normalise_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = F.transform("embedding", lambda v: v.cast("double") * 100)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.levelled(scaled, 30.0), lambda v: F.round(v, 4)).alias("levels"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.levelled(scaled, 30.0), lambda v: F.round(v, 4) + 0.0).alias("levels"))
 
 
 @query()
@@ -432,18 +387,18 @@ def similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similarity_groups(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), ["label"], "vec_id", "embedding", 0.15).select("vec_id", "label", "group_id")
 
 
-@query("""SELECT vec_id, list_transform(range(1, 33), lambda i: round((embedding[i] + CAST(embedding[i + 32] AS DOUBLE)) / 2, 5)) AS mono,
-list_transform(range(1, 33), lambda i: round(CAST(embedding[i] AS DOUBLE) - embedding[i + 32], 5)) AS rest FROM embeddings""")
+@query("""SELECT vec_id, list_transform(range(1, 33), lambda i: round((embedding[i] + CAST(embedding[i + 32] AS DOUBLE)) / 2, 5) + 0.0) AS mono,
+list_transform(range(1, 33), lambda i: round(CAST(embedding[i] AS DOUBLE) - embedding[i + 32], 5) + 0.0) AS rest FROM embeddings""")
 def downmix_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = lambda at: F.transform(F.slice("embedding", at, 32), lambda x: x.cast("double"))
-    r5 = lambda c: F.transform(c, lambda x: F.round(x, 5))
+    r5 = lambda c: F.transform(c, lambda x: F.round(x, 5) + 0.0)
     return table(spark, sf_dir, "embeddings").select("vec_id", r5(A.downmix(half(1), half(33))).alias("mono"), r5(A.residual(half(1), half(33))).alias("rest"))
 
 
-@query("""SELECT vec_id, list_transform(range(0, 64), lambda i: round(embedding[i + 1] * CASE WHEN vec_id % 7 <> 0 AND i < 16 THEN i / 16.0 ELSE 1 END * CASE WHEN 63 - i < 8 THEN (63 - i) / 8.0 ELSE 1 END, 5)) AS faded FROM embeddings""")
+@query("""SELECT vec_id, list_transform(range(0, 64), lambda i: round(embedding[i + 1] * CASE WHEN vec_id % 7 <> 0 AND i < 16 THEN i / 16.0 ELSE 1 END * CASE WHEN 63 - i < 8 THEN (63 - i) / 8.0 ELSE 1 END, 5) + 0.0) AS faded FROM embeddings""")
 def fade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.transform("embedding", lambda v: v.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.fade(x, 16, 8, F.col("vec_id") % 7 == 0), lambda v: F.round(v, 5)).alias("faded"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.fade(x, 16, 8, F.col("vec_id") % 7 == 0), lambda v: F.round(v, 5) + 0.0).alias("faded"))  # no negative zeros
 
 
 @query("""SELECT vec_id, list_transform(range(-5, 69), lambda i: embedding[CASE WHEN abs(i) <= 63 THEN abs(i) ELSE 126 - i END + 1]) AS padded FROM embeddings""")
@@ -526,9 +481,15 @@ _STEPS_SQL = f"WITH {EVENTS_SQL}, q AS (SELECT user_id, row_number() OVER (PARTI
 
 @query(_STEPS_SQL + "SELECT user_id, step AS subbeat, list(31037 + c ORDER BY n) AS chord_tokens FROM q GROUP BY user_id, step")
 def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as tokens (a shift where the quarter of an hour changes, then a chord) and parsed again."""
+    """Events written as tokens and parsed again."""
     from tidemark.plans.transcription import parse_events
 
+    parsed = parse_events(event_tokens(spark, sf_dir), ["user_id"])
+    return parsed.select("user_id", F.col("subbeat").cast("long").alias("subbeat"), F.transform(F.element_at("tokens", F.lit("chord")), lambda t: t.cast("long")).alias("chord_tokens"))
+
+
+def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, pos, token): a prompt, then a shift where the quarter of an hour changes, and a chord for each event."""
     w = Window.partitionBy("user_id")
     e = events(spark, sf_dir).select("user_id", "us", F.floor((F.col("us") - F.min("us").over(w)) / 900_000_000).cast("int").alias("step"), (F.floor(F.col("value") * 10) % 361).cast("int").alias("c"))
     shift = F.col("step") - F.lag("step", 1, 0).over(w.orderBy("us"))
@@ -536,13 +497,4 @@ def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(shift > 0, F.concat(M.shift_tokens(shift), chord)).otherwise(chord)
     spoken = e.select("user_id", F.row_number().over(w.orderBy("us")).alias("n"), said.alias("t"))
     heads = e.select("user_id").distinct().select("user_id", F.lit(0).alias("n"), F.array(*map(F.lit, M.PROMPT)).alias("t"))
-    tokens = spoken.union(heads).select("user_id", "n", F.posexplode("t").alias("i", "token")).select("user_id", (F.col("n").cast("long") * 1000 + F.col("i")).alias("pos"), "token")
-    parsed = parse_events(tokens, ["user_id"])
-    return parsed.select("user_id", F.col("subbeat").cast("long").alias("subbeat"), F.transform(F.element_at("tokens", F.lit("chord")), lambda t: t.cast("long")).alias("chord_tokens"))
-
-
-@query()
-def chord_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chord of the vocabulary in every key, with its pitches; pairs from listed expectations in the tests."""
-    spelled = M.spelling_table(spark)
-    return spelled.join(F.broadcast(M.pitch_table(spark)), "label").select("raw", "key", "label", "pitches", M.short_chord(F.col("label")).alias("short"))
+    return spoken.union(heads).select("user_id", "n", F.posexplode("t").alias("i", "token")).select("user_id", (F.col("n").cast("long") * 1000 + F.col("i")).alias("pos"), "token")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # At the tempo written to the file (half a second a quarter note), a second is two quarter notes.
 TICKS_PER_QUARTER, TICKS_PER_SECOND, TEMPO_US = 960, 1920, 500_000
@@ -46,6 +48,15 @@ def encode_midi(parts: Sequence[tuple[str, pd.DataFrame]]) -> bytes:
     return out
 
 
+def messages(notes: DataFrame, key: Sequence[str] = ("track_id", "part")) -> DataFrame:
+    """(key, message_no, tick, on, pitch, velocity): what begins and ends, in the order of a file; at one tick ends come first."""
+    tick = lambda c: F.floor(F.col(c) * TICKS_PER_SECOND + 0.5)
+    ends = F.struct(tick("end").alias("tick"), F.lit(0).alias("on"), "pitch", F.lit(0).alias("velocity"))
+    each = notes.select(*key, F.explode(F.array(F.struct(tick("start").alias("tick"), F.lit(1).alias("on"), "pitch", "velocity"), ends)).alias("_m"))
+    rows = each.select(*key, "_m.*")
+    return rows.withColumn("message_no", F.row_number().over(Window.partitionBy(*key).orderBy("tick", "on", "pitch", "velocity")))
+
+
 def midi_files(notes: DataFrame, parts: Sequence[str]) -> DataFrame:
     """(track_id, content): one file for each song with the named parts, in that order, empty ones too."""
 
