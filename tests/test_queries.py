@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from tests.conftest import SF, same_rows
@@ -17,9 +18,16 @@ def test_entry_and_contract(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_similarity_groups_partition_the_rows(spark):
-    rows = QUERIES["similarity_groups"](spark, SF).collect()
-    assert len({r["vec_id"] for r in rows}) == len(rows) > 0
+def test_similarity_groups_equal_brute_force(spark):
+    from tests.test_series import brute_groups
+
+    rows = sorted(QUERIES["similarity_groups"](spark, SF).collect(), key=lambda r: r["vec_id"])
+    vectors = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    assert [r["vec_id"] for r in rows] == sorted(vectors)
+    for label in {r["label"] for r in rows}:
+        own = [r for r in rows if r["label"] == label]
+        groups = brute_groups([vectors[r["vec_id"]] for r in own], 0.15)
+        assert [r["group_id"] for r in own] == [next(k for k, g in enumerate(groups) if i in g) for i in range(len(own))]
 
 
 def test_scans_prune_and_push_down(spark):

@@ -50,7 +50,7 @@ def test_overlap_add_of_the_identity_is_the_identity(spark):
 
 @pytest.mark.parametrize(
     ("vectors", "expected"),
-    [([[0, 0], [1, 0], [10, 10], [0, 1], [10, 11]], [[0, 1, 3], [2, 4]]), ([[0, 0], [3, 0], [1.5, 0]], [[0, 2, 1]])],
+    [([[0, 0], [1, 0], [10, 10], [0, 1], [10, 11]], [[0, 1, 3], [2, 4]]), ([[0, 0], [3, 0], [1.5, 0]], [[0, 1, 2]])],
 )
 def test_grouping_by_similarity(vectors, expected):
     assert [sorted(g) for g in similarity.group_in_order(np.array(vectors, dtype=float), 2.0)] == [sorted(g) for g in expected]
@@ -104,7 +104,7 @@ def test_grouping_equals_brute_force_and_its_memory_is_linear():
         rng = np.random.default_rng(seed)
         vectors = rng.integers(0, 9, (70, 2)).astype(float) if seed % 2 else rng.normal(size=(70, 3))
         for threshold in (0.4, 1.2):
-            assert similarity.group_in_order(vectors, threshold) == brute_groups(vectors, threshold)
+            assert similarity.group_in_order(vectors, threshold) == [sorted(g) for g in brute_groups(vectors, threshold)]
     assert similarity.group_in_order(np.zeros((0, 4)), 1.0) == []
     far = np.random.default_rng(1).normal(size=(1500, 64))
     tracemalloc.start()
@@ -113,3 +113,36 @@ def test_grouping_equals_brute_force_and_its_memory_is_linear():
         assert tracemalloc.get_traced_memory()[1] < 32e6
     finally:
         tracemalloc.stop()
+
+
+def test_cells_carry_what_crosses_them(spark, monkeypatch):
+    from tidemark.operators import cells
+
+    monkeypatch.setattr(cells.cell_of, "__defaults__", (8,))
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 17 == 0 else "hot" if i % 3 else f"k{i % 5}", i, None if i % 29 == 0 else float(rng.integers(0, 12)), float(rng.integers(1, 9))) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, i long, v double, w double")
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0.0, r[1])):
+        groups.setdefault(r[0], []).append(r)
+    got = {r["i"]: r["n"] for r in cells.numbered(df, ["k"], ["v", "i"], "n").collect()}
+    assert got == {r[1]: n for g in groups.values() for n, r in enumerate(g, 1)}
+    share = {r["i"]: r["done"] for r in summaries.running_share(df, ["k"], ["i"], "w").collect()}
+    for g in groups.values():
+        g.sort(key=lambda r: r[1])
+        upto = np.cumsum([r[3] for r in g])
+        assert np.allclose([share[r[1]] for r in g], upto / upto[-1])
+    kept = {r["i"] for r in series.changed_deciles(df.withColumn("f", df["v"] / 12), ["k"], ["i"], "f").collect()}
+    tenth = lambda r: -1 if r[2] is None else int(np.floor(r[2] / 12 * 10))
+    assert kept == {r[1] for g in groups.values() for n, r in enumerate(g) if n == 0 or tenth(g[n - 1]) != tenth(r)}
+    z = {r["i"]: r["z"] for r in summaries.standardise(df, ["k"], "w").collect()}
+    for g in groups.values():
+        w = np.array([r[3] for r in g])
+        assert np.allclose([z[r[1]] for r in g], (w - w.mean()) / (1e-5 + w.std(ddof=1)))
+    assert cells.numbered(df.where("i < 0"), ["k"], ["v"], "n").count() == 0
+
+
+def test_only_small_tables_are_paired(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MOST_PAIRED", 3)
+    with pytest.raises(ValueError, match="pair"):
+        similarity.pairs(spark.createDataFrame([(i, [1.0]) for i in range(4)], "i long, v array<double>"), "i", "v")

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.operators.cells import numbered
 
 
 def title_prefix(title: Column, most: int = 20, fallback: str = "song") -> Column:
@@ -24,8 +25,8 @@ def clean_title(title: Column, fallback: str = "untitled") -> Column:
 
 def unique_names(df: DataFrame, name: str, order: Sequence[str], out: str = "folder") -> DataFrame:
     """Names with a number behind the second and later rows that share one."""
-    turn = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    return df.withColumn("_turn", turn).withColumn(out, F.when(F.col("_turn") == 1, F.col(name)).otherwise(F.concat_ws(" ", name, F.col("_turn").cast("string")))).drop("_turn")
+    turned = numbered(df, [name], order, "_turn")
+    return turned.withColumn(out, F.when(F.col("_turn") == 1, F.col(name)).otherwise(F.concat_ws(" ", name, F.col("_turn").cast("string")))).drop("_turn")
 
 
 def zero_padded(number: Column, count: Column, digits: int) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.functions.levels import bin_weight, compressed
+from tidemark.operators.cells import carried
 from tidemark.operators.summaries import upper_median
 
 
@@ -152,7 +153,9 @@ def phase_strength(df: DataFrame, key: Sequence[str], order: Sequence[str], valu
 def changed_deciles(df: DataFrame, key: Sequence[str], order: Sequence[str], fraction: str) -> DataFrame:
     """Rows whose tenth of progress differs from that of the row before; no fraction counts as tenth -1."""
     tenth = df.withColumn("decile", F.coalesce(F.floor(F.col(fraction) * 10), F.lit(-1)).cast("int"))
-    return tenth.withColumn("_before", F.lag("decile").over(series(key, order))).where(F.col("_before").isNull() | (F.col("_before") != F.col("decile"))).drop("_before")
+    rows = carried(tenth, key, order, {"_before": F.lag("decile")}, {"_last": (F.max_by("decile", F.struct(*order)), F.lag("_c"))})
+    before = F.coalesce("_before", "_last")
+    return rows.where(before.isNull() | (before != F.col("decile"))).drop("_before", "_last")
 
 
 def hit_ends(df: DataFrame, key: Sequence[str], attack: str, preroll: int, longest: int, end: str | Column) -> DataFrame:

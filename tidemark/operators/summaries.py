@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.cells import beside, carried, numbered
+
 
 def dominant(df: DataFrame, key: Sequence[str], label: str, weight: Column | None = None, out: str = "label") -> DataFrame:
     """(key, out, weight): the label with the largest sum of ``weight`` (count of rows, without), the smallest label of several."""
@@ -24,8 +26,8 @@ def true_median(df: DataFrame, key: Sequence[str], value: str | Column, out: str
 
 def upper_median(df: DataFrame, key: Sequence[str], value: str, out: str = "upper_median") -> DataFrame:
     """The middle value, or the upper of the middle two, by ranks instead of a list of all values."""
-    w = Window.partitionBy(*key)
-    ranked = df.where(F.col(value).isNotNull()).select(*key, value, F.row_number().over(w.orderBy(value)).alias("_i"), F.count("*").over(w).alias("_n"))
+    known = df.where(F.col(value).isNotNull()).select(*key, value)
+    ranked = beside(numbered(known, key, [value], "_i"), known.groupBy(*key).agg(F.count("*").alias("_n")), key)
     return ranked.where(F.col("_i") == F.floor(F.col("_n") / 2) + 1).select(*key, F.col(value).alias(out))
 
 
@@ -66,15 +68,14 @@ def having_unless_none(groups: DataFrame, size: str, fewest: int) -> DataFrame:
 
 
 def standardise(df: DataFrame, key: Sequence[str], value: str, out: str = "z") -> DataFrame:
-    """(value - mean) / (1e-5 + unbiased deviation) within each series."""
-    w = Window.partitionBy(*key)
-    return df.withColumn(out, (F.col(value) - F.avg(value).over(w)) / (F.lit(1e-5) + F.stddev_samp(value).over(w)))
+    """(value - mean) / (1e-5 + unbiased deviation) within each series, both aggregated before they meet the rows."""
+    both = df.groupBy(*key).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_deviation"))
+    return beside(df, both, key).withColumn(out, (F.col(value) - F.col("_mean")) / (F.lit(1e-5) + F.col("_deviation"))).drop("_mean", "_deviation")
 
 
 def nearest_half(df: DataFrame, key: Sequence[str], distance: str, tie: str) -> DataFrame:
     """The (n + 1) div 2 rows of each key with the least distance."""
-    w = Window.partitionBy(*key)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(distance, tie))).withColumn("_n", F.count("*").over(w))
+    ranked = beside(numbered(df, key, [distance, tie], "_i"), df.groupBy(*key).agg(F.count("*").alias("_n")), key)
     return ranked.where(F.col("_i") <= F.floor((F.col("_n") + 1) / 2)).drop("_i", "_n")
 
 
@@ -87,8 +88,12 @@ def first_extreme(df: DataFrame, key: Sequence[str], score: str, ordinal: str, l
 
 def running_share(df: DataFrame, key: Sequence[str], order: Sequence[str], amount: str, out: str = "done") -> DataFrame:
     """Sum up to each row over the sum of all."""
-    w = Window.partitionBy(*key)
-    return df.withColumn(out, F.sum(amount).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(amount).over(w))
+    own = F.sum(amount)
+    rows = carried(df, key, order, {"_own": own}, {"_upto": (own, F.sum("_c")), "_here": (own, F.last("_c"))})
+    total = df.groupBy(*key).agg(own.alias("_all"))
+    none = F.lit(0)
+    upto = F.coalesce("_upto", none) - F.coalesce("_here", none) + F.coalesce("_own", none)
+    return beside(rows, total, key).withColumn(out, upto / F.col("_all")).drop("_own", "_upto", "_here", "_all")
 
 
 def last_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

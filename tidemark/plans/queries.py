@@ -294,8 +294,9 @@ def standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT *, abs(p_retailprice - avg(p_retailprice) OVER (PARTITION BY p_brand)) AS d FROM part),
 k AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY round(d, 6), p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM m) SELECT p_partkey, p_brand FROM k WHERE i <= (n + 1) // 2""")
 def nearest_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    off = F.round(F.abs(F.col("p_retailprice") - F.avg("p_retailprice").over(Window.partitionBy("p_brand"))), 6)
-    return summaries.nearest_half(table(spark, sf_dir, "part").withColumn("d", off), ["p_brand"], "d", "p_partkey").select("p_partkey", "p_brand")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    off = parts.join(parts.groupBy("p_brand").agg(F.avg("p_retailprice").alias("mean")), "p_brand").withColumn("d", F.round(F.abs(F.col("p_retailprice") - F.col("mean")), 6))
+    return summaries.nearest_half(off, ["p_brand"], "d", "p_partkey").select("p_partkey", "p_brand")
 
 
 @query("""SELECT p_brand, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS k FROM part) WHERE k = 1""")
