@@ -492,6 +492,76 @@ def test_language(spark):
     assert set(langid.predict_language(df, nothing).toPandas().lang_pred) == {"und"}
 
 
+def test_ftrl_equals_a_plain_version(monkeypatch):
+    """One weight at a time, in dictionaries."""
+    rng = np.random.default_rng(2)
+    samples = []
+    for k in range(40):
+        at = np.sort(rng.choice(50, 8, replace=False))
+        samples.append((k % 3, at, rng.random(8)))
+    weights, bias = langid.fit_ftrl(samples, 3)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        l1, l2 = (langid.L1, langid.L2) if i < langid.BUCKETS else (0.0, 0.0)
+        if abs(z[i, c]) <= l1:
+            return 0.0
+        return -(z[i, c] - np.sign(z[i, c]) * l1) / ((langid.BETA + n[i, c] ** 0.5) / langid.ALPHA + l2)
+
+    order = np.random.Generator(np.random.PCG64(5))
+    for _ in range(langid.EPOCHS):
+        for k in order.permutation(len(samples)):
+            lang, at, x = samples[k]
+            row = [*zip(at.tolist(), x.tolist()), (langid.BUCKETS, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in row for c in range(3)}
+            e = [np.exp(sum(v * w[i, c] for i, v in row)) for c in range(3)]
+            for i, v in row:
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == lang))
+                    z[i, c] += g - ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / langid.ALPHA * w[i, c]
+                    n[i, c] += g * g
+    for c in range(3):
+        assert abs(bias[c] - weight(langid.BUCKETS, c)) < 1e-9
+        assert max(abs(weights[i, c] - weight(i, c)) for i in range(50)) < 1e-9
+    assert (weights[50:] == 0).all() and (weights[:50] == 0).any()  # L1 leaves weights out
+
+
+def test_tfidf_and_frequencies_equal_plain_counting(spark):
+    texts = ["Ab ba", "ab, AB!", "été", None, "123", "ab " * 50]
+    n, df = langid.document_frequencies(docs_table(spark, texts).select("text"))
+    grams = [langid.ngram_counts(t or "") for t in texts]
+    known = [g for g in grams if g is not None]
+    assert n == len(known) == 4 and (df == sum((g > 0).astype(int) for g in known)).all()
+    idf = np.log((1 + n) / (1 + df)) + 1
+    model = langid.LanguageModel(["x"], idf, np.zeros((langid.BUCKETS, 1)), np.zeros(1))
+    at, x = model.tfidf(grams[0])
+    plain = {i: (1 + np.log(grams[0][i])) * idf[i] for i in np.flatnonzero(grams[0])}
+    norm = sum(v * v for v in plain.values()) ** 0.5
+    assert at.tolist() == sorted(plain) and np.allclose(x, [plain[i] / norm for i in at])
+
+
+def test_scopes_delete_what_is_not_kept(spark):
+    with store.scope(spark) as outer:
+        with store.scope(spark) as inner:
+            a, b = store.cut(spark.range(3)), store.cut(spark.range(4))
+            inner.keep(b)
+        with pytest.raises(Exception):
+            a.count()
+        assert b.count() == 4
+    with pytest.raises(Exception):
+        b.count()
+    assert outer.kept == set()
+
+
+def test_long_training_texts_are_cut_to_a_stretch(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 3)
+    texts = ["\n".join(prose(6, 10 * s + k) for k in range(40)) if s % 2 else "\n".join("### $$ 1 2 3" for _ in range(40)) for s in range(60)]
+    df = docs_table(spark, texts)
+    model = quality.train_quality(df, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    got = quality.score_quality(df, model, out_col="q").toPandas()
+    assert ((got.q >= 0.7) == (got.doc_id % 2 == 1)).all()
+
+
 def test_long_texts_have_the_same_ngrams(monkeypatch):
     text = prose(500, 3)
     whole = langid.ngram_counts(text)

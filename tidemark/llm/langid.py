@@ -7,7 +7,8 @@ language, and one temperature, fitted on a fifth of that sample that training le
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows whose language or id is null are not
 trained on; ties go to the first language by name; without training rows every text is ``und`` with score 0; an empty
-table gives no rows; repeated rows get equal predictions.
+table gives no rows; repeated rows get equal predictions; texts of any length are counted whole, one text in memory at a time;
+other columns are not read, whatever their names. The driver holds the sample and a column of weights for each language.
 """
 
 from __future__ import annotations

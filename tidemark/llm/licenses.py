@@ -10,7 +10,8 @@ takes that of the nearest ancestor directory that has one, found by a join of di
 
 Defined cases: texts that are null or empty have no licence of their own; rows with a null path neither inherit nor pass on; between
 equal scores the earlier line and then the earlier template name wins; of several licence files in one directory the
-best score and then the smaller path wins; an empty table gives no rows; repeated rows get equal results.
+best score and then the smaller path wins; an empty table gives no rows; repeated rows get equal results; texts of any length are
+compared whole, in slices; columns other than id, text and path are not read, whatever their names.
 """
 
 from __future__ import annotations

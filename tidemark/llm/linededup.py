@@ -7,7 +7,7 @@ do not count.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line; texts under three lines have
 no window and stay as they are; rows with a null doc_id stay as they are; rows that share a doc_id count as one place, so
-they lose the same lines if their texts are equal; an empty table gives no rows; other columns pass through, but for columns
+they lose the same lines if their texts are equal; a text of any length is split whole, and its lines make one row each; an empty table gives no rows; other columns pass through, but for columns
 named n_lines or n_removed, which the result's own replace.
 """
 

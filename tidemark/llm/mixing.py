@@ -12,7 +12,9 @@ more slots); executors make the schedules of the periods that their rows fall in
 empty; no row is dropped. A weight so small that its source's rows need more than ``MOST_PERIOD`` slots in each period raises.
 
 Defined cases: null is a source of its own; rows with one doc_id keep their own places, in any order among them; an
-empty table gives no rows; other columns pass through, and must not be named ``block``, ``slot`` or ``place``.
+empty table gives no rows; texts are not read; other columns pass through, but for columns named ``block``, ``slot`` or ``place``,
+which the result's own replace. More than ``MOST_SOURCES`` sources raise an error: give a column of classes of sources
+instead, with the sums of their weights, and mix each class by itself.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ the score.
 
 Defined cases: a null or empty text is one empty line and gets that line's score; a label that is null is not used; a document
 with several labels counts as bad if one of them is; without any labels every score is 0.5; an empty table gives no rows;
-repeated rows score alike; other columns pass through.
+repeated rows score alike; texts of any length are scored whole (for training, a sampled document of more than
+``SAMPLE_LINES`` lines gives that many in a row, from a place by hash of its id, so the driver's memory is bounded); other
+columns pass through, but for one with the name of the score, which it replaces.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from tidemark.llm.textbytes import chunks, prefix_hash, span_hash, words
 
 #: The most labelled documents that the field is fitted on: those least by hash of their id.
 SAMPLE_DOCS = 3000
+#: The most lines of each of them.
+SAMPLE_LINES = 256
 KEEP_FROM = 0.7
 EPOCHS = 60
 L2 = 1e-3
@@ -195,13 +199,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
     """Fit on at most ``sample_docs`` labelled documents outside the held-out ones. labels: (id, quality)."""
     known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("_label"))
     known = least_by_hash(known, ["_id"], sample_docs)
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_label", "_text")
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_label", "_text", F.crc32(F.col("_id").cast("string").cast("binary")).alias("_turn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(1)):
                 x, size, first = line_features(data, offsets)
-                rows = [(x[i:j].astype("<f4").tobytes(), size[i:j].astype("<f4").tobytes()) for i, j in zip(first[:-1], first[1:], strict=True)]
+                count = np.diff(first)
+                begin = first[:-1] + batch.column(2)[a:b].to_numpy() % np.maximum(count - SAMPLE_LINES + 1, 1)
+                rows = [(x[i:j].astype("<f4").tobytes(), size[i:j].astype("<f4").tobytes()) for i, j in zip(begin, begin + np.minimum(count, SAMPLE_LINES), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["label", "x", "size"])
 
     rows = sorted(chosen.mapInArrow(run, "label int, x binary, size binary").collect(), key=lambda r: (r["label"], r["x"]))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tidemark-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].add(path.rsplit("/", 1)[1])
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
@@ -38,14 +42,53 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+#: Names of the tables that :func:`cut` has made inside each open :class:`Scope`.
+_scopes: list[set[str]] = []
+
+
+def _names(df: DataFrame) -> set[str]:
+    """Names of the tables of :func:`cut` that ``df`` reads."""
+    return {part for f in df.inputFiles() for part in f.split("/")[-2:-1] if part.startswith("tidemark-")}
+
+
+def _delete(spark: SparkSession, names: set[str]) -> None:
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables made by :func:`cut` that nothing will read again."""
     for df in tables:
-        spark = df.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/tidemark-" in file:
-                path = spark._jvm.org.apache.hadoop.fs.Path(file)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, _names(df))
+
+
+class Scope:
+    """What :func:`scope` gives: says which tables outlive it."""
+
+    def __init__(self) -> None:
+        self.kept: set[str] = set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self.kept |= _names(df)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Tables that :func:`cut` makes inside are deleted at the end, but for those kept, which belong to the scope around, if any.
+
+    For callers: write an operator's result inside a scope, and its intermediate tables go once it is written.
+    """
+    own = Scope()
+    _scopes.append(set())
+    try:
+        yield own
+    finally:
+        made = _scopes.pop()
+        if _scopes:
+            _scopes[-1].update(made & own.kept)
+        _delete(spark, made - own.kept)
 
 
 HASHES = 1 << 40

@@ -11,8 +11,8 @@ A leaf's vectors are cut into tiles (``HOME_ROWS`` by ``VISIT_ROWS``), so a leaf
 memory and no pair is lost. Equal vectors are one class and are counted, never paired.
 
 Defined cases: vectors that are null, empty, zero or hold nulls or non-finite numbers link with nothing; vectors of different length
-never link; each row counts as a vector, also when rows repeat; rows with a null id are returned unlinked; an empty table
-gives no rows.
+never link; each row counts as a vector, also when rows repeat; rows with a null id are returned unlinked; other columns are not read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
