@@ -7,9 +7,8 @@
 3. Links are sought in passes, and each one leaves out what earlier ones have connected. The first ``STARS`` passes pair the
    members of each bucket with one of them, another one in each band and pass; the rows they make are those of the buckets. The buckets
    whose members are then still in different components make up families (classes that buckets connect). A family is
-   cut into tiles, which carry signatures only, and in a tile every pair that shares a bucket and is not connected is
-   compared. One pass keeps, of the pairs left in a tile, a forest over the components (fewer pairs than the tile has
-   classes); the last one keeps them all, so no link that joins components is lost.
+   cut into tiles, and in a tile every pair that shares a bucket and is not connected yet is compared, so no link that
+   joins components is lost; only links leave the task, never the pairs.
 4. A pair's signatures are compared in batches. With a uniform prior on similarity, after n hashes of which m agree its
    posterior is Beta(m + 1, n - m + 1); the pair is dropped as soon as P(similarity >= threshold) is below ``MISS``.
 5. What is left of a pass is confirmed on the full sets: 100 * intersection >= 75 * union.
@@ -155,7 +154,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 #: Classes on either side of a tile.
-TILE_ROWS = 2048
+TILE_ROWS = 1024
 
 
 class Forest:
@@ -170,24 +169,23 @@ class Forest:
             x = y
         return x
 
-    def join(self, x: int, y: int) -> bool:
-        """Whether they were apart."""
+    def join(self, x: int, y: int) -> None:
         x, y = self.find(x), self.find(y)
         self.up[max(x, y)] = min(x, y)
-        return x != y
 
 
-def tile_pairs(left: pd.DataFrame, right: pd.DataFrame, every: bool) -> list[tuple[int, int]]:
-    """Pairs between two sides (or within one) that share a bucket, have different roots and stay plausible batch by batch.
+def tile_links(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links between two sides (or within one) that join components, each confirmed on the full sets.
 
-    every: all of them; else, in the order of agreement, those that join components of the tile that are still apart.
+    Pairs that share a bucket and have different roots are compared batch by batch, and what is left is confirmed in the
+    order of agreement while its components are apart.
     """
     sides = []
     for side in (left, right):
         side = side.sort_values("root", kind="stable")
         sig = np.frombuffer(b"".join(side["sig"]), dtype="<u2").reshape(-1, BANDS * ROWS)
-        sides.append((side["rep"].to_numpy(), side["root"].to_numpy(), np.stack(side["bands"].to_numpy()), sig))
-    (rep_a, root_a, bands_a, sig_a), (rep_b, root_b, bands_b, sig_b) = sides
+        sides.append((side["rep"].to_numpy(), side["root"].to_numpy(), np.stack(side["bands"].to_numpy()), sig, side["set"].tolist()))
+    (rep_a, root_a, bands_a, sig_a, set_a), (rep_b, root_b, bands_b, sig_b, set_b) = sides
     least, found = needed(), []
     for k in range(0, len(rep_a), 64):
         part = slice(k, k + 64)
@@ -209,9 +207,16 @@ def tile_pairs(left: pd.DataFrame, right: pd.DataFrame, every: bool) -> list[tup
             i, j, agree = i[alive], j[alive], agree[alive]
         found.append((agree, i, j))
     agree, i, j = (np.concatenate([f[c] for f in found]) for c in range(3))
-    forest = Forest()
-    keep = range(len(i)) if every else (k for k in np.argsort(-agree, kind="stable") if forest.join(int(root_a[i[k]]), int(root_b[j[k]])))
-    return [(int(rep_a[i[k]]), int(rep_b[j[k]])) for k in keep]
+    links, forest = [], Forest()
+    for k in np.argsort(-agree, kind="stable"):
+        x, y = i[k], j[k]
+        if forest.find(int(root_a[x])) != forest.find(int(root_b[y])):
+            one, another = set_a[x], set_b[y]
+            both = len(np.intersect1d(one, another, assume_unique=True))
+            if both * THRESHOLD[1] >= (len(one) + len(another) - both) * THRESHOLD[0]:
+                forest.join(int(root_a[x]), int(root_b[y]))
+                links.append((int(rep_a[x]), int(rep_b[y])))
+    return links
 
 
 def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -237,9 +242,9 @@ def families(members: DataFrame) -> DataFrame:
     return cut(components(edges).select(F.col("node").alias("rep"), F.col("root").alias("family")))
 
 
-def family_pairs(members: DataFrame, family: DataFrame, own: DataFrame, every: bool) -> DataFrame:
-    """Plausible pairs (a, b) of different roots that share one of the buckets of ``members``; see :func:`tile_pairs`."""
-    family = cut(members.select("rep", "root").distinct().join(family, "rep"))
+def family_links(members: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of different roots that share one of the buckets of ``members``; see :func:`tile_links`."""
+    family = cut(members.select("rep", "root").distinct().join(families(members), "rep"))
     sizes = cut(family.groupBy("family").agg(F.count("*").alias("n")))
     small = sizes.where(F.col("n") <= TILE_ROWS).agg(F.sum("n")).first()[0] or 0
     pools = 1 + small // TILE_ROWS
@@ -248,16 +253,17 @@ def family_pairs(members: DataFrame, family: DataFrame, own: DataFrame, every: b
     pool = F.when(F.col("n") > TILE_ROWS, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(pools)))
     dealt = family.join(sizes, "family").select("rep", "root", pool.alias("pool"), chunks_.alias("chunks"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int")).join(own, "rep")
+    dealt = dealt.join(shingle_sets(texts.join(family.select("rep"), "rep", "left_semi").select("rep", "text")), "rep")
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = tiles.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left = rows[rows["chunk"] == key[1]]
         right = left if key[1] == key[2] else rows[rows["chunk"] == key[2]]
-        pairs = tile_pairs(left, right, every) if len(left) and len(right) else []
-        return pd.DataFrame({"a": [min(x) for x in pairs], "b": [max(x) for x in pairs]}, dtype="int64")
+        links = tile_links(left, right) if len(left) and len(right) else []
+        return pd.DataFrame({"a": [min(x) for x in links], "b": [max(x) for x in links]}, dtype="int64")
 
-    return tiles.select("pool", "i", "j", "chunk", "rep", "root", "bands", "sig").groupBy("pool", "i", "j").applyInPandas(solve, "a long, b long")
+    return tiles.select("pool", "i", "j", "chunk", "rep", "root", "bands", "sig", "set").groupBy("pool", "i", "j").applyInPandas(solve, "a long, b long")
 
 
 def joined_to(roots: DataFrame) -> DataFrame:
@@ -284,16 +290,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = own.select("rep", "h").join(placed.select("rep").distinct(), "rep", "left_semi")
         texts = cut(texts.join(wanted, ["rep", "h"], "left_semi").dropDuplicates(["rep"]).select("rep", "text"))
 
-        links = cut(confirmed(cut(plausible(star_pairs(placed.withColumn("root", F.col("rep")), 0), sigs)), texts))
-        roots = components(links)
-        members = open_members(placed, roots)
-        family = families(members)
-        for turn in range(1, STARS + 2):
-            pairs = plausible(star_pairs(members, turn), sigs) if turn < STARS else family_pairs(members, family, own, every=turn > STARS)
-            more = cut(confirmed(cut(pairs), texts))
-            if not more.isEmpty():
-                # what is connected goes on as one edge for each node
-                roots = components(joined_to(roots).union(more))
+        members, roots = placed.withColumn("root", F.col("rep")), None
+        for turn in range(STARS + 1):
+            links = confirmed(cut(plausible(star_pairs(members, turn), sigs)), texts) if turn < STARS else family_links(members, own, texts)
+            # what is connected goes on as one edge for each node
+            roots = components(links if roots is None else joined_to(roots).union(links))
+            if turn < STARS:
                 members = open_members(members, roots)
         # rows that share a doc_id join their classes
         shared = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
