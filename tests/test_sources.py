@@ -46,6 +46,25 @@ def test_read_blocks_and_separate(spark, tmp_path):
     assert np.array_equal(wav.decode_wav(back["one"])[1], x)
     device = {r["track_id"]: wav.decode_wav(bytes(r["content"]))[1].shape for r in stems.device_files(blocks).collect()}
     assert device["one"] == (2, 54_422) and device["two"][0] == 1
+    with pytest.raises(Exception, match="the separator gave"):
+        stems.separate(blocks, lambda: lambda a: a[:, 1:], chunk=12_000, block=4096).count()
+
+
+def test_a_sampler_gets_pieces_at_the_times_of_its_copy(spark, tmp_path):
+    x = np.random.default_rng(5).uniform(-0.5, 0.5, (2, 44_100)).astype(np.float32)
+    (tmp_path / "a.wav").write_bytes(wav.encode_wav(x, 44_100))
+    (tmp_path / "b.wav").write_bytes(wav.encode_wav(np.vstack([x[0], x[0] + 5e-5]), 44_100))
+    blocks = wav.read_wav(spark, f"file://{tmp_path}", block=4096)
+    rows = [(t, "kit", n, a, b, 0.003, 0.005) for t in "ab" for n, a, b in (("01", 4410, 22_050), ("02", 22_050, 44_100))]
+    pieces = spark.createDataFrame([*rows, ("silent", "kit", "01", 0, 10, 0.0, 0.0)], stems.PIECES)
+    got = {(r["track_id"], r["name"]): wav.decode_wav(bytes(r["content"])) for r in stems.device_files(blocks, pieces).collect()}
+    assert {k: v[1].shape for k, v in got.items()} == {
+        (t, n): (2 if t == "a" else 1, size) for t in "ab" for n, size in (("", 48_000), ("kit/01.wav", 19_200), ("kit/02.wav", 24_000))
+    }
+    whole, first = got["a", ""][1], got["a", "kit/01.wav"][1]
+    assert got["a", ""][0] == 48_000 and first[0, 0] == pytest.approx(0, abs=1e-4)
+    assert np.abs(first[:, 200:18_900] - whole[:, 5000:23_700]).max() < 2e-4  # two ditherings apart
+    assert stems.device_files(blocks).count() == 2
 
 
 def test_pieces_are_cut_with_ramps(spark):
@@ -118,7 +137,10 @@ def test_songs_from_mix_to_files(spark, tmp_path):
     songs.write(made, f"file://{tmp_path}/out", device=True)
     names = {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.wav")}
     assert {"My Song/drums.wav", "My Song/vocals.wav", "My Song/horns.wav", "My Song/device/My_Song_drums.wav"} <= names
-    assert any("My_Song_drums_kit/01" in n for n in names) and any("My_Song_drums_loops_120bpm/bar001" in n for n in names)
+    native = {n for n in names if "/drums_" in n}
+    assert any("/drums_kit/drums_01" in n for n in native) and any("/drums_loops_120bpm/drums_bar001" in n for n in native)
+    copies = {n for n in names if "/device/My_Song_drums_" in n}
+    assert copies == {n.replace("/drums_", "/device/My_Song_drums_", 1).replace("/drums_", "/My_Song_drums_") for n in native}
     rate, again = wav.decode_wav((tmp_path / "out" / "My Song" / "drums.wav").read_bytes())
     assert rate == 44_100 and np.abs(again[0] - x).max() < 1e-5
 

@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import title_prefix
@@ -59,19 +59,29 @@ def split(
     return Split(named, grid, functools.reduce(DataFrame.unionByName, pieces) if pieces else None)
 
 
+def _named(prefix: Column) -> Column:
+    """folder/name.wav of a piece as prefix_folder/prefix_name.wav."""
+    return F.concat(prefix, F.lit("_"), F.replace(F.col("name"), F.lit("/"), F.concat(F.lit("/"), prefix, F.lit("_"))))
+
+
 def files(result: Split, device: bool = False) -> DataFrame:
-    """(name, content): song/stem.wav for every stem, song/prefix_stem_folder/piece.wav for every piece, and a sampler's copies of the stems."""
+    """(name, content): song/stem.wav for every stem and song/stem_folder/stem_piece.wav for every piece.
+
+    A sampler's copies are in song/device, under names that begin with the song's: prefix_stem.wav and prefix_stem_folder/prefix_stem_piece.wav.
+    """
     stems = [r["stem"] for r in result.stems.select("stem").distinct().collect()]  # one of a closed set of names
     out = []
-    prefix = lambda s: F.concat_ws("_", title_prefix(F.col("track_id")), F.lit(s))
     for stem in sorted(stems):
         own = result.stems.where(F.col("stem") == stem).drop("stem")
+        pieces = None if result.pieces is None else result.pieces.where(F.col("stem") == stem).drop("stem")
         out.append(encoded(own).select(F.concat("track_id", F.lit(f"/{stem}.wav")).alias("name"), "content"))
+        if pieces is not None:
+            cut = T.cut_pieces(own, pieces)
+            out.append(cut.select(F.concat_ws("/", "track_id", _named(F.lit(stem))).alias("name"), "content"))
         if device:
-            out.append(T.device_files(own).select(F.concat("track_id", F.lit("/device/"), prefix(stem), F.lit(".wav")).alias("name"), "content"))
-        if result.pieces is not None:
-            cut = T.cut_pieces(own, result.pieces.where(F.col("stem") == stem).drop("stem"))
-            out.append(cut.select(F.concat_ws("/", "track_id", F.concat_ws("_", prefix(stem), "name")).alias("name"), "content"))
+            prefix = F.concat_ws("_", title_prefix(F.col("track_id")), F.lit(stem))
+            name = F.when(F.col("name") == "", F.concat(prefix, F.lit(".wav"))).otherwise(_named(prefix))
+            out.append(T.device_files(own, pieces).select(F.concat_ws("/", "track_id", F.lit("device"), name).alias("name"), "content"))
     return functools.reduce(DataFrame.union, out)
 
 

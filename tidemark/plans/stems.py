@@ -12,10 +12,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import peak, residual
+from tidemark.functions.arrays import residual
 from tidemark.operators import signal as S
 from tidemark.operators.similarity import group_in_order
 from tidemark.sources.wav import BLOCK, encode_wav, joined, resample
@@ -82,7 +82,9 @@ def separate(blocks: DataFrame, load: Callable[[], Separator], chunk: int = 352_
         base, audio = int(rows["start_sample"].min()), joined(rows)
         begin = number * step - border
         place = mirrored(np.arange(begin, begin + chunk), n) - base
-        heard = _loaded(load)(audio[:, np.clip(place, 0, audio.shape[1] - 1)])
+        heard = np.asarray(_loaded(load)(audio[:, np.clip(place, 0, audio.shape[1] - 1)]))
+        if heard.shape != (2, chunk):
+            raise ValueError(f"the separator gave an array of {heard.shape} for one of {(2, chunk)}")
         weight = np.ones(chunk)
         if begin > -border:
             weight[:ramp] = np.linspace(0, 1, ramp)
@@ -211,42 +213,59 @@ def loops(blocks: DataFrame, grid: DataFrame, bars: int = 4) -> DataFrame:
     return blocks.groupBy("track_id").cogroup(grid.groupBy("track_id")).applyInPandas(run, PIECES)
 
 
+def _encoded_pieces(key: tuple, audio: np.ndarray, rate: int, parts: pd.DataFrame, bits: int) -> list[tuple]:
+    """(track, folder/name.wav, content) of every piece, with its ramps; a piece from the first sample has none at its start."""
+    out = []
+    for p in parts.itertuples():
+        x = audio[:, p.start : p.end].astype(np.float64)
+        n = x.shape[1]
+        up = 0 if p.start == 0 else min(n, int(p.fade_in * rate))
+        down = min(n - up, int(p.fade_out * rate))
+        x[:, :up] *= np.arange(up) / max(up, 1)
+        x[:, n - down :] *= (np.arange(down) / max(down, 1))[::-1]
+        out.append((key[0], f"{p.folder}/{p.name}.wav", encode_wav(x, rate, bits, f"{key[0]}/{p.name}")))
+    return out
+
+
+FILES = "track_id string, name string, content binary"
+
+
 def cut_pieces(blocks: DataFrame, pieces: DataFrame, bits: int = 32) -> DataFrame:
     """(track_id, name, content): a WAV file for every piece, with its ramps, named folder/name.wav."""
 
     def run(key: tuple, own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own):
-            audio, rate = joined(own), int(own["rate"].iloc[0])
-            for p in parts.itertuples():
-                x = audio[:, p.start : p.end].astype(np.float64)
-                n = x.shape[1]
-                up = 0 if p.start == 0 else min(n, int(p.fade_in * rate))
-                down = min(n - up, int(p.fade_out * rate))
-                x[:, :up] *= np.arange(up) / max(up, 1)
-                x[:, n - down :] *= (np.arange(down) / max(down, 1))[::-1]
-                out.append((key[0], f"{p.folder}/{p.name}.wav", encode_wav(x, rate, bits, f"{key[0]}/{p.name}")))
+        out = _encoded_pieces(key, joined(own), int(own["rate"].iloc[0]), parts, bits) if len(own) else []
         return pd.DataFrame(out, columns=["track_id", "name", "content"])
 
-    return blocks.groupBy("track_id").cogroup(pieces.groupBy("track_id")).applyInPandas(run, "track_id string, name string, content binary")
+    return blocks.groupBy("track_id").cogroup(pieces.groupBy("track_id")).applyInPandas(run, FILES)
 
 
-def scaled(pieces: DataFrame, ratio: float, frames: str) -> DataFrame:
+def scaled(pieces: DataFrame, ratio: float | Column, frames: str) -> DataFrame:
     """Pieces of the same audio at another rate, no longer than its ``frames``."""
     edge = lambda c: F.least(F.col(frames), F.round(F.col(c) * ratio).cast("long"))
     return pieces.withColumn("start", edge("start")).withColumn("end", edge("end"))
 
 
-def device_files(blocks: DataFrame, rate: int = 48_000, same: float = 1e-4) -> DataFrame:
-    """(track_id, content): 16-bit files at a sampler's rate, one channel where both are as good as equal."""
-    apart = blocks.groupBy("track_id").agg(F.max(peak(residual(F.col("left"), F.col("right")))).alias("apart"))
+def device_files(blocks: DataFrame, pieces: DataFrame | None = None, rate: int = 48_000, same: float = 1e-4) -> DataFrame:
+    """(track_id, name, content): 16-bit files at a sampler's rate, of each track (name is empty) and of its pieces.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        audio = resample(joined(rows), float(rows["rate"].iloc[0]), rate)
-        audio = audio[:1] if rows["apart"].iloc[0] < same else audio
-        return pd.DataFrame({"track_id": [key[0]], "content": [encode_wav(audio, rate, 16, str(key[0]))]})
+    Both channels become their mean where they are as good as equal. A track is resampled once, and its pieces are cut from
+    the copy at the same times, so they have as many channels as it has.
+    """
+    sizes = blocks.groupBy("track_id").agg(F.max(F.col("start_sample") + F.size("left")).alias("_n"), F.first("rate").alias("_rate"))
+    ratio = F.lit(rate) / F.col("_rate")
+    pieces = blocks.sparkSession.createDataFrame([], PIECES) if pieces is None else pieces
+    placed = pieces.join(sizes, "track_id").withColumn("_frames", F.floor(F.col("_n") * ratio + 0.5))
+    placed = scaled(placed, ratio, "_frames").drop("_n", "_rate", "_frames")
+
+    def run(key: tuple, own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        audio = resample(joined(own), float(own["rate"].iloc[0]), rate)
+        if np.abs(audio[0] - audio[1]).max(initial=0) < same:
+            audio = audio.mean(axis=0, keepdims=True)
+        out = [(key[0], "", encode_wav(audio, rate, 16, str(key[0]))), *_encoded_pieces(key, audio, rate, parts, 16)]
+        return pd.DataFrame(out, columns=["track_id", "name", "content"])
 
-    return blocks.join(apart, "track_id").groupBy("track_id").applyInPandas(run, "track_id string, content binary")
+    return blocks.groupBy("track_id").cogroup(placed.groupBy("track_id")).applyInPandas(run, FILES)
 
 
 def score_stems(reference: DataFrame, estimate: DataFrame) -> DataFrame:
