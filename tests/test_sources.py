@@ -67,6 +67,31 @@ def test_a_sampler_gets_pieces_at_the_times_of_its_copy(spark, tmp_path):
     assert stems.device_files(blocks).count() == 2
 
 
+@pytest.mark.parametrize("segment", [1000, 1001])
+def test_a_core_gives_all_its_sources(spark, tmp_path, segment):
+    ramp = np.linspace(0.5, 1, segment, dtype=np.float32)  # hears places apart, so a segment in the wrong place shows
+    core = stems.Core(lambda: lambda a: np.stack([a * ramp, a - a * ramp, a * 0 + 1]), ("drums", "other", "vocals"), segment)
+    rng = np.random.default_rng(6)
+    songs = {name: rng.uniform(-1, 1, (2, n)).astype(np.float32) for name, n in (("long", 3333), ("exact", 2 * segment), ("short", 77), ("one", 1))}
+    for name, x in songs.items():
+        (tmp_path / f"{name}.wav").write_bytes(wav.encode_wav(x, 44_100))
+    heard = stems.separate_all(wav.read_wav(spark, f"file://{tmp_path}", block=256), core, 256).toPandas()
+    for name, x in songs.items():
+        n = x.shape[1]
+        sums, total = np.zeros((2, n)), np.zeros(n)
+        for offset in range(0, n, segment * 3 // 4):
+            count = min(segment, n - offset)
+            trim = (segment - count) // 2
+            for k in range(count):
+                w = (k + 1 if k < segment // 2 else segment - k) / (segment // 2)
+                sums[:, offset + k] += w * x[:, offset + k] * ramp[trim + k]
+                total[offset + k] += w
+        own = {stem: wav.joined(rows) for stem, rows in heard[heard["track_id"] == name].groupby("stem")}
+        assert np.abs(own["drums"] - sums / total).max() < 1e-5
+        assert np.abs(own["drums"] + own["other"] - x).max() < 1e-5
+        assert own["vocals"].shape == x.shape and np.abs(own["vocals"] - 1).max() < 1e-5
+
+
 def test_pieces_are_cut_with_ramps(spark):
     one = [1.0] * 6000
     blocks = spark.createDataFrame([("s", 44_100, 0, 0, one, one)], wav.AUDIO_BLOCK)
@@ -134,6 +159,10 @@ def test_songs_from_mix_to_files(spark, tmp_path):
     options = stems.Options(kit=frozenset({"drums"}), loops=frozenset({"drums"}), bars=2)
     made = songs.split(mix, lambda: lambda a: a * 0, lambda: lambda a: a * 0, {"drums": lambda: lambda a: a}, options)
     assert abs(made.grid.first()["bpm"] - 120) < 0.5
+    core = stems.Core(lambda: lambda a: np.stack([a, a * 0, a]), ("drums", "bass", "vocals"), 40_000)
+    again = songs.split(mix, lambda: lambda a: a * 0, lambda: lambda a: a * 0, core, options)
+    sizes = {r["stem"]: r["n"] for r in again.stems.groupBy("stem").agg(F.sum(F.size("left")).alias("n")).collect()}
+    assert sizes == dict.fromkeys(("vocals", "horns", "drums", "bass"), len(x))
     songs.write(made, f"file://{tmp_path}/out", device=True)
     names = {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.wav")}
     assert {"My Song/drums.wav", "My Song/vocals.wav", "My Song/horns.wav", "My Song/device/My_Song_drums.wav"} <= names

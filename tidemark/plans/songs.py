@@ -28,7 +28,7 @@ def split(
     mix: DataFrame,
     vocals: Callable[[], T.Separator],
     horns: Callable[[], T.Separator],
-    band: Mapping[str, Callable[[], T.Separator]],
+    band: Mapping[str, Callable[[], T.Separator]] | T.Core,
     options: T.Options = T.Options(),
     transcription: Transcription | None = None,
     chunk: int = 352_800,
@@ -36,6 +36,7 @@ def split(
 ) -> Split:
     """Peel vocals off the mix and horns off what is left, hear the other stems in the rest, and cut what the options ask for.
 
+    A band is a separator for each stem, or one core for all of them, whose vocals and horns are not used.
     Bar lines come from the transcription, moved to drum attacks, unless a tempo is given; without either from the drums.
     Only what the options need is part of the plan. Stems are read several times, so callers may persist them.
     """
@@ -44,8 +45,16 @@ def split(
     instrumental = T.subtract(mix, sung)
     blown = hear(instrumental, horns)
     rest = T.subtract(instrumental, blown)
-    parts = {"vocals": sung, "horns": blown} | {name: hear(rest, load) for name, load in band.items()}
-    named = functools.reduce(DataFrame.unionByName, [df.withColumn("stem", F.lit(name)) for name, df in parts.items()])
+    parts = {"vocals": sung, "horns": blown}
+    if isinstance(band, T.Core):
+        others = [name for name in band.sources if name not in parts]
+        heard = T.separate_all(rest, band, block).where(F.col("stem").isin(others))
+        tables = [df.withColumn("stem", F.lit(name)) for name, df in parts.items()] + [heard]
+        parts |= {name: heard.where(F.col("stem") == name).drop("stem") for name in others}
+    else:
+        parts |= {name: hear(rest, load) for name, load in band.items()}
+        tables = [df.withColumn("stem", F.lit(name)) for name, df in parts.items()]
+    named = functools.reduce(DataFrame.unionByName, tables)
     grid, pieces = None, []
     if options.loops:
         if transcription is not None and options.bpm is None:

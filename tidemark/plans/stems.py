@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -61,6 +61,45 @@ def mirrored(at: np.ndarray, n: int) -> np.ndarray:
     return np.where(m < n, m, period - m)
 
 
+PARTS = "track_id string, block_no long, at long, left array<double>, right array<double>, weight array<double>"
+
+
+def _sizes(blocks: DataFrame) -> DataFrame:
+    """(track_id, n, _rate): samples and rate of each track."""
+    return blocks.groupBy("track_id").agg(F.max(F.col("start_sample") + F.size("left")).alias("n"), F.first("rate").alias("_rate"))
+
+
+def _dealt(audio: np.ndarray, weight: np.ndarray, begin: int, n: int, block: int) -> Iterator[tuple]:
+    """What audio that begins at a place of a track of ``n`` samples says of each block: (block_no, place in it, left, right, weight)."""
+    final = min(n, begin + len(weight))
+    for k in range(max(0, begin) // block, (final - 1) // block + 1):
+        a, b = max(begin, k * block, 0), min(final, (k + 1) * block)
+        if a < b:
+            w = weight[a - begin : b - begin]
+            left, right = (audio[:, a - begin : b - begin] * w).astype(np.float64)
+            yield k, a - k * block, left, right, w
+
+
+def _met(parts: DataFrame, sizes: DataFrame, by: list[str], block: int) -> DataFrame:
+    """Audio blocks as weighted means of the parts of each; ``by`` begins with track_id and block_no."""
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        size = int((rows["at"] + rows["weight"].map(len)).max())
+        total, sums = np.zeros(size), np.zeros((2, size))
+        for r in rows.sort_values("at").itertuples():
+            where = slice(r.at, r.at + len(r.weight))
+            total[where] += r.weight
+            sums[0, where] += r.left
+            sums[1, where] += r.right
+        left, right = (sums / np.maximum(total, 1e-8)).astype(np.float32)
+        values = {"track_id": [key[0]], "rate": [int(rows["_rate"].iloc[0])], "block_no": [key[1]], "start_sample": [key[1] * block], "left": [left], "right": [right]}
+        return pd.DataFrame(values | {c: [v] for c, v in zip(by[2:], key[2:], strict=True)})
+
+    rated = parts.join(sizes.select("track_id", "_rate"), "track_id")
+    more = "".join(f", {c} string" for c in by[2:])
+    return rated.groupBy(*by).applyInPandas(add, "track_id string, rate int, block_no long, start_sample long, left array<float>, right array<float>" + more)
+
+
 def separate(blocks: DataFrame, load: Callable[[], Separator], chunk: int = 352_800, block: int = BLOCK) -> DataFrame:
     """The stem that a separator hears in each track, in the same blocks.
 
@@ -70,7 +109,7 @@ def separate(blocks: DataFrame, load: Callable[[], Separator], chunk: int = 352_
     """
     step, ramp = chunk // 2, chunk // 10
     border = chunk - step
-    sizes = blocks.groupBy("track_id").agg(F.max(F.col("start_sample") + F.size("left")).alias("n"), F.first("rate").alias("_rate"))
+    sizes = _sizes(blocks)
     total = F.col("n") + 2 * border
     chunks = sizes.select("track_id", "n", F.explode(F.sequence(F.lit(0), F.ceil(total / step) - 1)).alias("chunk_no"))
     first = F.col("chunk_no") * step - border
@@ -90,29 +129,54 @@ def separate(blocks: DataFrame, load: Callable[[], Separator], chunk: int = 352_
             weight[:ramp] = np.linspace(0, 1, ramp)
         if begin + chunk < n + border:
             weight[chunk - ramp :] = np.linspace(1, 0, ramp)
-        out = []
-        for k in range(max(0, begin) // block, (min(n, begin + chunk) - 1) // block + 1):
-            a, b = max(begin, k * block, 0), min(begin + chunk, (k + 1) * block, n)
-            if a < b:
-                part = slice(a - begin, b - begin)
-                out.append((key[0], k, a - k * block, (heard[0, part] * weight[part]).astype(np.float64), (heard[1, part] * weight[part]).astype(np.float64), weight[part]))
+        out = [(key[0], *part) for part in _dealt(heard, weight, begin, n, block)]
         return pd.DataFrame(out, columns=["track_id", "block_no", "at", "left", "right", "weight"])
 
-    parts = need.join(blocks, ["track_id", "block_no"]).groupBy("track_id", "chunk_no").applyInPandas(run, "track_id string, block_no long, at long, left array<double>, right array<double>, weight array<double>")
+    parts = need.join(blocks, ["track_id", "block_no"]).groupBy("track_id", "chunk_no").applyInPandas(run, PARTS)
+    return _met(parts, sizes, ["track_id", "block_no"], block)
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        size = int((rows["at"] + rows["weight"].map(len)).max())
-        total, sums = np.zeros(size), np.zeros((2, size))
-        for r in rows.sort_values("at").itertuples():
-            where = slice(r.at, r.at + len(r.weight))
-            total[where] += r.weight
-            sums[0, where] += r.left
-            sums[1, where] += r.right
-        left, right = (sums / np.maximum(total, 1e-8)).astype(np.float32)
-        return pd.DataFrame({"track_id": [key[0]], "rate": [int(rows["_rate"].iloc[0])], "block_no": [key[1]], "start_sample": [key[1] * block], "left": [left], "right": [right]})
 
-    rated = parts.join(sizes.select("track_id", "_rate"), "track_id")
-    return rated.groupBy("track_id", "block_no").applyInPandas(add, "track_id string, rate int, block_no long, start_sample long, left array<float>, right array<float>")
+@dataclass(frozen=True)
+class Core:
+    """One model that hears several sources at once: ``load`` gives a callable from (2, segment) to (sources, 2, segment)."""
+
+    load: Callable[[], Separator]
+    sources: tuple[str, ...]
+    segment: int = 343_980
+
+
+def separate_all(blocks: DataFrame, core: Core, block: int = BLOCK) -> DataFrame:
+    """Every source of a core in each track, in the same blocks, with a ``stem``.
+
+    Segments begin every three quarters of their length and weigh most in their middle. One that the track's end cuts short is
+    put in the middle of the core's input, with as much of the track before it as there is room for; beyond the track is
+    silence. Each (track, segment) is a group of its own, and what segments say of a block meets in a second grouping.
+    """
+    segment, sources = core.segment, core.sources
+    sizes = _sizes(blocks)
+    starts = sizes.where("n > 0").select("track_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(segment * 3 // 4).cast("long"))).alias("offset"))
+    first = F.col("offset") - F.floor((segment - F.least(F.lit(segment), F.col("n") - F.col("offset"))) / 2)
+    reach = F.sequence(F.floor(F.greatest(first, F.lit(0)) / block), F.floor((F.least("n", first + segment) - 1) / block))
+    need = starts.select("track_id", "n", "offset", F.explode(reach).alias("block_no"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n, offset = int(rows["n"].iloc[0]), int(key[1])
+        base, audio = int(rows["start_sample"].min()), joined(rows)
+        count = min(segment, n - offset)
+        trim = (segment - count) // 2
+        a, b = max(0, offset - trim), min(n, offset - trim + segment)
+        given = np.zeros((2, segment), dtype=np.float32)
+        given[:, a - offset + trim : b - offset + trim] = audio[:, a - base : b - base]
+        heard = np.asarray(_loaded(core.load)(given))
+        if heard.shape != (len(sources), 2, segment):
+            raise ValueError(f"the core gave an array of {heard.shape}, not of {(len(sources), 2, segment)}")
+        at = np.arange(count)
+        weight = np.minimum(at + 1, segment - at) / (segment // 2)
+        parts = [(key[0], *part, name) for name, own in zip(sources, heard, strict=True) for part in _dealt(own[:, trim : trim + count], weight, offset, n, block)]
+        return pd.DataFrame(parts, columns=["track_id", "block_no", "at", "left", "right", "weight", "stem"])
+
+    parts = need.join(blocks, ["track_id", "block_no"]).groupBy("track_id", "offset").applyInPandas(run, PARTS + ", stem string")
+    return _met(parts, sizes, ["track_id", "block_no", "stem"], block)
 
 
 def subtract(whole: DataFrame, part: DataFrame) -> DataFrame:
