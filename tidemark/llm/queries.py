@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hnsw, langid, licenses, linededup, mixing, neardup, packing, quality, substrings, vectordup
+from tidemark.llm import dialogue, hnsw, langid, licenses, linededup, lloyd, mixing, neardup, onlinepack, packing, quality, substrings, vectordup
+from tidemark.llm.oracles import OP11_SQL, OP13_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +133,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows as they come to grief by crc32 of ``conv_id:turn`` modulo 20: 0 drops, 1 empties, 2 loses ends of sentences, 3 says twice, 4 becomes a user's."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat_ws(":", space("conv_id"), space("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), fate.alias("fate")).where("fate <> 0")
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("fate") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    role = F.when(F.col("fate") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogue.with_all(dialogue.repair_report(dialogue.repair(damaged(told))), told)
+
+
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = onlinepack.online_pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster_report(*lloyd.delta_lloyd(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -150,9 +176,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_linededup": op9_linededup,
         "op10_packing": op10_packing,
+        "op11_dialogue": op11_dialogue,
+        "op12_windows": op12_windows,
+        "op13_centroids": op13_centroids,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op9_linededup": OP9_SQL}
+    return {"op3_mixing": OP3_SQL, "op9_linededup": OP9_SQL, "op11_dialogue": OP11_SQL, "op13_centroids": OP13_SQL}
