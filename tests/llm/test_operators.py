@@ -553,6 +553,19 @@ def test_scopes_delete_what_is_not_kept(spark):
     assert outer.kept == set()
 
 
+def test_scopes_of_other_threads_are_left_alone(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(1) as other:
+        with store.scope(spark):
+            theirs = other.submit(lambda: store.cut(spark.range(5).toDF("doc_id"))).result()
+            ours = store.cut(spark.range(3).toDF("doc_id"))
+        assert theirs.count() == 5
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+            ours.count()
+        store.discard(theirs)
+
+
 def test_long_training_texts_are_cut_to_a_stretch(spark, monkeypatch):
     monkeypatch.setattr(quality, "SAMPLE_LINES", 3)
     texts = ["\n".join(prose(6, 10 * s + k) for k in range(40)) if s % 2 else "\n".join("### $$ 1 2 3" for _ in range(40)) for s in range(60)]

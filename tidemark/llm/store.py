@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tidemark-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].add(path.rsplit("/", 1)[1])
+    if open_ := _scopes.get():
+        open_[-1].add(path.rsplit("/", 1)[1])
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
@@ -42,8 +43,8 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-#: Names of the tables that :func:`cut` has made inside each open :class:`Scope`.
-_scopes: list[set[str]] = []
+#: Names of the tables that :func:`cut` has made inside each :class:`Scope` that is open here; every thread has its own.
+_scopes: ContextVar[tuple[set[str], ...]] = ContextVar("scopes", default=())
 
 
 def _names(df: DataFrame) -> set[str]:
@@ -76,18 +77,18 @@ class Scope:
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Scope]:
-    """Tables that :func:`cut` makes inside are deleted at the end, but for those kept, which belong to the scope around, if any.
+    """Tables that :func:`cut` makes inside, in the same thread, are deleted at the end, but for those kept, which belong to the scope around, if any.
 
     For callers: write an operator's result inside a scope, and its intermediate tables go once it is written.
     """
-    own = Scope()
-    _scopes.append(set())
+    own, made, around = Scope(), set[str](), _scopes.get()
+    _scopes.set((*around, made))
     try:
         yield own
     finally:
-        made = _scopes.pop()
-        if _scopes:
-            _scopes[-1].update(made & own.kept)
+        _scopes.set(around)
+        if around:
+            around[-1].update(made & own.kept)
         _delete(spark, made - own.kept)
 
 
