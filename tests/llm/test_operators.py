@@ -4,7 +4,7 @@ import bisect
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -476,7 +476,7 @@ def test_marginals_equal_enumeration():
         assert np.allclose(got[a:b, 1], mass / total)
 
 
-def test_language(spark):
+def test_language(spark, monkeypatch):
     rng = np.random.default_rng(6)
     alphabets = {"xx": "abcdefgh", "yy": "hijklmnopé", "zz": "äöüqrstuv"}
     rows = [(i, " ".join("".join(rng.choice(list(alphabets[l]), 5)) for _ in range(25)), l) for i, l in enumerate(["xx", "yy", "zz"] * 80)]
@@ -488,6 +488,9 @@ def test_language(spark):
     assert np.mean([got.lang_pred[i] == rows[i][2] for i in held]) >= 0.95
     assert got.lang_pred[[900, 901, 902]].tolist() == ["und"] * 3 and got.lang_pred[903] == got.lang_pred[0]
     assert got.score.between(0, 1).all()
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train_language(df)
     nothing = langid.train_language(df.limit(0))
     assert set(langid.predict_language(df, nothing).toPandas().lang_pred) == {"und"}
 
@@ -641,3 +644,65 @@ def test_whole_licences_and_wrapped_headers_keep_their_version(spark):
     got = {r["id"]: (r["own_license"], r["line"]) for r in licenses.detect_licenses(df).collect()}
     assert [got[i][0] for i in range(len(cases))] == [name for name, _ in cases]
     assert got[5][1] == 2 and got[len(cases) - 2][1] == 0
+
+
+def every_run(matcher, templates, words, least):
+    """(cosine, size, begin, name) of the best of all runs of every template's length: cosines of counted words, one run after the other."""
+    found = (0.0, 0, 0, None)
+    for name in sorted(templates):
+        for text in templates[name]:
+            own = licenses.terms(text)
+            vector = matcher._unit(Counter(own))
+            for begin in range(len(words)):
+                run = matcher._unit(Counter(words[begin : begin + len(own)]))
+                score = round(min(sum(x * vector.get(t, 0.0) for t, x in run.items()), 1.0), 9)
+                if score >= least and (score, len(own), -begin) > found[:3]:
+                    found = (score, len(own), -begin, name)
+    return found
+
+
+def test_every_run_of_a_text_is_compared(monkeypatch):
+    monkeypatch.setattr(licenses, "PLACES", 64)
+    rng = np.random.default_rng(12)
+    blocks = {name: licenses.BLOCKS[name] for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "Apache-2.0")}
+    own = licenses.vocabulary(licenses.TEMPLATES) | licenses.vocabulary(blocks)
+    df = {t: int(rng.integers(0, 500)) for t in own}
+    matcher = licenses.Matcher(blocks | licenses.TEMPLATES, 1000, df)
+    words = licenses.Words(own)
+    index = licenses.Templates(matcher, blocks, words)
+    mit, some = licenses.terms(licenses._MIT), 0
+    cases = [mit[45:], ["we", "grant", "you"] + mit[8:], mit[:-20], mit[:60] + ["x", "y"] + mit[60:], prose(200, 1).split(), mit[100:] + mit[:100], [], mit[:1]]
+    for name in blocks:
+        for text in blocks[name]:
+            body = licenses.terms(text)
+            for _ in range(4):
+                noisy = [w for w in body if rng.random() > 0.04]
+                noisy = [w if rng.random() > 0.04 else str(rng.choice(VOCAB)) for w in noisy]
+                cases.append([*prose(int(rng.integers(0, 90)), int(rng.integers(99))).split(), *noisy, *prose(int(rng.integers(0, 90)), 7).split()])
+    for case in cases:
+        score, name, begin = index.best(words.of(" ".join(case)), licenses.BLOCK_LEAST)
+        want = every_run(matcher, blocks, case, licenses.BLOCK_LEAST)
+        assert (name, begin) == (want[3], -want[2]) and abs(score - want[0]) < 1e-8, " ".join(case)[:80]
+        some += name is not None
+    assert some > 15
+
+
+def test_altered_beginnings_and_null_sources(spark):
+    mit = licenses._MIT
+    words = mit.split()
+    texts = [" ".join(words[45:]), mit.replace("Permission is hereby granted, free of charge, to any person obtaining", "We hereby give leave, without fee, to everyone who gets"), "\n".join(words), prose(170, 3), None, "", "x" * 3_000_000 + " \n" * 40_000 + mit]
+    df = spark.createDataFrame([(i, t, None if i % 2 else "p") for i, t in enumerate(texts)], "id long, text string, path string")
+    got = {r["id"]: (r["own_license"], r["line"]) for r in licenses.detect_licenses(df).collect()}
+    assert [got[i][0] for i in range(len(texts))] == ["MIT", "MIT", "MIT", None, None, None, "MIT"] and got[6][1] == 40_000
+
+
+def test_words_are_numbered_whole_across_pieces(monkeypatch):
+    words = licenses.Words({"the", "of"})
+    text = "The cat OF the-house  v2.0 of\u3000x " * 30
+    whole = words.of(text)
+    for piece in (1, 3, 7, 50):
+        monkeypatch.setattr(licenses, "PIECE", piece)
+        assert (words.of(text) == whole).all()
+    assert whole[:4].tolist() == [1, 2, 0, 3]
+    monkeypatch.setattr(licenses, "MOST_WORDS", 3)
+    assert words.of("of new the").tolist() == [0, 2, 1] and len(words) == 3

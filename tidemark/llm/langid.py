@@ -29,6 +29,8 @@ from tidemark.llm.store import HASHES, hash_order
 BUCKETS = 1 << 14
 #: The most training documents of a language: those least by hash of their id.
 SAMPLE_PER_LANG = 500
+#: Languages that a model may have; more raise an error. So the sample and the weights have a bound, and what is broadcast here too.
+MOST_LANGUAGES = 256
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 EPOCHS = 3
 #: Letters counted at once, so that the memory of a task does not follow the longest text.
@@ -168,6 +170,8 @@ def train_language(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, id_c
     ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_order", hash_order("_id"))
     # what lies far beyond a language's first rows is left out before they are ranked
     counts = ids.groupBy("_lang").agg(F.count("*").alias("_n"))
+    if counts.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; the model has weights for each")
     near = ids.join(F.broadcast(counts), "_lang").where(F.col("_order") < F.least(F.lit(1.0), (2 * sample_per_lang + 1000) / F.col("_n")) * HASHES)
     turn = Window.partitionBy("_lang").orderBy("_order", "_id")
     ids = near.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= sample_per_lang).select("_id", "_lang").distinct()

@@ -3,15 +3,19 @@
 Every line of every text is a possible notice. Terms are weighted by term
 frequency and by inverse document frequency over all lines of the corpus; only the templates' terms have their frequency
 counted, so what is counted is bounded by the templates, and any other word weighs as one that occurs nowhere else. A file's
-own licence is that of the licence text, title or header that runs of its words equal best, over as many lines as they take, at
-``BLOCK_LEAST`` or more; or else its best line's or best notice's inside a longer line, at ``LEAST`` or more. A run begins where
-four words in a row are those of the template's beginning (its first ``HEAD`` words), so wrapping and comment signs play no part. A licence file speaks for its directory; a file without a licence of its own
+own licence is that of the licence text, title or header that a run of its words equals best, over as many lines as they take, at
+``BLOCK_LEAST`` or more; or else its best line's or best notice's inside a longer line, at ``LEAST`` or more. Every run of a template's
+length is held against it, wherever it begins and whatever it begins with; runs end with the text. Only runs that a bound shows to be
+below are left out: a text must have terms with ``BLOCK_LEAST`` squared of the template's own square, and a run's length is at least that of
+its words if all differed. A notice inside a longer line must have four words in a row with its template. Wrapping and comment signs
+play no part. A licence file speaks for its directory; a file without a licence of its own
 takes that of the nearest ancestor directory that has one, found by a join of directories with their ancestors' paths.
 
 Defined cases: texts that are null or empty have no licence of their own; rows with a null path neither inherit nor pass on; between
 equal scores the earlier line and then the earlier template name wins; of several licence files in one directory the
 best score and then the smaller path wins; an empty table gives no rows; repeated rows get equal results; texts of any length are
-compared whole, in slices; columns other than id, text and path are not read, whatever their names.
+compared whole: a task holds a text, the numbers of its words (four bytes each), and slices of both; columns other than id, text and path
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +36,10 @@ from tidemark.llm.store import cut
 
 LEAST = 0.6
 BLOCK_LEAST = 0.9
-#: Words at the beginning of a template in which runs of four words are looked up.
-HEAD = 40
+#: Characters of a text that are split into words at once, and places of runs that are compared at once.
+PIECE, PLACES = 1 << 20, 1 << 15
+#: Words that a Python worker has numbers for before it starts anew.
+MOST_WORDS = 1 << 19
 
 #: Notices as their licences' publishers recommend them, several for one licence where usage differs.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -75,6 +82,7 @@ def license_blocks() -> dict[str, tuple[str, ...]]:
 
 
 _TERM = re.compile(r"[a-z0-9]+(?:[-.][a-z0-9]+)*")
+_SPACE = re.compile(r"\s")
 
 
 def terms(text: str) -> list[str]:
@@ -117,38 +125,136 @@ class Matcher:
         return min(score, 1.0), name
 
 
-class Runs:
-    """Templates looked up in the words of a whole text."""
-
-    def __init__(self, matcher: Matcher, templates: Mapping[str, tuple[str, ...]]):
-        self.matcher = matcher
-        self.templates: list[tuple[str, int, dict[str, float]]] = []
-        #: four words as they stand in a text, and where they stand in which template
-        self.starts: dict[str, list[tuple[int, int]]] = {}
-        for name in sorted(templates):
-            for text in templates[name]:
-                own = terms(text)
-                for at in range(max(min(len(own), HEAD) - 3, 1)):
-                    self.starts.setdefault(f" {' '.join(own[at : at + 4])} ", []).append((len(self.templates), at))
-                self.templates.append((name, len(own), matcher._unit(Counter(own))))
-        self.firsts = {key.split()[0] for key in self.starts}
-
-    def best(self, words: list[str]) -> tuple[float, str | None, int]:
-        """Highest cosine of a run of words to a template of its length, the template's name and the run's first word; of equals the longer, then the earlier."""
-        tried: set[tuple[int, int]] = set()
-        found: tuple[float, int, int, str | None] = (0.0, 0, 0, None)
-        for p, word in enumerate(words):
-            if word in self.firsts:
-                for k, at in self.starts.get(f" {' '.join(words[p : p + 4])} ", ()):
-                    begin = max(p - at, 0)
-                    if (k, begin) not in tried:
-                        tried.add((k, begin))
-                        name, size, vector = self.templates[k]
-                        own = self.matcher._unit(Counter(words[begin : begin + size]))
-                        score = round(min(sum(x * vector.get(t, 0.0) for t, x in own.items()), 1.0), 12)
-                        if (score, size, -begin) > found[:3]:
-                            found = (score, size, -begin, name)
-        return found[0], found[3], -found[2]
+class Words(dict):
+    """Numbers of words: those of templates first, in order, then others as they come."""
+
+    def __init__(self, own: set[str]):
+        super().__init__((t, k) for k, t in enumerate(sorted(own)))
+        self.own = len(self)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+    def of(self, text: str) -> np.ndarray:
+        """The numbers of a text's words, piece by piece; pieces end at white space, where no word goes on."""
+        if len(self) > MOST_WORDS:
+            for word in list(self)[self.own :]:
+                del self[word]
+        parts, at = [], 0
+        while at < len(text):
+            end = _SPACE.search(text, min(at + PIECE, len(text)))
+            piece = text[at : end.start() if end else len(text)]
+            found = _TERM.findall(piece.lower())
+            parts.append(np.fromiter(map(self.__getitem__, found), dtype=np.int32, count=len(found)))
+            at += len(piece) + 1
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+
+
+def counts_within(ids: np.ndarray, of: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How often each id of ``of`` stands in ``ids[start:end]``, for arrays of all three."""
+    n = len(ids) + 1
+    key = np.sort(ids.astype(np.int64) * n + np.arange(len(ids)))
+    return np.searchsorted(key, of.astype(np.int64) * n + end) - np.searchsorted(key, of.astype(np.int64) * n + start)
+
+
+class Templates:
+    """Templates held against the runs of a text that have as many words."""
+
+    def __init__(self, matcher: Matcher, templates: Mapping[str, tuple[str, ...]], words: Words):
+        self.matcher, self.words = matcher, words
+        own = [(name, terms(text)) for name in sorted(templates) for text in templates[name]]
+        self.names, self.sizes = [name for name, _ in own], np.array([len(t) for _, t in own], dtype=np.int64)
+        self.ids = [np.array([words[t] for t in some], dtype=np.int32) for _, some in own]
+        #: weight of each template's word, 0 in the last row for all others; idf of each word
+        self.vector = np.zeros((words.own + 1, len(own)))
+        for k, (_, some) in enumerate(own):
+            for t, x in matcher._unit(Counter(some)).items():
+                self.vector[words[t], k] = x
+        self.idf = np.full(words.own + 1, matcher.rare)
+        for t, x in matcher.idf.items():
+            self.idf[words[t]] = x
+        self.share = self.vector**2
+
+    def score(self, k: int, ids: np.ndarray) -> float:
+        """Cosine of a run to a template."""
+        found, n = np.unique(ids, return_counts=True)
+        own = np.minimum(found, self.words.own)
+        x = n * self.idf[own]
+        return round(min(float(x @ self.vector[own, k]) / math.sqrt(float(x @ x) or 1.0), 1.0), 12)
+
+    def squares(self, ids: np.ndarray, start: int, stop: int, size: int) -> np.ndarray:
+        """Squared lengths of the runs of ``size`` words from each of the places ``start`` to ``stop``."""
+        own = np.minimum(ids, self.words.own)
+        begin = np.arange(start, stop)
+        end = np.minimum(begin + size, len(ids))
+        # from one run to the next, its first word goes and the word behind it comes
+        goes = -self.idf[own[begin]] ** 2 * (2 * counts_within(ids, ids[begin], begin, end) - 1)
+        more = np.flatnonzero(end < len(ids))
+        comes = np.zeros(len(begin))
+        comes[more] = self.idf[own[end[more]]] ** 2 * (2 * counts_within(ids, ids[end[more]], begin[more] + 1, end[more]) + 1)
+        _, n = np.unique(ids[start : end[0]], return_counts=True)
+        first = float(((n * self.idf[np.minimum(np.unique(ids[start : end[0]]), self.words.own)]) ** 2).sum())
+        return first + np.concatenate([[0.0], np.cumsum(goes + comes)[:-1]])
+
+    def best(self, ids: np.ndarray, least: float) -> tuple[float, str | None, int]:
+        """Highest cosine of a run to a template, its name and the run's first word; of equals the longer, then the earlier. Below ``least``: none."""
+        found: tuple[float, int, int, int] = (0.0, 0, 0, -1)
+        if not len(ids):
+            return 0.0, None, 0
+        seen = np.zeros(self.words.own + 1, dtype=bool)
+        seen[np.minimum(ids, self.words.own)] = True
+        seen[-1] = False
+        for k in np.flatnonzero(self.share[seen].sum(axis=0) >= least * least - 1e-9).tolist():
+            size = int(self.sizes[k])
+            for a in range(0, len(ids), PLACES):
+                part = ids[a : a + PLACES + size]
+                own, begin = np.minimum(part, self.words.own), np.arange(min(PLACES, len(part), len(ids) - a))
+                dots = np.concatenate([[0.0], np.cumsum(self.idf[own] * self.vector[own, k])])
+                alone = np.concatenate([[0.0], np.cumsum(self.idf[own] ** 2)])
+                end = np.minimum(begin + size, len(part))
+                dot = dots[end] - dots[begin]
+                maybe = np.flatnonzero(dot * dot >= least * least * (alone[end] - alone[begin]) - 1e-9)
+                if not len(maybe):
+                    continue
+                low, high = int(maybe[0]), int(maybe[-1]) + 1
+                score = np.round(dot[low:high] / np.sqrt(np.maximum(self.squares(part, low, high, size), 1e-12)), 9)
+                p = low + int(score.argmax())
+                if score.max() >= least - 1e-9 and (top := (float(score.max()), size, -(a + p))) > found[:3]:
+                    found = (*top, k)
+        score, size, begin, k = found
+        exact = self.score(k, ids[-begin : -begin + size]) if k >= 0 else 0.0
+        return (exact, self.names[k], -begin) if exact >= least else (0.0, None, 0)
+
+    def _fours(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all four words in a row that templates have, and where they stand."""
+        n = max(0, len(ids) - 3)
+        rows = np.stack([ids[i : n + i] for i in range(4)], axis=1).astype(np.int64)
+        at = np.flatnonzero((rows < self.words.own).all(axis=1))
+        return rows[at] @ (self.words.own ** np.arange(3, -1, -1, dtype=np.int64)), at
+
+    @functools.cached_property
+    def _sharing(self) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
+        """The templates' own four words in a row, sorted, and where they stand in which."""
+        where: dict[int, list[tuple[int, int]]] = {}
+        for k, own in enumerate(self.ids):
+            for key, at in zip(*map(np.ndarray.tolist, self._fours(own)), strict=True):
+                where.setdefault(key, []).append((k, at))
+        return np.array(sorted(where), dtype=np.int64), where
+
+    def best_sharing(self, ids: np.ndarray) -> tuple[float, str | None, int]:
+        """The same over runs that have four words in a row, where they stand in the template, whatever their cosine."""
+        found: tuple[float, int, int, int] = (0.0, 0, 0, -1)
+        known, where = self._sharing
+        keys, places = self._fours(ids)
+        some = np.isin(keys, known)
+        for key, p in zip(keys[some].tolist(), places[some].tolist(), strict=True):
+            for k, at in where[key]:
+                begin, size = max(p - at, 0), int(self.sizes[k])
+                top = (self.score(k, ids[begin : begin + size]), size, -begin)
+                if top > found[:3]:
+                    found = (*top, k)
+        return found[0], self.names[found[3]] if found[3] >= 0 else None, -found[2]
 
 
 def vocabulary(templates: Mapping[str, tuple[str, ...]]) -> set[str]:
@@ -163,9 +269,9 @@ def line_frequencies(texts: DataFrame, templates: Mapping[str, tuple[str, ...]])
         lines, df = 0, Counter()
         for batch in batches:
             for text in batch.column(0):
-                for line in (text.as_py() or "").lower().split("\n"):
+                for line in lines_of(text.as_py() or ""):
                     lines += 1
-                    if some := known.intersection(_TERM.findall(line)):
+                    if some := known.intersection(_TERM.findall(line.lower())):
                         df.update(some)
         df[""] = lines
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
@@ -174,13 +280,23 @@ def line_frequencies(texts: DataFrame, templates: Mapping[str, tuple[str, ...]])
     return df.pop("", 0), df
 
 
-def line_of(lines: list[str], word: int) -> int:
+def lines_of(text: str) -> Iterator[str]:
+    """The lines of a text, one at a time."""
+    at = 0
+    while (end := text.find("\n", at)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
+def line_of(text: str, word: int) -> int:
     """The line in which the word of this number stands."""
-    for k, line in enumerate(lines):
+    k = -1
+    for k, line in enumerate(lines_of(text)):
         if word < (n := len(_TERM.findall(line.lower()))):
             return k
         word -= n
-    return len(lines) - 1
+    return k
 
 
 def detect_licenses(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, id_col: str = "id", text_col: str = "text", path_col: str = "path", blocks: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -190,29 +306,31 @@ def detect_licenses(files: DataFrame, templates: Mapping[str, tuple[str, ...]] =
     """
     texts = files.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     matcher = Matcher(templates, *line_frequencies(texts.select("text"), templates))
-    notices, long = Runs(matcher, templates), Runs(matcher, license_blocks() if blocks is None else blocks)
+    blocks = license_blocks() if blocks is None else blocks
+    own = vocabulary(templates) | vocabulary(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # short lines that repeat, such as a notice in every file, are compared once
         known = matcher.where.keys()
         compare = lambda line: (0.0, None) if known.isdisjoint(words := _TERM.findall(line)) else matcher.best(words)
         remembered = functools.lru_cache(1 << 12)(compare)
+        words = Words(own)
+        notices, long = Templates(matcher, templates, words), Templates(matcher, blocks, words)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for text in batch.column(2):
-                score, name, at = 0.0, None, None
-                lines = text.as_py().split("\n") if text.is_valid else []
-                for k, line in enumerate(lines):
-                    s, other = (remembered if len(line) < 400 else compare)(line.lower())
-                    if s > score + 1e-12:
-                        score, name, at = s, other, k
-                words = _TERM.findall(text.as_py().lower()) if text.is_valid else []
-                for runs, enough in ((notices, score + 1e-9), (long, BLOCK_LEAST)):
-                    s, other, begin = runs.best(words)
-                    if other is not None and s >= enough:
-                        score, name, at = s, other, line_of(lines, begin)
+            for cell in batch.column(2):
+                score, name, at, n = 0.0, None, None, 0
+                if (text := cell.as_py()) is not None:
+                    for n, line in enumerate(lines_of(text), 1):
+                        s, other = (remembered if len(line) < 400 else compare)(line.lower())
+                        if s > score + 1e-12:
+                            score, name, at = s, other, n - 1
+                    ids = words.of(text)
+                    for (s, other, begin), enough in ((notices.best_sharing(ids), score + 1e-9), (long.best(ids, BLOCK_LEAST), BLOCK_LEAST)):
+                        if other is not None and s >= enough:
+                            score, name, at = s, other, line_of(text, begin)
                 good = score >= least
-                for c, v in zip(out, (name if good else None, score, at if good else None, len(lines)), strict=True):
+                for c, v in zip(out, (name if good else None, score, at if good else None, n), strict=True):
                     c.append(v)
             types = (pa.string(), pa.float64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], ["id", "path", "own_license", "score", "line", "lines"])
