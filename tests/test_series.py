@@ -1,14 +1,15 @@
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import hopping, joins, series, similarity, summaries
+from tidemark.operators import cells, hopping, joins, series, similarity, summaries
 
 
 def test_labels_hold_until_the_next_and_equal_neighbours_stay_apart(spark):
     rows = [("a", 0.0, "x"), ("a", 1.0, "x"), ("a", 2.0, None), ("a", 3.0, "y"), ("a", 3.0, "z")]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k string, t double, label string, i int")
-    from pyspark.sql import functions as F
-
     got = [tuple(r) for r in series.label_spans(df, ["k"], ["t", "i"], "t", "label", F.lit(5.0)).orderBy("start", "label").collect()]
     assert got == [("a", 0.0, 1.0, "x"), ("a", 1.0, 3.0, "x"), ("a", 3.0, 5.0, "z")]
 
@@ -40,8 +41,6 @@ def test_window_plans():
 
 
 def test_overlap_add_of_the_identity_is_the_identity(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([("a", t, float(t * t % 17)) for t in range(100)], "k string, t long, v double")
     parts = hopping.into_windows(df, "t", 16, 12)
     got = hopping.overlap_add(parts, ["k"], "t", "v", hopping.triangle(F.col("offset"), 16))
@@ -58,8 +57,6 @@ def test_grouping_by_similarity(vectors, expected):
 
 def test_ties_and_medians(spark):
     df = spark.createDataFrame([("a", "y", 2.0), ("a", "x", 2.0), ("a", "z", 1.0), ("b", None, 1.0)], "k string, l string, w double")
-    from pyspark.sql import functions as F
-
     assert [r["label"] for r in summaries.dominant(df, ["k"], "l", F.col("w")).collect()] == ["x"]
     v = spark.createDataFrame([(1, float(x)) for x in (4, 1, 3, 2)], "k int, v double")
     assert summaries.upper_median(v, ["k"], "v").first()["upper_median"] == 3.0
@@ -116,8 +113,6 @@ def test_grouping_equals_brute_force_and_its_memory_is_linear():
 
 
 def test_cells_carry_what_crosses_them(spark, monkeypatch):
-    from tidemark.operators import cells
-
     monkeypatch.setattr(cells.cell_of, "__defaults__", (8,))
     rng = np.random.default_rng(5)
     rows = [(None if i % 17 == 0 else "hot" if i % 3 else f"k{i % 5}", i, None if i % 29 == 0 else float(rng.integers(0, 12)), float(rng.integers(1, 9))) for i in range(600)]
@@ -146,3 +141,109 @@ def test_only_small_tables_are_paired(spark, monkeypatch):
     monkeypatch.setattr(similarity, "MOST_PAIRED", 3)
     with pytest.raises(ValueError, match="pair"):
         similarity.pairs(spark.createDataFrame([(i, [1.0]) for i in range(4)], "i long, v array<double>"), "i", "v")
+
+
+@pytest.fixture
+def many_cells(monkeypatch):
+    monkeypatch.setattr(cells, "SMALL", 0)
+
+
+def kept_one_by_one(times, gap):
+    kept = []
+    for k, t in enumerate(times):
+        if not kept or t - times[kept[-1]] >= gap:
+            kept.append(k)
+    return kept
+
+
+@pytest.mark.parametrize("gap", [0.0, 0.75, 13.0, 5000.0])
+def test_minimum_gap_over_cells_equals_one_pass(spark, many_cells, gap):
+    rng = np.random.default_rng(int(gap))
+    hot = np.sort(np.round(np.concatenate([rng.uniform(0, 1000, 3000), rng.uniform(300, 310, 2000), rng.uniform(5000, 9000, 50)]) * 64) / 64)
+    rows = [("hot", float(t), "x") for t in hot] + [("b", float(t), "y") for t in range(40)] + [(None, 1.0, "z"), (None, 2.0, "z"), ("hot", None, "w")]
+    df = spark.createDataFrame(rows, "k string, t double, label string").repartition(5)
+    got = series.min_gap(df, ["k"], "t", gap)
+    assert got.columns == df.columns
+    found = [(r["k"], r["t"]) for r in got.collect()]
+    for key in ("hot", "b", None):
+        own = sorted(t for k, t, _ in rows if k == key and t is not None)
+        assert sorted(t for k, t in found if k == key) == [own[i] for i in kept_one_by_one(own, gap)]
+
+
+def test_minimum_gap_on_one_series_of_a_million_rows(spark, many_cells):
+    df = spark.range(1_000_000).select(F.lit("s").alias("k"), (F.col("id") * 3 + F.pmod(F.hash("id"), F.lit(30))).alias("t"))
+    got = sorted(r["t"] for r in series.min_gap(df.repartition(8), ["k"], "t", 50).select("t").collect())
+    times = np.sort(np.array([r["t"] for r in df.collect()]))
+    assert got == times[kept_one_by_one(times, 50)].tolist()
+    marked = df.withColumn("_cell", cells.cell_of(df, "t"))
+    sizes = [r["count"] for r in marked.groupBy("_cell").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 10_000
+
+
+def test_gaps_of_each_key(spark):
+    df = spark.createDataFrame([(k, t, g) for k, g in (("a", 2), ("b", 5)) for t in range(20)], "k string, t int, g int")
+    got = series.min_gap(df, ["k"], "t", "g").groupBy("k").agg(F.sort_array(F.collect_list("t")).alias("t")).collect()
+    assert {r["k"]: r["t"] for r in got} == {"a": list(range(0, 20, 2)), "b": [0, 5, 10, 15]}
+
+
+@pytest.mark.parametrize("small", [0, 1 << 30])
+def test_thinned_labels_equal_one_pass(spark, monkeypatch, small):
+    monkeypatch.setattr(cells, "SMALL", small)
+    rng = np.random.default_rng(3)
+    rows = [("s", float(k), str(rng.choice(["a", "b", "N", None]))) for k in range(600)]
+    rows = [(k, t, None if label == "None" else label) for k, t, label in rows]
+    want, last, before = [], None, "?"
+    for _, t, label in rows:
+        if label is not None and label != "N" and label != before and (last is None or t - last >= 3):
+            want.append(t)
+            last = t
+        before = label
+    got = series.thin_labels(spark.createDataFrame(rows, "k string, t double, label string"), ["k"], "t", "label", 3.0)
+    assert sorted(r["t"] for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("small", [0, 1 << 30])
+def test_passes_are_the_same_in_one_cell_and_in_many(spark, monkeypatch, small):
+    monkeypatch.setattr(cells, "SMALL", small)
+    rng = np.random.default_rng(6)
+    rows = [(["hot", "b", None][min(2, k % 9 // 4)], int(rng.integers(0, 300)), k, float(rng.integers(0, 100)) / 100 if k % 7 else None) for k in range(900)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v double")
+    got = {(r["k"], r["i"]): r["n"] for r in cells.numbered(df, ["k"], ["t", "i"], "n").collect()}
+    share = {(r["k"], r["i"]): r["done"] for r in summaries.running_share(df, ["k"], ["t", "i"], "v").collect()}
+    deciles = {(r["k"], r["i"]) for r in series.changed_deciles(df, ["k"], ["t", "i"], "v").collect()}
+    for key in ("hot", "b", None):
+        own = sorted((t, i, v) for k, t, i, v in rows if k == key)
+        total, upto, before, changed = sum(v or 0 for _, _, v in own), 0.0, None, set()
+        for n, (_, i, v) in enumerate(sorted(own, key=lambda r: r[:2]), 1):
+            upto += v or 0
+            tenth = -1 if v is None else math.floor(v * 10)
+            if tenth != before:
+                changed.add((key, i))
+            before = tenth
+            assert got[key, i] == n and abs(share[key, i] - upto / total) < 1e-9
+        assert {d for d in deciles if d[0] == key} == changed
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_grid_of_means_finds_what_a_look_at_all_finds(seed):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(0, 10, (40, 5))
+    x = middles[rng.integers(0, 40, 900)] + rng.normal(0, 0.4 + seed / 3, (900, 5))
+    x[100:140] = x[7]
+    assert similarity.group_in_order(x[:300], 1.5) == [sorted(g) for g in brute_groups(list(x[:300]), 1.5)]
+    centres, grid, _ = similarity.place_in_order(x, 2.0)
+    for v in [*rng.normal(0, 10, (50, 5)), *x[:50]]:
+        live = np.flatnonzero(centres.rows[: centres.used] > 0)
+        apart = centres.apart(v, live)
+        assert {k for _, k in grid.within(v)} == {int(k) for k, d in zip(live, apart, strict=True) if d < 2}
+        assert grid.nearest(v) == (int(live[apart.argmin()]) if apart.min() < 2 else -1)
+
+
+def test_rows_do_not_meet_every_group_of_clustered_data():
+    rng, made = np.random.default_rng(1), {}
+    for groups in (500, 2000):
+        middles = rng.normal(0, 50, (groups, 8))
+        x = middles[rng.integers(0, groups, 4 * groups)] + rng.normal(0, 0.1, (4 * groups, 8))
+        centres, _, _ = similarity.place_in_order(x, 2.0)
+        made[groups] = centres.compared / len(x)
+    assert made[2000] < 0.02 * 2000 and made[500] < 0.02 * 500

@@ -160,9 +160,9 @@ def test_songs_from_mix_to_files(spark, tmp_path):
     made = songs.split(mix, lambda: lambda a: a * 0, lambda: lambda a: a * 0, {"drums": lambda: lambda a: a}, options)
     assert abs(made.grid.first()["bpm"] - 120) < 0.5
     core = stems.Core(lambda: lambda a: np.stack([a, a * 0, a]), ("drums", "bass", "vocals"), 40_000)
-    again = songs.split(mix, lambda: lambda a: a * 0, lambda: lambda a: a * 0, core, options)
+    again = songs.split(mix, lambda: lambda a: a * 0, lambda: lambda a: a * 0, core)
     sizes = {r["stem"]: r["n"] for r in again.stems.groupBy("stem").agg(F.sum(F.size("left")).alias("n")).collect()}
-    assert sizes == dict.fromkeys(("vocals", "horns", "drums", "bass"), len(x))
+    assert sizes == dict.fromkeys(("mix", "vocals", "instrumental", "horns", "drums", "bass"), len(x))
     songs.write(made, f"file://{tmp_path}/out", device=True)
     names = {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.wav")}
     assert {"My Song/drums.wav", "My Song/vocals.wav", "My Song/horns.wav", "My Song/device/My_Song_drums.wav"} <= names

@@ -16,8 +16,8 @@ def _line(left: DataFrame, right: DataFrame, key: Sequence[str], at: str, time:
     return a.union(b)
 
 
-def snap(left: DataFrame, right: DataFrame, key: Sequence[str], at: str, time: str, reach: float, out: str = "snapped") -> DataFrame:
-    """``left`` with ``out``: the nearest ``time`` of ``right`` if it is at most ``reach`` away (the earlier of two as near), else ``at`` itself.
+def snap(left: DataFrame, right: DataFrame, key: Sequence[str], at: str, time: str, reach: float | str, out: str = "snapped") -> DataFrame:
+    """``left`` with ``out``: the nearest ``time`` of ``right`` if it is at most ``reach``, or the column of that name, away (the earlier of two as near), else ``at`` itself.
 
     Both sides are sorted once on a common axis, so there is no comparison of pairs; each key's rows meet in one task.
     """
@@ -28,7 +28,8 @@ def snap(left: DataFrame, right: DataFrame, key: Sequence[str], at: str, time: s
     both = line.withColumn("_lo", F.last("_hit", ignorenulls=True).over(back)).withColumn("_hi", F.last("_hit", ignorenulls=True).over(ahead)).where("_row is not null")
     lo, hi, t = F.col("_lo"), F.col("_hi"), F.col("_t")
     near = F.when(lo.isNull() | ((hi - t) < (t - lo)), hi).otherwise(lo)
-    return both.withColumn("_near", near).select("_row.*", F.when(F.abs(F.col("_near") - t) <= reach, F.col("_near")).otherwise(t).alias(out))
+    most = F.col(f"_row.{reach}") if isinstance(reach, str) else F.lit(reach)
+    return both.withColumn("_near", near).select("_row.*", F.when(F.abs(F.col("_near") - t) <= most, F.col("_near")).otherwise(t).alias(out))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], at: str, time: str, values: Sequence[str]) -> DataFrame:

@@ -13,10 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.functions.levels import bin_weight, compressed
-from tidemark.operators.cells import carried
+from tidemark.operators.cells import BEFORE, beside, carried, cell_of
 from tidemark.operators.summaries import upper_median
 
 
@@ -79,11 +80,12 @@ def last_strong_turn(df: DataFrame, key: Sequence[str], at: str, value: str, sha
 
 def magnitude_flux(df: DataFrame, key: Sequence[str], order: Sequence[str], magnitudes: str, frame: int, out: str = "flux") -> DataFrame:
     """Weighted growth of compressed magnitudes from row to row; the first row grows from silence."""
-    level = df.withColumn("_level", compressed(F.col(magnitudes), frame))
-    before = F.coalesce(F.lag("_level").over(series(key, order)), F.transform("_level", lambda _: F.lit(0.0)))
+    held = df.withColumn("_level", compressed(F.col(magnitudes), frame))
+    level = carried(held, key, order, {"_prior": F.lag("_level")}, {"_last": (F.max_by("_level", F.struct(*order)), BEFORE)})
+    before = F.coalesce("_prior", "_last", F.transform("_level", lambda _: F.lit(0.0)))
     grown = F.zip_with("_level", "_before", lambda x, y: F.greatest(x - y, F.lit(0.0)))
     total = F.aggregate(F.transform(grown, lambda g, k: g * bin_weight(k)), F.lit(0.0), lambda s, v: s + v)
-    return level.withColumn("_before", before).withColumn(out, total).drop("_level", "_before")
+    return level.withColumn("_before", before).withColumn(out, total).drop("_level", "_prior", "_last", "_before")
 
 
 def gaussian_weights(deviation: float) -> list[tuple[int, float]]:
@@ -104,24 +106,78 @@ def smooth(df: DataFrame, key: Sequence[str], at: str, value: str, deviation: fl
     return df.withColumn(out, total)
 
 
-def min_gap(df: DataFrame, key: Sequence[str], at: str, gap: float) -> DataFrame:
-    """Rows that come at least ``gap`` after the last row kept; every key is one ordered pass."""
+def _spaced(rows: pd.DataFrame, at: str, gap: float | str, last: float) -> pd.DataFrame:
+    """Rows at least ``gap`` after the one kept before, in the order of ``at``; ``last`` is the one kept before them all."""
+    rows = rows.sort_values(at, kind="stable")
+    times, wide = rows[at].to_numpy(), float(rows[gap].iloc[0]) if isinstance(gap, str) else gap
+    chosen, k = [], 0 if last == -math.inf else int(np.searchsorted(times, last + wide, side="left"))
+    while k < len(times):  # from kept row to kept row
+        chosen.append(k)
+        k = max(k + 1, int(np.searchsorted(times, times[k] + wide, side="left")))
+    return rows.iloc[chosen]
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(at, kind="stable")
-        times, chosen, k = rows[at].to_numpy(), [], 0
-        while k < len(times):  # from kept row to kept row
-            chosen.append(k)
-            k = max(k + 1, int(np.searchsorted(times, times[k] + gap, side="left")))
-        return rows.iloc[chosen]
 
-    return df.groupBy(*key).applyInPandas(keep, df.schema)
+def _crossing(times: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a cell makes of the last row kept before it: (from, leaves), a step function.
+
+    If the first row at least ``gap`` after that last one is at ``from[i]`` or later, but not behind ``from[i + 1]``'s step, ``leaves[i]`` is the last row
+    kept in the cell. Rows beyond the first ``gap`` of the cell cannot come first, and steps with equal ends are one.
+    """
+    following = np.maximum(np.searchsorted(times, times + gap, side="left"), np.arange(len(times)) + 1)
+    leaves = times.copy()
+    for i in range(len(times) - 1, -1, -1):
+        if following[i] < len(times):
+            leaves[i] = leaves[following[i]]
+    first = min(len(times), int(np.searchsorted(times, times[0] + gap, side="left")) + 1)
+    turn = np.append(np.flatnonzero(leaves[: first - 1] != leaves[1:first]), first - 1)  # the last row of each step
+    return times[turn], leaves[turn]
+
+
+def min_gap(df: DataFrame, key: Sequence[str], at: str, gap: float | str) -> DataFrame:
+    """Rows that come at least ``gap`` after the last row kept; a gap that is a column's name is the same for all rows of a key. Rows without a time go.
+
+    A long series is cut into cells. Each cell says where it would end for every place at which the one before it may have ended; along a
+    key only these functions are followed, from cell to cell; then every cell is passed through on its own. What crosses is, for
+    each cell, at most the rows of its first gap.
+    """
+    known = df.where(F.col(at).isNotNull())
+    cell = cell_of(known, at)
+    if cell is None:
+        return known.groupBy(*key).applyInPandas(lambda rows: _spaced(rows, at, gap, -math.inf), df.schema)
+    marked = known.withColumn("_cell", cell)
+    cells = [*key, "_cell"]
+    wide = F.col(gap).cast("double") if isinstance(gap, str) else F.lit(float(gap))
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema.fields if f.name in cells)
+    slim = marked.select(*cells, F.col(at).cast("double").alias("_at"), wide.alias("_gap"))
+
+    def cross(rows: pd.DataFrame) -> pd.DataFrame:
+        froms, leaves = _crossing(np.sort(rows["_at"].to_numpy()), float(rows["_gap"].iloc[0]))
+        return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in cells}, "_gap": [float(rows["_gap"].iloc[0])], "_from": [froms], "_leaves": [leaves]})
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, last, came = rows.sort_values("_cell"), -math.inf, []
+        for r in rows.itertuples(index=False):
+            came.append(last)
+            k = int(np.searchsorted(r._asdict()["froms"], last + r.gap, side="left"))
+            last = r.leaves[k] if k < len(r.leaves) else last
+        return rows[cells].assign(_last=came)
+
+    crossings = slim.groupBy(*cells).applyInPandas(cross, f"{names}, _gap double, _from array<double>, _leaves array<double>")
+    plain = crossings.withColumnsRenamed({"_gap": "gap", "_from": "froms", "_leaves": "leaves"})
+    lasts = plain.groupBy(*key).applyInPandas(follow, f"{names}, _last double")
+    begun = beside(marked, lasts, cells)
+    schema = T.StructType([*marked.schema.fields])
+    kept = begun.groupBy(*cells).applyInPandas(lambda rows: _spaced(rows, at, gap, float(rows["_last"].iloc[0])).drop(columns="_last"), schema)
+    return kept.drop("_cell")
 
 
 def thin_labels(df: DataFrame, key: Sequence[str], at: str, label: str, gap: float, ignore: str = "N") -> DataFrame:
     """Labels worth drawing: changed from the row before, not ``ignore``, and at least ``gap`` after the last one drawn."""
-    changed = df.withColumn("_before", F.lag(label).over(series(key, [at])))
-    changed = changed.where(~F.col(label).eqNullSafe(F.col("_before")) & (F.col(label) != ignore)).drop("_before")
+    one = lambda c: F.struct(F.col(c).alias("label"))
+    held = df.withColumn("_own", one(label))
+    rows = carried(held, key, [at], {"_before": F.lag("_own")}, {"_last": (F.max_by("_own", at), BEFORE)})
+    before = F.coalesce("_before", "_last")["label"]
+    changed = rows.where(~F.col(label).eqNullSafe(before) & (F.col(label) != ignore)).select(*df.columns)
     return min_gap(changed, key, at, gap)
 
 
@@ -153,7 +209,7 @@ def phase_strength(df: DataFrame, key: Sequence[str], order: Sequence[str], valu
 def changed_deciles(df: DataFrame, key: Sequence[str], order: Sequence[str], fraction: str) -> DataFrame:
     """Rows whose tenth of progress differs from that of the row before; no fraction counts as tenth -1."""
     tenth = df.withColumn("decile", F.coalesce(F.floor(F.col(fraction) * 10), F.lit(-1)).cast("int"))
-    rows = carried(tenth, key, order, {"_before": F.lag("decile")}, {"_last": (F.max_by("decile", F.struct(*order)), F.lag("_c"))})
+    rows = carried(tenth, key, order, {"_before": F.lag("decile")}, {"_last": (F.max_by("decile", F.struct(*order)), BEFORE)})
     before = F.coalesce("_before", "_last")
     return rows.where(before.isNull() | (before != F.col("decile"))).drop("_before", "_last")
 

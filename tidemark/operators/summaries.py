@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.cells import beside, carried, numbered
+from tidemark.operators.cells import OWN, UPTO, beside, carried, numbered
 
 
 def dominant(df: DataFrame, key: Sequence[str], label: str, weight: Column | None = None, out: str = "label") -> DataFrame:
@@ -61,10 +61,11 @@ def sdr(df: DataFrame, key: Sequence[str], reference: str | Column, estimate: st
     return df.groupBy(*key).agg((10 * F.log10(F.sum(s * s) / F.greatest(F.sum((s - e) * (s - e)), F.lit(1e-20)))).alias(out))
 
 
-def having_unless_none(groups: DataFrame, size: str, fewest: int) -> DataFrame:
-    """Groups of at least ``fewest``, or all if there are none."""
-    top = groups.agg(F.max(size).alias("_top"))
-    return groups.crossJoin(F.broadcast(top)).where((F.col(size) >= fewest) | (F.col("_top") < fewest)).drop("_top")
+def having_unless_none(groups: DataFrame, size: str, fewest: int, key: Sequence[str] = ()) -> DataFrame:
+    """Groups of at least ``fewest``, or all of a key if it has none."""
+    top = groups.groupBy(*key).agg(F.max(size).alias("_top"))
+    both = beside(groups, top, key) if key else groups.crossJoin(F.broadcast(top))
+    return both.where((F.col(size) >= fewest) | (F.col("_top") < fewest)).drop("_top")
 
 
 def standardise(df: DataFrame, key: Sequence[str], value: str, out: str = "z") -> DataFrame:
@@ -89,7 +90,7 @@ def first_extreme(df: DataFrame, key: Sequence[str], score: str, ordinal: str, l
 def running_share(df: DataFrame, key: Sequence[str], order: Sequence[str], amount: str, out: str = "done") -> DataFrame:
     """Sum up to each row over the sum of all."""
     own = F.sum(amount)
-    rows = carried(df, key, order, {"_own": own}, {"_upto": (own, F.sum("_c")), "_here": (own, F.last("_c"))})
+    rows = carried(df, key, order, {"_own": own}, {"_upto": (own, UPTO), "_here": (own, OWN)})
     total = df.groupBy(*key).agg(own.alias("_all"))
     none = F.lit(0)
     upto = F.coalesce("_upto", none) - F.coalesce("_here", none) + F.coalesce("_own", none)

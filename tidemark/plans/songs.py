@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import title_prefix
 from tidemark.plans import stems as T
+from tidemark.plans.tables import settled
 from tidemark.plans.transcription import Transcription
-from tidemark.sources.wav import encoded, write_files
+from tidemark.sources.wav import encoded, staged, write_files
 
 
 @dataclass(frozen=True)
 class Split:
-    """What a run gives, all lazy: audio blocks with a ``stem``, bar lines, and pieces with a ``stem``; None if not asked for."""
+    """What a run gives: audio blocks with a ``stem``, bar lines, and pieces with a ``stem``; None if not asked for."""
 
     stems: DataFrame
     grid: DataFrame | None
@@ -33,26 +34,28 @@ def split(
     transcription: Transcription | None = None,
     chunk: int = 352_800,
     block: int = T.BLOCK,
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, stem: settled(stem),
 ) -> Split:
     """Peel vocals off the mix and horns off what is left, hear the other stems in the rest, and cut what the options ask for.
 
     A band is a separator for each stem, or one core for all of them, whose vocals and horns are not used.
     Bar lines come from the transcription, moved to drum attacks, unless a tempo is given; without either from the drums.
-    Only what the options need is part of the plan. Stems are read several times, so callers may persist them.
+    The mix and what it is without vocals are stems, too. Only what the options need is made. Every stem that a model makes goes through ``keep``,
+    by name, which writes it as a checkpoint unless told otherwise: stems are read several times, and a model should hear them once.
     """
     hear = functools.partial(T.separate, chunk=chunk, block=block)
-    sung = hear(mix, vocals)
+    sung = keep("vocals", hear(mix, vocals))
     instrumental = T.subtract(mix, sung)
-    blown = hear(instrumental, horns)
+    blown = keep("horns", hear(instrumental, horns))
     rest = T.subtract(instrumental, blown)
-    parts = {"vocals": sung, "horns": blown}
+    parts = {"mix": mix.select(*sung.columns), "vocals": sung, "instrumental": instrumental.select(*sung.columns), "horns": blown}
     if isinstance(band, T.Core):
         others = [name for name in band.sources if name not in parts]
-        heard = T.separate_all(rest, band, block).where(F.col("stem").isin(others))
+        heard = keep("band", T.separate_all(rest, band, block)).where(F.col("stem").isin(others))
         tables = [df.withColumn("stem", F.lit(name)) for name, df in parts.items()] + [heard]
         parts |= {name: heard.where(F.col("stem") == name).drop("stem") for name in others}
     else:
-        parts |= {name: hear(rest, load) for name, load in band.items()}
+        parts |= {name: keep(name, hear(rest, load)) for name, load in band.items()}
         tables = [df.withColumn("stem", F.lit(name)) for name, df in parts.items()]
     named = functools.reduce(DataFrame.unionByName, tables)
     grid, pieces = None, []
@@ -63,9 +66,10 @@ def split(
             grid = listed.join(transcription.bpm, "track_id").select("track_id", "bpm", "downbeats")
         else:
             grid = T.grids(parts["drums"], options.bpm)
+        grid = settled(grid)  # a row for each track, read by every stem's loops
         pieces += [T.loops(parts[s], grid, options.bars).withColumn("stem", F.lit(s)) for s in sorted(options.loops)]
     pieces += [T.kits(parts[s]).withColumn("stem", F.lit(s)) for s in sorted(options.kit)]
-    return Split(named, grid, functools.reduce(DataFrame.unionByName, pieces) if pieces else None)
+    return Split(named, grid, settled(functools.reduce(DataFrame.unionByName, pieces)) if pieces else None)
 
 
 def _named(prefix: Column) -> Column:
@@ -94,5 +98,8 @@ def files(result: Split, device: bool = False) -> DataFrame:
     return functools.reduce(DataFrame.union, out)
 
 
-def write(result: Split, folder: str, device: bool = False) -> None:
-    write_files(files(result, device), folder)
+def write(result: Split, folder: str, device: bool = False) -> list[str]:
+    """All files of a split, or none after an error; the songs' folders by name, numbered if taken."""
+    with staged(folder) as (stage, names):
+        write_files(files(result, device), stage)
+    return names

@@ -5,8 +5,6 @@ A separator is a callable from (channels, samples) to the same shape, loaded in
 
 from __future__ import annotations
 
-import functools
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,12 +13,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import residual
+from tidemark.functions.arrays import levelled, residual
+from tidemark.operators import blocks as B
+from tidemark.operators import joins, onsets, series, summaries
 from tidemark.operators import signal as S
-from tidemark.operators.similarity import group_in_order
+from tidemark.operators.similarity import group_means, rms_distance, similarity_groups
+from tidemark.plans.models import Model, loaded, require
+from tidemark.plans.tables import settled
 from tidemark.sources.wav import BLOCK, encode_wav, joined, resample
 
-STEMS = ("vocals", "horns", "drums", "bass", "other", "instrumental", "band")
+STEMS = ("mix", "vocals", "instrumental", "horns", "drums", "bass", "other")
 KIT_THRESHOLD, KIT_FEWEST, LOOP_THRESHOLD = 6.0, 3, 4.5
 
 Separator = Callable[[np.ndarray], np.ndarray]
@@ -49,18 +51,6 @@ class Options:
             raise ValueError("bars and bpm are for loops")
 
 
-@functools.cache
-def _loaded(load: Callable[[], Separator]) -> Separator:
-    return load()
-
-
-def mirrored(at: np.ndarray, n: int) -> np.ndarray:
-    """Places in a signal of ``n`` samples that positions outside it mirror."""
-    period = max(2 * (n - 1), 1)
-    m = np.mod(at, period)
-    return np.where(m < n, m, period - m)
-
-
 PARTS = "track_id string, block_no long, at long, left array<double>, right array<double>, weight array<double>"
 
 
@@ -100,13 +90,15 @@ def _met(parts: DataFrame, sizes: DataFrame, by: list[str], block: int) -> DataF
     return rated.groupBy(*by).applyInPandas(add, "track_id string, rate int, block_no long, start_sample long, left array<float>, right array<float>" + more)
 
 
-def separate(blocks: DataFrame, load: Callable[[], Separator], chunk: int = 352_800, block: int = BLOCK) -> DataFrame:
+def separate(blocks: DataFrame, model: Model | Callable[[], Separator], chunk: int = 352_800, block: int = BLOCK) -> DataFrame:
     """The stem that a separator hears in each track, in the same blocks.
 
     Chunks overlap by half, with linear ramps over a tenth at both ends, and see the track mirrored beyond its edges. Each
     (track, chunk) is one task's group, and the weighted parts of a block meet in a second grouping, so tracks of any
-    length spread over the cluster and the order in which chunks finish does not matter.
+    length spread over the cluster and the order in which chunks finish does not matter. A model that says it does not take or
+    give ``audio`` of a chunk is refused before anything runs.
     """
+    load = require(model, {"audio": (2, chunk)}, {"audio": (2, chunk)})
     step, ramp = chunk // 2, chunk // 10
     border = chunk - step
     sizes = _sizes(blocks)
@@ -120,8 +112,8 @@ def separate(blocks: DataFrame, load: Callable[[], Separator], chunk: int = 352_
         n, number = int(rows["n"].iloc[0]), int(key[1])
         base, audio = int(rows["start_sample"].min()), joined(rows)
         begin = number * step - border
-        place = mirrored(np.arange(begin, begin + chunk), n) - base
-        heard = np.asarray(_loaded(load)(audio[:, np.clip(place, 0, audio.shape[1] - 1)]))
+        place = S.mirrored(np.arange(begin, begin + chunk), n) - base
+        heard = np.asarray(loaded(load)(audio[:, np.clip(place, 0, audio.shape[1] - 1)]))
         if heard.shape != (2, chunk):
             raise ValueError(f"the separator gave an array of {heard.shape} for one of {(2, chunk)}")
         weight = np.ones(chunk)
@@ -140,7 +132,7 @@ def separate(blocks: DataFrame, load: Callable[[], Separator], chunk: int = 352_
 class Core:
     """One model that hears several sources at once: ``load`` gives a callable from (2, segment) to (sources, 2, segment)."""
 
-    load: Callable[[], Separator]
+    load: Model | Callable[[], Separator]
     sources: tuple[str, ...]
     segment: int = 343_980
 
@@ -153,6 +145,7 @@ def separate_all(blocks: DataFrame, core: Core, block: int = BLOCK) -> DataFrame
     silence. Each (track, segment) is a group of its own, and what segments say of a block meets in a second grouping.
     """
     segment, sources = core.segment, core.sources
+    load = require(core.load, {"audio": (2, segment)}, {"sources": (len(sources), 2, segment)})
     sizes = _sizes(blocks)
     starts = sizes.where("n > 0").select("track_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(segment * 3 // 4).cast("long"))).alias("offset"))
     first = F.col("offset") - F.floor((segment - F.least(F.lit(segment), F.col("n") - F.col("offset"))) / 2)
@@ -167,7 +160,7 @@ def separate_all(blocks: DataFrame, core: Core, block: int = BLOCK) -> DataFrame
         a, b = max(0, offset - trim), min(n, offset - trim + segment)
         given = np.zeros((2, segment), dtype=np.float32)
         given[:, a - offset + trim : b - offset + trim] = audio[:, a - base : b - base]
-        heard = np.asarray(_loaded(core.load)(given))
+        heard = np.asarray(loaded(load)(given))
         if heard.shape != (len(sources), 2, segment):
             raise ValueError(f"the core gave an array of {heard.shape}, not of {(len(sources), 2, segment)}")
         at = np.arange(count)
@@ -186,95 +179,168 @@ def subtract(whole: DataFrame, part: DataFrame) -> DataFrame:
     return both.select("track_id", "rate", "block_no", "start_sample", residual(F.col("left"), F.col("_l")).alias("left"), residual(F.col("right"), F.col("_r")).alias("right"))
 
 
-def _mono(rows: pd.DataFrame) -> tuple[np.ndarray, float]:
-    return joined(rows).mean(axis=0).astype(np.float64), float(rows["rate"].iloc[0])
+#: Samples around a block that its attacks depend on, at rates up to ``FASTEST``.
+FASTEST = 48_000
+HALO = onsets.reach(FASTEST)
 
 
-def attacks(blocks: DataFrame) -> DataFrame:
-    """(track_id, attack): onsets of each track's mono sum."""
+def _heard(blocks: DataFrame, behind: int, ahead: int, block: int = BLOCK) -> DataFrame:
+    """Mono blocks with what is around them."""
+    return B.haloed(B.mono(blocks), behind, ahead, block=block)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = S.onsets(*_mono(rows))
-        return pd.DataFrame({"track_id": [key[0]] * len(found), "attack": np.array(found, dtype=np.int64)})
-
-    return blocks.groupBy("track_id").applyInPandas(run, "track_id string, attack long")
-
-
-def kit_pieces(mono: np.ndarray, rate: float) -> list[tuple[str, int, int]]:
-    """(name, start, end): the cleanest typical hit of every sound, the most frequent sound first."""
-    at = S.onsets(mono, rate)
-    if not at:
-        return []
-    spans, edges, gap, lead = S.hits(at, mono, rate), S.mel_edges(rate), int(S.GAP_S * rate), int(S.PREROLL_S * rate)
-    following = [*at[1:], len(mono)]
-    prints = np.array([S.fingerprint(mono, a, b, edges) for a, b in zip(at, following, strict=True)])
-    loud = np.array([S.peak(mono[a : a + gap]) for a in at])
-    order = np.argsort(-loud, kind="stable")
-    groups = [[int(order[k]) for k in g] for g in group_in_order(prints[order], KIT_THRESHOLD)]
-    often = [g for g in groups if len(g) >= KIT_FEWEST] or groups
-    often.sort(key=lambda g: (-len(g), min(g)))
-
-    def mess(i: int) -> float:
-        ring = S.root_mean_square(mono[max(0, at[i] - lead) : at[i]])
-        room = min(max((following[i] - at[i]) / rate, 0.05), 0.4)
-        return 20 * math.log10(max(ring, 1e-9) / max(loud[i], 1e-9)) - 6 * math.log2(room / 0.05)
-
-    out, width = [], max(2, len(str(len(often))))
-    for k, g in enumerate(often):
-        off = np.sqrt(((prints[g] - prints[g].mean(axis=0)) ** 2).mean(axis=1))
-        typical = [g[j] for j in np.argsort(off, kind="stable")[: (len(g) + 1) // 2]]
-        out.append((str(k + 1).zfill(width), *spans[min(typical, key=mess)]))
-    return out
 
+def _checked(rate: float) -> float:
+    if rate > FASTEST:
+        raise ValueError(f"{rate} samples a second are more than {FASTEST}; resample first")
+    return float(rate)
 
-def kits(blocks: DataFrame) -> DataFrame:
-    """Pieces of each track's kit."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = kit_pieces(*_mono(rows))
-        return pd.DataFrame([(key[0], "kit", *p, S.PREROLL_S, 0.005) for p in found], columns=[c.split()[0] for c in PIECES.split(", ")])
+def loudness(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(track_id, loudest, strongest): each track's loudest sample and the strongest growth of its spectrum."""
+
+    def kernel(row: tuple) -> Iterator[tuple]:
+        x, own = np.asarray(row.x, dtype=np.float64), row.block_no * block - row.begin
+        first, last = onsets.frame_range(row.block_no, block, row.n)
+        growth = S.flux_of_frames(x, row.begin, first, last, [range(S.FRAME // 2)])[0]
+        yield row.track_id, S.peak(x[own : own + block]), float(growth.max(initial=0.0)) if _checked(row.rate) else 0.0
+
+    parts = B.each_row(_heard(blocks, HALO, HALO, block), kernel, "track_id string, loudest double, strongest double")
+    return parts.groupBy("track_id").agg(F.max("loudest").alias("loudest"), F.max("strongest").alias("strongest"))
+
+
+def attacks(blocks: DataFrame, block: int = BLOCK, loud: DataFrame | None = None) -> DataFrame:
+    """(track_id, attack): onsets of each track's mono sum, found block by block; only their distances are tested along the track. loud: :func:`loudness`."""
+
+    def kernel(row: tuple) -> Iterator[tuple]:
+        frames = onsets.frame_range(row.block_no, block, row.n)
+        found = onsets.candidates(np.asarray(row.x, dtype=np.float64), row.begin, row.n, _checked(row.rate), frames, row.strongest, row.loudest)
+        gap = int(onsets.GAP_S * row.rate)
+        return ((row.track_id, int(at), gap) for at in found)
+
+    around = _heard(blocks, HALO, HALO, block).join(loudness(blocks, block) if loud is None else loud, "track_id")
+    found = B.each_row(around, kernel, "track_id string, attack long, gap long")
+    return series.min_gap(found, ["track_id"], "attack", "gap").drop("gap")
+
+
+HITS = "track_id string, attack long, following long, start long, end long, n long, rate int, loud double, ring double, print array<double>"
+
+
+def hits(blocks: DataFrame, found: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """``HITS``: the sound of every attack, its range, its peak, the level of what rings on before it, and its fingerprint. found: :func:`attacks`."""
+    loud = settled(loudness(blocks, block))  # a row for each track, read twice
+    sizes, lead = B.lengths(B.mono(blocks)), F.floor(F.lit(onsets.PREROLL_S) * F.col("rate"))
+    known = (attacks(blocks, block, loud) if found is None else found).join(sizes, "track_id")
+    w = series.series(["track_id"], ["attack"])
+    placed = known.withColumn("start", F.greatest(F.col("attack") - lead, F.lit(0))).select(
+        "track_id", F.floor(F.col("attack") / block).alias("block_no"), "attack", "start",
+        F.coalesce(F.lead("attack").over(w), "n").alias("following"), F.coalesce(F.lead("start").over(w), "n").alias("until"),
+    )
+    told = placed.groupBy("track_id", "block_no").agg(F.sort_array(F.collect_list(F.struct("attack", "start", "following", "until"))).alias("hits"))
+
+    def kernel(row: tuple) -> Iterator[tuple]:
+        x, edges = np.asarray(row.x, dtype=np.float64), S.mel_edges(_checked(row.rate))
+        for h in row.hits:
+            end, loud, ring, features = onsets.describe_hit(x, row.begin, h["attack"], h["following"], h["until"], row.rate, row.loudest, edges)
+            yield row.track_id, h["attack"], h["following"], h["start"], end, row.n, row.rate, loud, ring, features
 
-    return blocks.groupBy("track_id").applyInPandas(run, PIECES)
+    ahead = int(S.LONGEST_S * FASTEST) + 4096
+    around = _heard(blocks, int(onsets.PREROLL_S * FASTEST), ahead, block).join(told, ["track_id", "block_no"]).join(loud, "track_id")
+    return B.each_row(around, kernel, HITS)
 
 
-def grids(drums: DataFrame, bpm: float | None = None) -> DataFrame:
-    """(track_id, bpm, downbeats): tempo and bar lines of each track's drums; tracks without eight beats are missing."""
+def _numbered(number: str, width: Column) -> Column:
+    return F.lpad(F.col(number).cast("string"), width, "0")
+
+
+def kits(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pieces of each track's kit: of every sound the cleanest of the half of its hits that is most typical, the most frequent sound first.
+
+    Hits are grouped in the order of their peaks; sounds of fewer than ``KIT_FEWEST`` hits go, unless all have fewer.
+    """
+    key, sound = ["track_id"], ["track_id", "group_id"]
+    timed = hits(blocks, block=block).withColumn("_at", F.col("attack") / F.col("rate"))
+    clean = series.mess_score(timed, key, "_at", "ring", "loud", F.col("n") / F.col("rate"))
+    ordered = clean.withColumn("ordinal", F.row_number().over(series.series(key, [F.desc("loud"), "attack"])))
+    # read several times below, and small beside the audio
+    grouped = settled(similarity_groups(ordered, key, "ordinal", "print", KIT_THRESHOLD))
+    sizes = summaries.having_unless_none(grouped.groupBy(*sound).agg(F.count("*").alias("_n"), F.min("attack").alias("_first")), "_n", KIT_FEWEST, key)
+    turn = F.row_number().over(series.series(key, [F.desc("_n"), "_first"]))
+    ranked = sizes.withColumn("_no", turn).withColumn("_all", F.count("*").over(series.Window.partitionBy(*key)))
+    off = grouped.join(group_means(grouped, sound, "print"), sound).withColumn("_off", rms_distance(F.col("print"), F.col("mean")))
+    typical = summaries.nearest_half(off, sound, "_off", "ordinal")
+    best = summaries.first_extreme(typical, sound, "mess", "_off").join(ranked, sound)
+    name = _numbered("_no", F.greatest(F.lit(2), F.length(F.col("_all").cast("string"))))
+    return best.select("track_id", F.lit("kit").alias("folder"), name.alias("name"), "start", "end", F.lit(onsets.PREROLL_S).alias("fade_in"), F.lit(0.005).alias("fade_out"))
+
+
+def envelopes(drums: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(track_id, rate, block_no, full, kick): growth of the spectrum from frame to frame, over all bins and over the kick's."""
+
+    def kernel(row: tuple) -> Iterator[tuple]:
+        first, last = onsets.frame_range(row.block_no, block, row.n)
+        flux = S.flux_of_frames(np.asarray(row.x, dtype=np.float64), row.begin, first, last, [range(S.FRAME // 2), S.kick_band(row.rate)])
+        yield row.track_id, row.rate, row.block_no, flux[0], flux[1]
+
+    return B.each_row(_heard(drums, HALO, HALO, block), kernel, "track_id string, rate int, block_no long, full array<double>, kick array<double>")
+
+
+def grids(drums: DataFrame, bpm: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(track_id, bpm, downbeats): tempo and bar lines of each track's drums; tracks without eight beats are missing.
+
+    Spectra are made block by block; the search for beats, which is one chain along a track, reads its two numbers a frame.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = S.beat_grid(*_mono(rows), bpm)
-        return pd.DataFrame({"track_id": [key[0]], "bpm": [found[0]], "downbeats": [found[1]]} if found else {"track_id": [], "bpm": [], "downbeats": []})
-
-    return drums.groupBy("track_id").applyInPandas(run, "track_id string, bpm double, downbeats array<long>")
-
-
-def loop_pieces(mono: np.ndarray, rate: float, downbeats: list[int], bars: int) -> list[tuple[str, int, int]]:
-    """(name, start, end): every ``bars`` bars of music that sound like none before them."""
-    quiet = S.peak(mono) * S.SILENCE
-    spans = [(k, downbeats[k], min(len(mono), downbeats[k + bars])) for k in range(0, len(downbeats) - bars, bars)]
-    spans = [s for s in spans if s[1] < s[2] and S.peak(mono[s[1] : s[2]]) > quiet]
-    if not spans:
-        return []
-    steps, edges = bars * 16, S.mel_edges(rate)
-    prints = []
-    for _, a, b in spans:
-        starts = [a + (b - a) * k // steps for k in range(steps)]
-        prints.append(S.levelled(np.concatenate([S.band_levels(mono[s : min(b, s + S.MEL_FRAME)], edges) for s in starts])))
-    width = max(3, len(str(len(downbeats))))
-    firsts = sorted(min(g) for g in group_in_order(np.array(prints), LOOP_THRESHOLD))
-    return [("bar" + str(spans[k][0] + 1).zfill(width), spans[k][1], spans[k][2]) for k in firsts]
-
-
-def loops(blocks: DataFrame, grid: DataFrame, bars: int = 4) -> DataFrame:
-    """Pieces of each track's loops, for tracks of ``grid`` (track_id, bpm, downbeats)."""
-
-    def run(key: tuple, own: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in PIECES.split(", ")]
-        if not len(own) or not len(lines):
-            return pd.DataFrame(columns=columns)
-        bpm, downbeats = lines["bpm"].iloc[0], [int(x) for x in lines["downbeats"].iloc[0]]
-        return pd.DataFrame([(key[0], f"loops_{S.round_half_up(bpm)}bpm", *p, 0.001, 0.002) for p in loop_pieces(*_mono(own), downbeats, bars)], columns=columns)
-
-    return blocks.groupBy("track_id").cogroup(grid.groupBy("track_id")).applyInPandas(run, PIECES)
+        rows, rate = rows.sort_values("block_no"), float(rows["rate"].iloc[0])
+        found = S.beats_in_four(np.concatenate(list(rows["full"])), np.concatenate(list(rows["kick"])), rate, bpm)
+        tempo, lines = found or (0.0, [])
+        return pd.DataFrame({"track_id": key[0], "bpm": tempo, "reach": int(0.03 * rate), "sample": np.asarray(lines, dtype=np.int64)})
+
+    lines = envelopes(drums, block).groupBy("track_id").applyInPandas(run, "track_id string, bpm double, reach long, sample long")
+    moved = joins.snap(lines, attacks(drums, block), ["track_id"], "sample", "attack", "reach")
+    return moved.groupBy("track_id", "bpm").agg(F.array_sort(F.collect_list("snapped")).alias("downbeats"))
+
+
+def _peaks(samples: DataFrame, spans: DataFrame, block: int) -> DataFrame:
+    """``spans`` (track_id, bar, start, end) with ``_peak``, the loudest sample in each."""
+    reached = spans.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
+    parts = reached.join(samples.select("track_id", "block_no", "start_sample", "x"), ["track_id", "block_no"])
+    low, high = F.greatest("start", "start_sample"), F.least("end", F.col("start_sample") + F.size("x"))
+    some = F.slice("x", (low - F.col("start_sample") + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+    top = F.coalesce(F.array_max(F.transform(some, lambda v: F.abs(v))), F.lit(0.0)).cast("double")
+    return parts.select(*spans.columns, top.alias("_top")).groupBy(*spans.columns).agg(F.max("_top").alias("_peak"))
+
+
+def loops(blocks: DataFrame, grid: DataFrame, bars: int = 4, block: int = BLOCK) -> DataFrame:
+    """Pieces of each track's loops, for tracks of ``grid`` (track_id, bpm, downbeats): every ``bars`` bars of music that sound like none before them.
+
+    A loop's features are the bands at its sixteenths, found in the blocks they lie in.
+    """
+    key, steps = ["track_id"], bars * 16
+    samples = B.mono(blocks)
+    lines = grid.select("track_id", "bpm", F.size("downbeats").alias("_lines"), F.posexplode("downbeats").alias("_i", "sample"))
+    known = grid.select("track_id", "bpm", F.size("downbeats").alias("_lines"))
+    spans = series.every_nth_span(lines, key, "sample", bars).join(B.lengths(samples), "track_id")
+    spans = settled(spans.select("track_id", F.col("bar").cast("long").alias("bar"), "start", F.least("end", "n").alias("end")).where("start < end"))
+    loud = _peaks(samples, spans, block).join(loudness(blocks, block), "track_id").where(F.col("_peak") > F.col("loudest") * S.SILENCE)
+    each = loud.select("track_id", "bar", "start", "end", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    at = F.col("start") + F.floor((F.col("end") - F.col("start")) * F.col("step") / steps)
+    told = each.withColumn("at", at).groupBy("track_id", F.floor(F.col("at") / block).alias("block_no")).agg(F.collect_list(F.struct("bar", "step", "at", "end")).alias("steps"))
+
+    def kernel(row: tuple) -> Iterator[tuple]:
+        x, edges = np.asarray(row.x, dtype=np.float64), S.mel_edges(row.rate)
+        for s in row.steps:
+            a = s["at"] - row.begin
+            yield row.track_id, s["bar"], s["step"], S.band_levels(x[a : a + min(S.MEL_FRAME, s["end"] - s["at"])], edges)
+
+    bands = B.each_row(_heard(blocks, 0, S.MEL_FRAME, block).join(told, ["track_id", "block_no"]), kernel, "track_id string, bar long, step int, levels array<double>")
+    listed = bands.groupBy("track_id", "bar").agg(F.sort_array(F.collect_list(F.struct("step", "levels"))).alias("_s"))
+    prints = listed.select("track_id", "bar", levelled(F.flatten(F.transform("_s", lambda s: s["levels"]))).alias("print"))
+    firsts = similarity_groups(prints, key, "bar", "print", LOOP_THRESHOLD).groupBy("track_id", "group_id").agg(F.min("bar").alias("bar"))
+    pieces = firsts.join(spans, ["track_id", "bar"]).join(known, "track_id")
+    name = F.concat(F.lit("bar"), _numbered("bar", F.greatest(F.lit(3), F.length(F.col("_lines").cast("string")))))
+    folder = F.concat(F.lit("loops_"), F.round("bpm").cast("long").cast("string"), F.lit("bpm"))
+    return pieces.select("track_id", folder.alias("folder"), name.alias("name"), "start", "end", F.lit(0.001).alias("fade_in"), F.lit(0.002).alias("fade_out"))
 
 
 def _encoded_pieces(key: tuple, audio: np.ndarray, rate: int, parts: pd.DataFrame, bits: int) -> list[tuple]:
