@@ -30,6 +30,12 @@ def rms(x: Column) -> Column:
     return F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v) / F.size(x))
 
 
+def rises_at(x: Column, at: Column, width: int, ratio: float = 1.2) -> Column:
+    """Whether ``width`` samples from a place on are ``ratio`` times as loud as those before it; true at the very start."""
+    before = F.slice(x, F.greatest(at - width, F.lit(0)) + 1, F.least(at, F.lit(width)))
+    return (at == 0) | (rms(F.slice(x, at + 1, F.lit(width))) > ratio * rms(before))
+
+
 def reflect_index(i: Column, n: Column) -> Column:
     """Place in an array of ``n`` that position ``i`` mirrors, edges not repeated, as often as needed."""
     period = F.greatest(2 * (n - 1), F.lit(1))

@@ -10,7 +10,7 @@ from tidemark.functions import arrays as A
 from tidemark.functions import music as M
 from tidemark.functions import text as X
 from tidemark.operators import hopping, joins, series, similarity, summaries
-from tidemark.plans import song_queries  # noqa: F401  (registers its queries)
+from tidemark.plans import chord_queries, song_queries  # noqa: F401  (register their queries)
 from tidemark.plans.registry import EVENTS_SQL, HOURLY_SQL, QUERIES, SQL, events, hourly, query, r6, table  # noqa: F401
 
 # Windows over series
@@ -457,15 +457,18 @@ _QUALITIES_SQL = ", ".join(f"({k}, '{q}', [{', '.join(repr(b) for b in (*bs, '')
 _ROOTS_SQL = ", ".join(f"({k}, '{r}')" for k, r in enumerate(M.SHARPS))
 
 
-@query(f"""WITH q(k, quality, basses) AS (VALUES {_QUALITIES_SQL}), r(p, root) AS (VALUES {_ROOTS_SQL}), c AS (SELECT k, p, generate_subscripts(basses, 1) AS b, root || ':' || quality || unnest(basses) AS name FROM q CROSS JOIN r)
-SELECT 0 AS place, 'N' AS name UNION ALL SELECT CAST(row_number() OVER (ORDER BY k, p, b) AS INTEGER), name FROM c""")
+@query(f"""WITH q(k, quality, basses) AS (VALUES {_QUALITIES_SQL}), r(p, root) AS (VALUES {_ROOTS_SQL}), c AS (SELECT k, p, generate_subscripts(basses, 1) AS b, root || ':' || quality || unnest(basses) AS name FROM q CROSS JOIN r), v AS (SELECT 0 AS place, 'N' AS name UNION ALL SELECT CAST(row_number() OVER (ORDER BY k, p, b) AS INTEGER), name FROM c)
+SELECT place, name, count(l_partkey) AS lines FROM v LEFT JOIN lineitem ON l_partkey % 361 = place GROUP BY place, name""")
 def chord_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Qualities, roots and basses crossed and numbered, and how many lines name each chord by its number."""
     qualities = spark.createDataFrame([(k, q, [*bs, ""]) for k, (q, (bs, _)) in enumerate(M.QUALITIES.items())], "k int, quality string, basses array<string>")
     roots = spark.createDataFrame(list(enumerate(M.SHARPS)), "p int, root string")
     each = qualities.crossJoin(roots).select("k", "p", F.posexplode("basses").alias("b", "bass"), F.concat_ws(":", "root", "quality").alias("stem"))
     # a few hundred rows whatever the data
     named = each.select(F.row_number().over(Window.orderBy("k", "p", "b")).alias("place"), F.concat("stem", "bass").alias("name"))
-    return spark.createDataFrame([(0, "N")], "place int, name string").union(named)
+    every = spark.createDataFrame([(0, "N")], "place int, name string").union(named)
+    said = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 361).cast("int").alias("place")).agg(F.count("*").alias("_n"))
+    return every.join(said, "place", "left").select("place", "name", F.coalesce("_n", F.lit(0)).alias("lines"))
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, 30517 + l_partkey % 1161 AS token FROM lineitem)

@@ -12,6 +12,7 @@ from tidemark.functions import arrays as A
 from tidemark.functions import levels as L
 from tidemark.functions import music as M
 from tidemark.operators import hopping, series
+from tidemark.operators.cells import numbered
 from tidemark.plans.registry import EVENTS_SQL, HOURLY_SQL, events, hourly, query, r6, table
 from tidemark.plans.transcription import Transcription, describe, encode_events, parse_events
 from tidemark.sources.coverage import coverage
@@ -129,12 +130,17 @@ spelled AS (SELECT root || ':' || quality || bass AS raw, key, letter || repeat(
 list_sort(list_distinct(list_concat(list_transform(list_append(steps, degree), lambda s: CAST(48 + p + (s * 7 % 12 + 12) % 12 AS INTEGER)), [CAST(36 + (p + degree * 7 % 12 + 12) % 12 AS INTEGER)]))) AS pitches FROM b)"""
 
 
-@query(f"""WITH {SPELL_SQL} SELECT raw, key, name || ':' || rest AS label, pitches, name || CASE rest WHEN 'maj' THEN '' WHEN 'min' THEN 'm' WHEN 'min7' THEN 'm7' ELSE rest END AS short FROM spelled
-UNION ALL SELECT 'N', key, 'N', CAST([] AS INTEGER[]), 'N' FROM k""")
+@query(f"""WITH {SONG_SQL}, {SPELL_SQL}, every AS (SELECT raw, key, name || ':' || rest AS label, pitches, name || CASE rest WHEN 'maj' THEN '' WHEN 'min' THEN 'm' WHEN 'min7' THEN 'm7' ELSE rest END AS short FROM spelled
+UNION ALL SELECT 'N', key, 'N', CAST([] AS INTEGER[]), 'N' FROM k),
+said AS (SELECT x.chord AS raw, y.key, count(*) AS songs FROM (SELECT DISTINCT track_id, chord FROM song WHERE chord IS NOT NULL) x JOIN (SELECT DISTINCT track_id, key FROM song WHERE key IS NOT NULL) y USING (track_id) GROUP BY x.chord, y.key)
+SELECT raw, key, label, pitches, short, songs FROM every JOIN said USING (raw, key)""")
 def chord_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chord of the vocabulary in every key, with its pitches."""
-    spelled = M.spelling_table(spark)
-    return spelled.join(F.broadcast(M.pitch_table(spark)), "label").select("raw", "key", "label", "pitches", M.short_chord(F.col("label")).alias("short"))
+    """Every chord of a song in every key of the song, with its pitches and the number of such songs."""
+    events_ = song(spark, sf_dir).events
+    chords, keys = (events_.where(F.col(c).isNotNull()).select("track_id", c).distinct() for c in ("chord", "key"))
+    said = chords.join(keys, "track_id").groupBy(F.col("chord").alias("raw"), "key").agg(F.count("*").alias("songs"))
+    spelled = said.join(F.broadcast(M.spelling_table(spark)), ["raw", "key"]).join(F.broadcast(M.pitch_table(spark)), "label")
+    return spelled.select("raw", "key", "label", "pitches", M.short_chord(F.col("label")).alias("short"), "songs")
 
 
 @query(f"""WITH {SONG_SQL}, {SPELL_SQL}, cs AS ({_SPAN_SQL.format('chord')}), ks AS ({_SPAN_SQL.format('key')}), kn AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY a) AS n, count(*) OVER (PARTITION BY track_id) AS c FROM ks WHERE b > a),
@@ -260,9 +266,8 @@ def last_strong_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, CAST(row_number() OVER (ORDER BY round(sqrt(avg(value * value)), 6) DESC, user_id) AS INTEGER) AS turn FROM events GROUP BY user_id""")
 def loudest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one row for each user reaches the unpartitioned window
-    loud = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"))
-    return loud.select("user_id", F.row_number().over(Window.orderBy(F.desc("rms"), "user_id")).alias("turn"))
+    loud = table(spark, sf_dir, "events").groupBy("user_id").agg((-F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6)).alias("quiet"))
+    return numbered(loud, [], ["quiet", "user_id"], "turn").select("user_id", F.col("turn").cast("int").alias("turn"))
 
 
 # Sets, maps and reports
