@@ -10,9 +10,9 @@ from tidemark.functions import arrays as A
 from tidemark.functions import music as M
 from tidemark.operators import hopping
 from tidemark.plans import stems as T
-from tidemark.plans.registry import HOURLY_SQL, hourly, query, r6, table
+from tidemark.plans.registry import EVENTS_SQL, HOURLY_SQL, events, hourly, query, r6, table
 from tidemark.plans.song_queries import _SPAN_SQL, SONG_SQL, SPELL_SQL, song
-from tidemark.plans.transcription import follow
+from tidemark.plans.transcription import describe, follow, parse_events, stitch
 
 @query(f"""WITH {SONG_SQL}, {SPELL_SQL}, cs AS ({_SPAN_SQL.format('chord')}), ks AS ({_SPAN_SQL.format('key')}), kn AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY a) AS n, count(*) OVER (PARTITION BY track_id) AS c FROM ks WHERE b > a),
 m AS (SELECT *, (a + b) / 2 AS mid FROM cs WHERE b > a), f AS (SELECT m.track_id, m.a, 1 + count(*) FILTER (WHERE kn.b < mid AND kn.n < kn.c) AS n FROM m JOIN kn USING (track_id) GROUP BY m.track_id, m.a)
@@ -86,3 +86,39 @@ def segment_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     tops = parts.groupBy("event_type", "window_start").agg(F.max("v").alias("top"))
     seen = parts.join(tops, ["event_type", "window_start"]).withColumn("x", F.col("v") + F.col("top")).withColumn("weight", hopping.triangle(F.col("offset"), 20))
     return hopping.overlap_add(seen, ["event_type"], "t", "x", "weight").select("event_type", "t", r6("value"))
+
+
+#: A user's quarters of an hour with events as a window's sequence: a shift, a time in two of three, and a note with a length.
+_SAID_SQL = f"""{EVENTS_SQL}, f AS (SELECT user_id, CAST(floor((us - min(us) OVER (PARTITION BY user_id)) / 900000000) AS BIGINT) AS step, event_id FROM ev),
+q AS (SELECT user_id, step, min(event_id) AS e FROM f GROUP BY user_id, step)"""
+#: Lengths of notes in sixteenths.
+_LENGTHS_SQL = "[1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048, 3072, 4096]"
+
+
+def said_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id")
+    steps = events(spark, sf_dir).select("user_id", "event_id", F.floor((F.col("us") - F.min("us").over(w)) / 900_000_000).cast("int").alias("step"))
+    one = steps.groupBy("user_id", "step").agg(F.min("event_id").alias("e"))
+    shift = M.shift_tokens(F.col("step") - F.lag("step", 1, 0).over(w.orderBy("step")))
+    time = F.when(F.col("step") % 3 != 0, F.array(M.time_token(F.col("step") * 0.1))).otherwise(F.array().cast("array<int>"))
+    note = F.array((F.col("e") % 256 + M.PITCH.start).cast("int"), (F.col("e") % 24 + M.DURATION.start).cast("int"))
+    spoken = one.select("user_id", F.row_number().over(w.orderBy("step")).alias("n"), F.concat(shift, time, note).alias("t"))
+    heads = one.select("user_id").distinct().select("user_id", F.lit(0).alias("n"), F.array(*map(F.lit, M.PROMPT)).alias("t"))
+    listed = spoken.union(heads).select("user_id", "n", F.posexplode("t").alias("i", "token"))
+    return listed.select(F.col("user_id").alias("track_id"), F.lit(0).alias("window_no"), (F.col("n").cast("long") * 1000 + F.col("i")).alias("pos"), "token")
+
+
+@query(f"""WITH {_SAID_SQL}, a AS (SELECT user_id, step, least(round(step * 0.1 * 100), 29999) / 100.0 AS y FROM q WHERE step % 3 <> 0),
+pr AS (SELECT *, lead(step) OVER w AS s2, lead(y) OVER w AS y2 FROM a WINDOW w AS (PARTITION BY user_id ORDER BY step)),
+r AS (SELECT user_id, coalesce(CASE WHEN median((y2 - y) / greatest(s2 - step, 1)) > 0 THEN median((y2 - y) / greatest(s2 - step, 1)) END, 0.125) AS rate, min(step) AS s0, min(y) AS y0, max(step) AS s9, max(y) AS y9 FROM pr GROUP BY user_id),
+x AS (SELECT user_id, step AS pl FROM q UNION SELECT user_id, step + {_LENGTHS_SQL}[e % 24 + 1] FROM q),
+c AS (SELECT x.user_id, x.pl, least(greatest(CASE WHEN r.user_id IS NULL THEN x.pl * 0.125 WHEN x.pl <= s0 THEN y0 + (x.pl - s0) * rate WHEN x.pl >= s9 THEN y9 + (x.pl - s9) * rate ELSE pr.y + (pr.y2 - pr.y) / (pr.s2 - pr.step) * (x.pl - pr.step) END, 0.0), 300.0) AS clock
+FROM x LEFT JOIN r USING (user_id) LEFT JOIN pr ON pr.user_id = x.user_id AND pr.step <= x.pl AND x.pl < pr.s2),
+t AS (SELECT q.user_id, q.step, q.e, 10.0 * (q.user_id % 3) AS start, 10.0 * (q.user_id % 3) + b.clock AS pl, 10.0 * (q.user_id % 3) + n.clock AS until FROM q JOIN c b ON b.user_id = q.user_id AND b.pl = q.step JOIN c n ON n.user_id = q.user_id AND n.pl = q.step + {_LENGTHS_SQL}[q.e % 24 + 1])
+SELECT user_id AS track_id, step + user_id % 5 AS global_subbeat, round(pl, 6) AS time, CAST(e % 256 % 128 AS INTEGER) AS pitch, round(least(250.0, greatest(pl + 0.04, until)), 6) AS note_end FROM t WHERE pl >= 20 - 1e-4 AND pl < 200 - 1e-4 AND pl < 250 - 1e-4""")
+def stitched_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a window says of a user's song, timed in the song and cut to what the window may say."""
+    tokens = said_tokens(spark, sf_dir)
+    window = tokens.select("track_id").distinct().select("track_id", F.lit(0).alias("window_no"), (F.col("track_id") % 3 * 10.0).alias("start"), F.lit(20.0).alias("accept_start"), F.lit(200.0).alias("accept_end"), F.lit(250.0).alias("duration"), (F.col("track_id") % 5).alias("base"))
+    kept = stitch(describe(parse_events(tokens)), window)
+    return kept.select("track_id", F.col("global_subbeat").cast("long").alias("global_subbeat"), r6("time"), F.col("notes")[0]["pitch"].alias("pitch"), F.round(F.col("note_ends")[0], 6).alias("note_end"))
