@@ -30,6 +30,16 @@ def test_similarity_groups_equal_brute_force(spark):
         assert [r["group_id"] for r in own] == [next(k for k, g in enumerate(groups) if i in g) for i in range(len(own))]
 
 
+def test_many_groups_equal_sql(spark, duck):
+    from tidemark.operators.similarity import similarity_groups
+    from tidemark.plans.queries import groups_sql
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label", "embedding")
+    got = similarity_groups(rows, ["label"], "vec_id", "embedding", 0.14).select("vec_id", "label", "group_id")
+    assert got.distinct().select("label", "group_id").distinct().count() > 100
+    assert same_rows(got, duck, groups_sql(0.14)) == 500
+
+
 def test_scans_prune_and_push_down(spark):
     plan = QUERIES["accept_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity" in plan and "l_shipdate" not in plan

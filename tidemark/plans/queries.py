@@ -382,9 +382,29 @@ def normalise_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.levelled(scaled, 30.0), lambda v: F.round(v, 4) + 0.0).alias("levels"))
 
 
-@query()
+def groups_sql(near: float) -> str:
+    """Row after row into each label's groups, then merge after merge."""
+    return f"""WITH RECURSIVE v AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+placed AS (
+  SELECT DISTINCT label, CAST(0 AS BIGINT) AS i, n, CAST([] AS STRUCT(m DOUBLE[], n BIGINT, who BIGINT[])[]) AS g FROM v
+  UNION ALL
+  SELECT label, i, n, CASE WHEN best.d < {near} THEN list_transform(g, lambda e, k: CASE WHEN k = best.k THEN {{'m': list_transform(range(1, 65), lambda j: e.m[j] + (x[j] - e.m[j]) / (e.n + 1)), 'n': e.n + 1, 'who': list_append(e.who, vec_id)}} ELSE e END)
+    ELSE list_append(g, {{'m': x, 'n': CAST(1 AS BIGINT), 'who': [vec_id]}}) END
+  FROM (SELECT p.label, v.i, v.n, g, x, vec_id, list_min(list_transform(g, lambda e, k: {{'d': sqrt(list_sum(list_transform(range(1, 65), lambda j: (e.m[j] - x[j]) * (e.m[j] - x[j]))) / 64), 'k': k}})) AS best FROM placed p JOIN v ON v.label = p.label AND v.i = p.i + 1)
+), merged AS (
+  SELECT label, g, CAST(0 AS BIGINT) AS step FROM placed WHERE i = n
+  UNION ALL
+  SELECT label, list_filter(list_transform(g, lambda e, k: CASE WHEN k = best.a THEN {{'m': list_transform(range(1, 65), lambda j: (e.n * e.m[j] + g[best.b].n * g[best.b].m[j]) / (e.n + g[best.b].n)), 'n': e.n + g[best.b].n, 'who': list_concat(e.who, g[best.b].who)}} ELSE e END), lambda e, k: k <> best.b), step + 1
+  FROM (SELECT label, g, step, list_min(flatten(list_transform(range(1, len(g)), lambda a: list_transform(range(a + 1, len(g) + 1), lambda b: {{'d': sqrt(list_sum(list_transform(range(1, 65), lambda j: (g[a].m[j] - g[b].m[j]) * (g[a].m[j] - g[b].m[j]))) / 64), 'a': a, 'b': b}})))) AS best FROM merged)
+  WHERE best.d < {near}
+), last AS (SELECT label, arg_max(g, step) AS g FROM merged GROUP BY label),
+each AS (SELECT label, unnest(range(0, len(g))) AS group_id, unnest(g) AS e FROM last)
+SELECT unnest(e.who) AS vec_id, label, CAST(group_id AS INTEGER) AS group_id FROM each"""
+
+
+@query(groups_sql(0.15))
 def similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups within each label in the order of ids; brute force in the tests."""
+    """Groups within each label in the order of ids."""
     return similarity.similarity_groups(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), ["label"], "vec_id", "embedding", 0.15).select("vec_id", "label", "group_id")
 
 
