@@ -12,7 +12,7 @@ from tidemark.operators import hopping
 from tidemark.plans import stems as T
 from tidemark.plans.registry import EVENTS_SQL, HOURLY_SQL, events, hourly, query, r6, table
 from tidemark.plans.song_queries import _SPAN_SQL, SONG_SQL, SPELL_SQL, song
-from tidemark.plans.transcription import describe, follow, parse_events, stitch
+from tidemark.plans.transcription import describe, follow, overlap_prefix, parse_events, stitch
 
 @query(f"""WITH {SONG_SQL}, {SPELL_SQL}, cs AS ({_SPAN_SQL.format('chord')}), ks AS ({_SPAN_SQL.format('key')}), kn AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY a) AS n, count(*) OVER (PARTITION BY track_id) AS c FROM ks WHERE b > a),
 m AS (SELECT *, (a + b) / 2 AS mid FROM cs WHERE b > a), f AS (SELECT m.track_id, m.a, 1 + count(*) FILTER (WHERE kn.b < mid AND kn.n < kn.c) AS n FROM m JOIN kn USING (track_id) GROUP BY m.track_id, m.a)
@@ -108,17 +108,36 @@ def said_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(F.col("user_id").alias("track_id"), F.lit(0).alias("window_no"), (F.col("n").cast("long") * 1000 + F.col("i")).alias("pos"), "token")
 
 
-@query(f"""WITH {_SAID_SQL}, a AS (SELECT user_id, step, least(round(step * 0.1 * 100), 29999) / 100.0 AS y FROM q WHERE step % 3 <> 0),
+#: Times of steps by the anchors around them, and what of a window counts: [20, 200) of a song of 250 seconds.
+_STITCHED_SQL = f"""{_SAID_SQL}, a AS (SELECT user_id, step, least(round(step * 0.1 * 100), 29999) / 100.0 AS y FROM q WHERE step % 3 <> 0),
 pr AS (SELECT *, lead(step) OVER w AS s2, lead(y) OVER w AS y2 FROM a WINDOW w AS (PARTITION BY user_id ORDER BY step)),
 r AS (SELECT user_id, coalesce(CASE WHEN median((y2 - y) / greatest(s2 - step, 1)) > 0 THEN median((y2 - y) / greatest(s2 - step, 1)) END, 0.125) AS rate, min(step) AS s0, min(y) AS y0, max(step) AS s9, max(y) AS y9 FROM pr GROUP BY user_id),
 x AS (SELECT user_id, step AS pl FROM q UNION SELECT user_id, step + {_LENGTHS_SQL}[e % 24 + 1] FROM q),
 c AS (SELECT x.user_id, x.pl, least(greatest(CASE WHEN r.user_id IS NULL THEN x.pl * 0.125 WHEN x.pl <= s0 THEN y0 + (x.pl - s0) * rate WHEN x.pl >= s9 THEN y9 + (x.pl - s9) * rate ELSE pr.y + (pr.y2 - pr.y) / (pr.s2 - pr.step) * (x.pl - pr.step) END, 0.0), 300.0) AS clock
 FROM x LEFT JOIN r USING (user_id) LEFT JOIN pr ON pr.user_id = x.user_id AND pr.step <= x.pl AND x.pl < pr.s2),
-t AS (SELECT q.user_id, q.step, q.e, 10.0 * (q.user_id % 3) AS start, 10.0 * (q.user_id % 3) + b.clock AS pl, 10.0 * (q.user_id % 3) + n.clock AS until FROM q JOIN c b ON b.user_id = q.user_id AND b.pl = q.step JOIN c n ON n.user_id = q.user_id AND n.pl = q.step + {_LENGTHS_SQL}[q.e % 24 + 1])
-SELECT user_id AS track_id, step + user_id % 5 AS global_subbeat, round(pl, 6) AS time, CAST(e % 256 % 128 AS INTEGER) AS pitch, round(least(250.0, greatest(pl + 0.04, until)), 6) AS note_end FROM t WHERE pl >= 20 - 1e-4 AND pl < 200 - 1e-4 AND pl < 250 - 1e-4""")
+t AS (SELECT q.user_id, q.step, q.e, 10.0 * (q.user_id % 3) AS start, 10.0 * (q.user_id % 3) + b.clock AS pl, 10.0 * (q.user_id % 3) + n.clock AS until FROM q JOIN c b ON b.user_id = q.user_id AND b.pl = q.step JOIN c n ON n.user_id = q.user_id AND n.pl = q.step + {_LENGTHS_SQL}[q.e % 24 + 1]),
+kept AS (SELECT user_id, step + user_id % 5 AS g, step, e, pl, until FROM t WHERE pl >= 20 - 1e-4 AND pl < 200 - 1e-4 AND pl < 250 - 1e-4)"""
+
+
+@query(f"""WITH {_STITCHED_SQL} SELECT user_id AS track_id, g AS global_subbeat, round(pl, 6) AS time, CAST(e % 256 % 128 AS INTEGER) AS pitch, round(least(250.0, greatest(pl + 0.04, until)), 6) AS note_end FROM kept""")
 def stitched_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a window says of a user's song, timed in the song and cut to what the window may say."""
+    return stitched(spark, sf_dir).select("track_id", F.col("global_subbeat").cast("long").alias("global_subbeat"), r6("time"), F.col("notes")[0]["pitch"].alias("pitch"), F.round(F.col("note_ends")[0], 6).alias("note_end"))
+
+
+def stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = said_tokens(spark, sf_dir)
     window = tokens.select("track_id").distinct().select("track_id", F.lit(0).alias("window_no"), (F.col("track_id") % 3 * 10.0).alias("start"), F.lit(20.0).alias("accept_start"), F.lit(200.0).alias("accept_end"), F.lit(250.0).alias("duration"), (F.col("track_id") % 5).alias("base"))
-    kept = stitch(describe(parse_events(tokens)), window)
-    return kept.select("track_id", F.col("global_subbeat").cast("long").alias("global_subbeat"), r6("time"), F.col("notes")[0]["pitch"].alias("pitch"), F.round(F.col("note_ends")[0], 6).alias("note_end"))
+    return stitch(describe(parse_events(tokens)), window)
+
+
+@query(f"""WITH {_STITCHED_SQL}, i AS (SELECT *, min(CASE WHEN step % 3 <> 0 THEN g END) OVER (PARTITION BY user_id) AS base FROM kept WHERE pl >= 60 - 1e-4 AND pl < 120 - 1e-4),
+d AS (SELECT *, g - lag(g, 1, base) OVER (PARTITION BY user_id ORDER BY g) AS gap FROM i WHERE g >= base),
+w AS (SELECT user_id, base, g, list_concat(list_transform(range(0, (greatest(gap, 1) - 1) // 256), lambda k: CAST(516 AS INTEGER)), [CAST(260 + gap - 256 * ((greatest(gap, 1) - 1) // 256) AS INTEGER)],
+CASE WHEN step % 3 <> 0 THEN [CAST(517 + least(greatest(round((pl - 60) * 100), 0), 29999) AS INTEGER)] ELSE [] END, [CAST(31398 + e % 256 AS INTEGER), CAST(31654 + e % 24 AS INTEGER)]) AS said FROM d)
+SELECT user_id AS track_id, base, list_concat([1, 4, 5, 6, 7, 9, 11, 3], flatten(list(said ORDER BY g))) AS tokens FROM w GROUP BY user_id, base""")
+def prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the next window is told of a minute of each user's song."""
+    kept = stitched(spark, sf_dir)
+    spans = kept.select("track_id").distinct().select("track_id", F.lit(60.0).alias("from"), F.lit(120.0).alias("until"))
+    return overlap_prefix(kept, spans).select("track_id", F.col("base").cast("long").alias("base"), "tokens")
