@@ -140,19 +140,19 @@ def test_loops_keep_what_is_new(spark):
     assert [(p["folder"], p["name"], p["start"], p["end"]) for p in found] == [("loops_120bpm", "bar001", 0, 176_400), ("loops_120bpm", "bar007", 529_200, 705_600)]
 
 
-@pytest.mark.parametrize("size", [1024, 5000, 30_000])
+@pytest.mark.parametrize("size", [1024, 30_000])
 def test_attacks_and_hits_do_not_depend_on_blocks(spark, size):
     rng = np.random.default_rng(size)
     parts, t = [], 0.02
-    while t < 5.5:
+    while t < 3.5:
         parts.append([kick, snare, hat, burst][rng.integers(4)](t, rng.uniform(0.05, 1)))
         t += rng.choice([0.02, 0.055, 0.12, 0.4])
-    x = song(6, parts).astype(np.float32).astype(np.float64)
+    x = song(4, parts).astype(np.float32).astype(np.float64)
     tracks = {"a": x, "b": x[: 4 * size], "c": x[: 4 * 256 * 40], "d": x[:3], "e": x[RATE : 3 * RATE]}
     got = stems.attacks(blocks_of(spark, tracks, size), size).toPandas()
     for name, own in tracks.items():
         assert sorted(got["attack"][got["track_id"] == name]) == O.onsets(own, RATE), name
-    assert len(O.onsets(x, RATE)) > 15
+    assert len(O.onsets(x, RATE)) > 10
     assert hits_of(spark, x, size=size) == hits_of(spark, x)
 
 
