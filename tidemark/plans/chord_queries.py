@@ -12,6 +12,7 @@ from tidemark.operators import hopping
 from tidemark.plans import stems as T
 from tidemark.plans.registry import EVENTS_SQL, HOURLY_SQL, events, hourly, query, r6, table
 from tidemark.plans.song_queries import _SPAN_SQL, SONG_SQL, SPELL_SQL, song
+from tidemark.plans.tables import settled
 from tidemark.plans.transcription import describe, follow, overlap_prefix, parse_events, stitch
 
 @query(f"""WITH {SONG_SQL}, {SPELL_SQL}, cs AS ({_SPAN_SQL.format('chord')}), ks AS ({_SPAN_SQL.format('key')}), kn AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY a) AS n, count(*) OVER (PARTITION BY track_id) AS c FROM ks WHERE b > a),
@@ -138,6 +139,6 @@ CASE WHEN step % 3 <> 0 THEN [CAST(517 + least(greatest(round((pl - 60) * 100),
 SELECT user_id AS track_id, base, list_concat([1, 4, 5, 6, 7, 9, 11, 3], flatten(list(said ORDER BY g))) AS tokens FROM w GROUP BY user_id, base""")
 def prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the next window is told of a minute of each user's song."""
-    kept = stitched(spark, sf_dir)
+    kept = settled(stitched(spark, sf_dir))  # read several times below
     spans = kept.select("track_id").distinct().select("track_id", F.lit(60.0).alias("from"), F.lit(120.0).alias("until"))
     return overlap_prefix(kept, spans).select("track_id", F.col("base").cast("long").alias("base"), "tokens")
