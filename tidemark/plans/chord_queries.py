@@ -129,7 +129,7 @@ def stitched_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = said_tokens(spark, sf_dir)
     window = tokens.select("track_id").distinct().select("track_id", F.lit(0).alias("window_no"), (F.col("track_id") % 3 * 10.0).alias("start"), F.lit(20.0).alias("accept_start"), F.lit(200.0).alias("accept_end"), F.lit(250.0).alias("duration"), (F.col("track_id") % 5).alias("base"))
-    return stitch(describe(parse_events(tokens)), window)
+    return stitch(settled(describe(parse_events(tokens))), window)
 
 
 @query(f"""WITH {_STITCHED_SQL}, i AS (SELECT *, min(CASE WHEN step % 3 <> 0 THEN g END) OVER (PARTITION BY user_id) AS base FROM kept WHERE pl >= 60 - 1e-4 AND pl < 120 - 1e-4),

@@ -92,7 +92,7 @@ def transcribe(
             told = both.withColumn("tokens", F.coalesce("_said", "tokens")).withColumn("base", F.coalesce("_base", "base")).drop("_said", "_base")
         told = settled(told)
         tokens = settled(generate(samples, told, load, rate, length, most, block))
-        kept.append(settled(stitch(describe(parse_events(tokens)), told.drop("stop", "tokens"), length)))
+        kept.append(settled(stitch(settled(describe(parse_events(tokens))), told.drop("stop", "tokens"), length)))
     if not kept:
         blank = blocks.sparkSession.createDataFrame([], "track_id string, window_no int, pos int, token int")
         kept = [stitch(describe(parse_events(blank)), plan.withColumn("base", F.lit(0).cast("long")).drop("stop"), length)]
