@@ -224,8 +224,10 @@ def test_passes_are_the_same_in_one_cell_and_in_many(spark, monkeypatch, small):
         assert {d for d in deciles if d[0] == key} == changed
 
 
+@pytest.mark.parametrize("few", [0, similarity.MeanGrid.FEW])
 @pytest.mark.parametrize("seed", range(6))
-def test_a_grid_of_means_finds_what_a_look_at_all_finds(seed):
+def test_a_grid_of_means_finds_what_a_look_at_all_finds(seed, few, monkeypatch):
+    monkeypatch.setattr(similarity.MeanGrid, "FEW", few)
     rng = np.random.default_rng(seed)
     middles = rng.normal(0, 10, (40, 5))
     x = middles[rng.integers(0, 40, 900)] + rng.normal(0, 0.4 + seed / 3, (900, 5))
