@@ -56,3 +56,17 @@ def test_grammar_steps_beyond_the_vocabulary_equal_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert same_rows(QUERIES["grammar_steps"](spark, str(tmp_path)), con, SQL["grammar_steps"]) == len(rows)
+
+
+def test_label_thinning_equals_sql_with_ties_and_nulls(spark, tmp_path):
+    import datetime as dt
+
+    import duckdb
+
+    at = lambda h: None if h is None else dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    said = [(1, None, "a"), (1, 0, "a"), (1, 2, "b"), (1, 7, "c"), (1, 7, "d"), (1, 9, "a"), (1, 13, "b"), (1, 20, "error"), (1, 21, None), (1, 22, "b"), (None, 1, "a"), (2, 5, "error")]
+    df = spark.createDataFrame([(i, at(h), user, kind, 1.0) for i, (user, h, kind) in enumerate(said)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert same_rows(QUERIES["label_thinning"](spark, str(tmp_path)), con, SQL["label_thinning"]) == 5

@@ -249,3 +249,54 @@ def test_rows_do_not_meet_every_group_of_clustered_data():
         centres, _, _ = similarity.place_in_order(x, 2.0)
         made[groups] = centres.compared / len(x)
     assert made[2000] < 0.02 * 2000 and made[500] < 0.02 * 500
+
+
+def plan_of(frame):
+    """Plan of a frame, as text."""
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_short_series_are_thinned_without_a_group_for_each_series_and_cell(spark, monkeypatch):
+    monkeypatch.setattr(cells, "expected_bytes", lambda df: cells.SMALL + 1)  # large input
+    rng = np.random.default_rng(5)
+    rows = [(k, int(t), "abN"[rng.integers(3)]) for k in range(300) for t in rng.choice(1000, 30, replace=False)]
+    df = spark.createDataFrame(rows, "k long, t long, label string").repartition(5)
+    got = series.thin_labels(df, ["k"], "t", "label", 40)
+    assert "FlatMapGroupsInPandas" not in plan_of(got)
+    assert "FlatMapGroupsInPandas" not in plan_of(series.min_gap(df, ["k"], "t", 40))
+    want = []
+    for key in range(300):
+        last, before = None, "?"
+        for _, t, label in sorted(r for r in rows if r[0] == key):
+            if label not in ("N", before) and (last is None or t - last >= 40):
+                want.append((key, t))
+                last = t
+            before = label
+    assert sorted((r["k"], r["t"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("row", [1, 1 << 20, 1 << 40])  # no series is long, one is, all are
+def test_long_and_short_series_are_thinned_alike(spark, monkeypatch, row):
+    monkeypatch.setattr(cells, "expected_bytes", lambda df: cells.SMALL + 1)
+    monkeypatch.setattr(cells, "ROW", row)
+    rng = np.random.default_rng(8)
+    rows = [(key, float(t), "abcN"[rng.integers(4)]) for key, n in (("hot", 700), ("b", 50), (None, 20)) for t in rng.choice(2000, n, replace=False)]
+    rows += [("b", None, "a"), (None, None, "b"), ("one", 3.0, "a")]
+    df = spark.createDataFrame(rows, "k string, t double, label string").repartition(3)
+    gaps = [(r["k"], r["t"]) for r in series.min_gap(df, ["k"], "t", 7.0).collect()]
+    thinned = [(r["k"], r["t"]) for r in series.thin_labels(df, ["k"], "t", "label", 7.0).collect()]
+    for key in ("hot", "b", None, "one"):
+        own = sorted((t, label) for k, t, label in rows if k == key and t is not None)
+        times = [t for t, _ in own]
+        assert sorted(t for k, t in gaps if k == key) == [times[i] for i in kept_one_by_one(times, 7.0)]
+        changed = [t for i, (t, label) in enumerate(own) if label != "N" and (i == 0 or own[i - 1][1] != label)]
+        assert sorted(t for k, t in thinned if k == key) == [changed[i] for i in kept_one_by_one(changed, 7.0)]
+
+
+@pytest.mark.parametrize("row", [64, 1 << 40])
+def test_labels_at_one_time_are_drawn_together_if_asked(spark, monkeypatch, row):
+    monkeypatch.setattr(cells, "expected_bytes", lambda df: cells.SMALL + 1)
+    monkeypatch.setattr(cells, "ROW", row)
+    df = spark.createDataFrame([("s", t, label) for t, label in ((0, "a"), (2, "b"), (5, "c"), (5, "d"), (6, "a"), (11, "b"))], "k string, t long, label string")
+    drawn = lambda **more: sorted(r["t"] for r in series.thin_labels(df, ["k"], "t", "label", 5, **more).collect())
+    assert drawn() == [0, 5, 11] and drawn(ties=True) == [0, 5, 5, 11]

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Cells that a column is cut into, and the bytes of input from which it is.
-CELLS, SMALL = 256, 64 << 20
+#: Cells that a column is cut into, the bytes of input from which it is, and the bytes that a row counts for where rows are counted.
+CELLS, SMALL, ROW = 256, 64 << 20, 64
 _ORDERED = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
@@ -51,6 +51,22 @@ def same(left: DataFrame, right: DataFrame, key: Sequence[str], prefix: str) ->
     return functools.reduce(Column.__and__, [left[k].eqNullSafe(right[prefix + k]) for k in key], F.lit(True))
 
 
+def by_length(df: DataFrame, key: Sequence[str], whole: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``whole`` of the rows of keys that one task may pass through in order, and ``cut`` of those of keys with more than ``SMALL / ROW`` rows.
+
+    One pass before the plan is made counts rows, unless the input is small; only the keys of long groups come to the driver.
+    """
+    if expected_bytes(df) < SMALL:
+        return whole(df)
+    found = df.groupBy(*key).count().where(F.col("count") > SMALL // ROW).select(*[F.col(k).alias(f"_k_{k}") for k in key])
+    long = found.collect()
+    if not long:
+        return whole(df)
+    named = F.broadcast(df.sparkSession.createDataFrame(long, found.schema))
+    on = same(df, named, key, "_k_")
+    return whole(df.join(named, on, "left_anti")).union(cut(df.join(named, on, "left_semi")))
+
+
 def beside(df: DataFrame, table: DataFrame, key: Sequence[str]) -> DataFrame:
     """``df`` with the other columns of ``table``, which has one row for each key."""
     named = table.select(*[F.col(k).alias(f"_k_{k}") for k in key], *[c for c in table.columns if c not in key])

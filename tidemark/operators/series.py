@@ -7,17 +7,18 @@ reproducible.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.functions.levels import bin_weight, compressed
-from tidemark.operators.cells import BEFORE, beside, carried, cell_of
+from tidemark.operators.cells import BEFORE, beside, by_length, carried, cell_of
 from tidemark.operators.summaries import upper_median
 
 
@@ -106,7 +107,28 @@ def smooth(df: DataFrame, key: Sequence[str], at: str, value: str, deviation: fl
     return df.withColumn(out, total)
 
 
-def _spaced(rows: pd.DataFrame, at: str, gap: float | str, last: float) -> pd.DataFrame:
+def _pass(known: DataFrame, key: Sequence[str], at: str, gap: float | str, ties: bool) -> DataFrame:
+    """:func:`min_gap` in one pass over sorted partitions, whatever the number of keys; a key is in one task, a batch of rows at a time."""
+    new = F.row_number().over(series(key, [at])) == 1
+    wide = F.col(gap).cast("double") if isinstance(gap, str) else F.lit(float(gap))
+    width, names = len(known.columns), known.columns
+    rows = known.select("*", F.col(at).cast("double").alias("_at"), wide.alias("_gap"), new.alias("_new")).sortWithinPartitions(*key, at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = -math.inf
+        for batch in batches:
+            kept = []
+            for t, g, first in zip(*[batch.column(width + i).to_pylist() for i in range(3)], strict=True):
+                keep = first or t >= last + g
+                if keep:
+                    last = t
+                kept.append(keep or (ties and t == last))
+            yield pa.RecordBatch.from_arrays(batch.columns[:width], names).filter(pa.array(kept, pa.bool_()))
+
+    return rows.mapInArrow(run, known.schema)
+
+
+def _spaced(rows: pd.DataFrame, at: str, gap: float | str, last: float, ties: bool) -> pd.DataFrame:
     """Rows at least ``gap`` after the one kept before, in the order of ``at``; ``last`` is the one kept before them all."""
     rows = rows.sort_values(at, kind="stable")
     times, wide = rows[at].to_numpy(), float(rows[gap].iloc[0]) if isinstance(gap, str) else gap
@@ -114,7 +136,7 @@ def _spaced(rows: pd.DataFrame, at: str, gap: float | str, last: float) -> pd.Da
     while k < len(times):  # from kept row to kept row
         chosen.append(k)
         k = max(k + 1, int(np.searchsorted(times, times[k] + wide, side="left")))
-    return rows.iloc[chosen]
+    return rows[np.isin(times, times[chosen])] if ties else rows.iloc[chosen]
 
 
 def _crossing(times: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
@@ -133,17 +155,25 @@ def _crossing(times: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
     return times[turn], leaves[turn]
 
 
-def min_gap(df: DataFrame, key: Sequence[str], at: str, gap: float | str) -> DataFrame:
+def min_gap(df: DataFrame, key: Sequence[str], at: str, gap: float | str, ties: bool = False) -> DataFrame:
     """Rows that come at least ``gap`` after the last row kept; a gap that is a column's name is the same for all rows of a key. Rows without a time go.
 
-    A long series is cut into cells. Each cell says where it would end for every place at which the one before it may have ended; along a
+    With ``ties``, rows at the time of a kept one stay with it; otherwise one of them does. Only series of very many rows are cut into cells.
+    """
+    known = df.where(F.col(at).isNotNull())
+    return by_length(known, key, lambda rows: _pass(rows, key, at, gap, ties), lambda rows: _over_cells(rows, key, at, gap, ties))
+
+
+def _over_cells(known: DataFrame, key: Sequence[str], at: str, gap: float | str, ties: bool) -> DataFrame:
+    """:func:`min_gap` of long series, cut into cells.
+
+    Each cell says where it would end for every place at which the one before it may have ended; along a
     key only these functions are followed, from cell to cell; then every cell is passed through on its own. What crosses is, for
     each cell, at most the rows of its first gap.
     """
-    known = df.where(F.col(at).isNotNull())
     cell = cell_of(known, at)
     if cell is None:
-        return known.groupBy(*key).applyInPandas(lambda rows: _spaced(rows, at, gap, -math.inf), df.schema)
+        return _pass(known, key, at, gap, ties)
     marked = known.withColumn("_cell", cell)
     cells = [*key, "_cell"]
     wide = F.col(gap).cast("double") if isinstance(gap, str) else F.lit(float(gap))
@@ -167,18 +197,26 @@ def min_gap(df: DataFrame, key: Sequence[str], at: str, gap: float | str) -> Dat
     lasts = plain.groupBy(*key).applyInPandas(follow, f"{names}, _last double")
     begun = beside(marked, lasts, cells)
     schema = T.StructType([*marked.schema.fields])
-    kept = begun.groupBy(*cells).applyInPandas(lambda rows: _spaced(rows, at, gap, float(rows["_last"].iloc[0])).drop(columns="_last"), schema)
+    kept = begun.groupBy(*cells).applyInPandas(lambda rows: _spaced(rows, at, gap, float(rows["_last"].iloc[0]), ties).drop(columns="_last"), schema)
     return kept.drop("_cell")
 
 
-def thin_labels(df: DataFrame, key: Sequence[str], at: str, label: str, gap: float, ignore: str = "N") -> DataFrame:
-    """Labels worth drawing: changed from the row before, not ``ignore``, and at least ``gap`` after the last one drawn."""
-    one = lambda c: F.struct(F.col(c).alias("label"))
-    held = df.withColumn("_own", one(label))
-    rows = carried(held, key, [at], {"_before": F.lag("_own")}, {"_last": (F.max_by("_own", at), BEFORE)})
-    before = F.coalesce("_before", "_last")["label"]
-    changed = rows.where(~F.col(label).eqNullSafe(before) & (F.col(label) != ignore)).select(*df.columns)
-    return min_gap(changed, key, at, gap)
+def thin_labels(df: DataFrame, key: Sequence[str], at: str, label: str, gap: float, ignore: str = "N", ties: bool = False) -> DataFrame:
+    """Labels worth drawing: changed from the row before, not ``ignore``, and at least ``gap`` after the last one drawn. Rows without a time go.
+
+    With ``ties``, changed labels at the time of a drawn one are drawn with it.
+    """
+    changed = lambda rows: rows.where(~F.col(label).eqNullSafe(F.col("_before")) & (F.col(label) != ignore)).select(*df.columns)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return _pass(changed(rows.withColumn("_before", F.lag(label).over(series(key, [at])))), key, at, gap, ties)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        held = rows.withColumn("_own", F.struct(F.col(label).alias("label")))
+        both = carried(held, key, [at], {"_lag": F.lag("_own")}, {"_last": (F.max_by("_own", at), BEFORE)})
+        return _over_cells(changed(both.withColumn("_before", F.coalesce("_lag", "_last")["label"])), key, at, gap, ties)
+
+    return by_length(df.where(F.col(at).isNotNull()), key, whole, cut)
 
 
 def strong_range(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, share: float = 0.5) -> DataFrame:

@@ -84,8 +84,8 @@ SELECT k.user_id, (SELECT min(e.us) FROM c e WHERE e.user_id = k.user_id AND e.u
 WHERE EXISTS (SELECT 1 FROM c e WHERE e.user_id = k.user_id AND e.us >= k.us + 21600000000))
 SELECT user_id, us, event_type FROM keep JOIN c USING (user_id, us)""")
 def label_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select("user_id", "us", "event_type")
-    return series.thin_labels(e, ["user_id"], "us", "event_type", 6 * 3600e6, ignore="error")
+    e = events(spark, sf_dir).where("user_id IS NOT NULL").select("user_id", "us", "event_type")
+    return series.thin_labels(e, ["user_id"], "us", "event_type", 6 * 3600e6, ignore="error", ties=True)
 
 
 @query(f"""WITH {HOURLY_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t) AS i, 1.5 * sqrt(avg(v * v) OVER (PARTITION BY event_type)) AS weak FROM hourly),
