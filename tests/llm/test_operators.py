@@ -403,6 +403,25 @@ def test_substrings_equal_brute_force(spark, monkeypatch, most):
         assert [got[i] for i in range(len(texts))] == brute_substrings(texts, length)
 
 
+def test_suffix_arrays_are_built_only_where_strings_differ(spark, monkeypatch):
+    """Copies repeat as a whole; arrays are for passages whose surroundings differ. Results equal brute force."""
+    given = []
+    kept = substrings.by_suffix_arrays
+
+    def spy(strings, shards):
+        given.extend(strings.collect())
+        return kept(strings, shards)
+
+    monkeypatch.setattr(substrings, "by_suffix_arrays", spy)
+    # copies of a whole text, and a passage that others quote
+    texts = [prose(160, 21)] * 3 + [prose(60, 22) + prose(90, 23) + prose(60, 24), prose(50, 25) + prose(90, 23) + prose(50, 26), prose(70, 27)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.dedup_substrings(docs_table(spark, texts), 200, 50).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_substrings(texts, 200)
+    assert got[0][1] == len(texts[0].encode()) and got[3][1] >= 200 and got[5][1] == 0
+    cores = {(r["g"], r["k"], r["core"], r["core2"]) for r in given}
+    assert cores and len(given) >= 2 * len(cores)
+
+
 def test_substrings_of_repeated_rows_and_empty_tables(spark):
     df = docs_table(spark, [prose(100, 4)])
     assert [r["n_removed"] for r in substrings.dedup_substrings(df.union(df)).collect()] == [len(prose(100, 4))] * 2
